@@ -16,7 +16,7 @@ def iso_text(ts: Column) -> Column:
 
 def epoch_text(ts: Column) -> Column:
     """Seconds since the epoch with six decimals."""
-    micros = F.unix_micros(ts)
+    micros = F.unix_micros(ts.cast("timestamp"))
     return F.format_string("%d.%06d", F.floor(micros / 1000000), F.pmod(micros, F.lit(1000000)))
 
 

@@ -51,13 +51,13 @@ def key_assign(batch: DataFrame, store: DataFrame, order: str = "pos") -> DataFr
         F.col("key").alias("_known"),
     )
     hashed = batch if "url_hash" in batch.columns else batch.withColumn("url_hash", url_hash(F.col("url")))
-    hashed = hashed.drop("key")
+    hashed = hashed.withColumn("_order", F.col(order)).drop("key")
     matched = hashed.join(known, "url_hash", "left")
     old = matched.where("_known IS NOT NULL").withColumn("key", F.col("_known"))
-    new = number_rows(matched.where("_known IS NULL"), order, "_seq").withColumn(
+    new = number_rows(matched.where("_known IS NULL"), "_order", "_seq").withColumn(
         "key", F.col("_seq") + next_key(store)
     )
-    return old.drop("_known").unionByName(new.drop("_known", "_seq"))
+    return old.drop("_known", "_order").unionByName(new.drop("_known", "_seq", "_order"))
 
 
 def store_upsert(store: DataFrame, batch: DataFrame, order: str = "pos") -> DataFrame:

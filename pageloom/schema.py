@@ -2,20 +2,36 @@
 
 from pyspark.sql import types as T
 
-RAW_BOOKMARK = T.StructType.fromDDL("pos BIGINT, ts TIMESTAMP, url STRING, title STRING, folder STRING, source STRING")
+_TYPES = {
+    "BIGINT": T.LongType(),
+    "INT": T.IntegerType(),
+    "DOUBLE": T.DoubleType(),
+    "STRING": T.StringType(),
+    "TIMESTAMP": T.TimestampType(),
+    "DATE": T.DateType(),
+}
 
-STORE = T.StructType.fromDDL(
+
+def _table(columns: str) -> T.StructType:
+    """A schema from ``name TYPE, name TYPE``; unlike Spark's own parser it needs no session."""
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+RAW_BOOKMARK = _table("pos BIGINT, ts TIMESTAMP, url STRING, title STRING, folder STRING, source STRING")
+
+STORE = _table(
     "key BIGINT, url STRING, name STRING, title STRING, type STRING, folder STRING, guid STRING, id STRING, "
     "date_added STRING, description STRING, content STRING, content_length INT, content_hash STRING, "
     "url_hash STRING, crawl_time TIMESTAMP, crawl_method STRING, error STRING, summary STRING, "
     "summary_model STRING, summary_time TIMESTAMP, domain STRING, date DATE"
 )
 
-FAILURE = T.StructType.fromDDL("pos BIGINT, url STRING, title STRING, reason STRING, timestamp STRING")
+FAILURE = _table("pos BIGINT, url STRING, title STRING, reason STRING, timestamp STRING")
 
-PAGE = T.StructType.fromDDL("page_id BIGINT, url STRING, html STRING, content_type STRING, status INT")
+PAGE = _table("page_id BIGINT, url STRING, html STRING, content_type STRING, status INT")
 
-SUMMARY = T.StructType.fromDDL(
+SUMMARY = _table(
     "url STRING, url_hash STRING, summary STRING, summary_model STRING, summary_time TIMESTAMP"
 )
 

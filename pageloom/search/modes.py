@@ -105,13 +105,17 @@ def _shown(kind: str, size: int) -> Column:
     return F.array_distinct(F.transform(spots, lambda s: F.substring(word, s, F.lit(size))))
 
 
+def _tagged(kind: str, letters: Column) -> Column:
+    return F.transform(letters, lambda each: F.struct(F.lit(kind).alias("kind"), each.alias("letters")))
+
+
 def wildcard_terms(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Patterns ``(…, field, pattern)`` with the vocabulary terms they match, as ``term`` and ``df``."""
     keyed = patterns.withColumn("_key", _pattern_keys(F.col("pattern"))).select(*patterns.columns, "_key.*")
     # At most three kinds with five sizes each.
     shapes = [tuple(r) for r in keyed.select("kind", F.length("letters")).distinct().collect()]
     words = vocabulary.select("field", F.col("term").alias("word"), "df")
-    shown = [F.transform(_shown(k, n), lambda s, k=k: F.struct(F.lit(k).alias("kind"), s.alias("letters"))) for k, n in sorted(shapes)]
+    shown = [_tagged(kind, _shown(kind, size)) for kind, size in sorted(shapes)]
     if not shown:
         return patterns.join(vocabulary.select("field", "term", "df"), "field").where("false")
     keys = words.select("*", F.explode(F.concat(*shown)).alias("_s")).select(*words.columns, "_s.*")
