@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pageloom import queries  # noqa: E402
 from pageloom.plans.search import search_one  # noqa: E402
 from pageloom.queries.inputs import store, store_path  # noqa: E402
-from pageloom.search.index import postings_build, read_index, search_doc_prepare, write_index  # noqa: E402
+from pageloom.search.index import build_index, read_index, search_doc_prepare  # noqa: E402
 from pageloom.session import local_session, scratch_path  # noqa: E402
 
 HEADLINE = (
@@ -42,7 +42,7 @@ def main() -> None:
     run(spark.range(1000))
     store_path(spark, sf)
     path = scratch_path(spark, "bench-index")
-    seconds["index_build"] = timed(lambda: write_index(postings_build(search_doc_prepare(store(spark, sf)), buckets=8), path))
+    seconds["index_build"] = timed(lambda: build_index(search_doc_prepare(store(spark, sf)), path, buckets=8))
     index = read_index(spark, path)
 
     # The three shapes of a query: one word, a word with an edit, two words.

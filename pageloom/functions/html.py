@@ -26,15 +26,16 @@ CLASS_ELEMENTS = ("div", "section", "article", "main", "span", "p")
 _NODE_BREAK = "\x01"
 
 
-def _subtree(tag: str) -> str:
-    return rf"<{tag}(?:[\s/][^>]*)?>.*?</{tag}\s*>"
+def _subtrees(tags: tuple[str, ...]) -> str:
+    """Elements with all they hold, without the '<' they begin with."""
+    return "|".join(rf"{tag}(?:[\s/][^>]*)?>.*?</{tag}\s*>" for tag in tags)
 
 
 # Comments and raw elements go in one pass: whichever opens first hides the other.
-_HIDDEN = "(?is)<!--.*?-->|" + "|".join(_subtree(t) for t in RAW)
-_BLOCKS = "(?is)" + "|".join(_subtree(t) for t in DROPPED)
+_HIDDEN = rf"(?is)<(?:!--.*?-->|{_subtrees(RAW)})"
+_BLOCKS = rf"(?is)<(?:{_subtrees(DROPPED)})"
 # A tag, with quoted attribute values that may hold '>'; a tag with a stray quote ends at the first '>'.
-_TAG = r"""<[A-Za-z/!?](?:[^'">]++|"[^"]*+"|'[^']*+')*+>|<[A-Za-z/!?][^>]*>"""
+_TAG = r"""<[A-Za-z/!?](?:(?:[^'">]++|"[^"]*+"|'[^']*+')*+>|[^>]*>)"""
 _TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"
 _ENTITY_PIECES = r"&#?[A-Za-z0-9]+;|[^&]+|&"
 

@@ -13,10 +13,13 @@ def holds_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, small: bool | None = None) -> DataFrame:
     """``df`` marked for broadcasting when its row count proves it small, else unmarked.
 
     Meant for narrow tables (ids, hashes, terms). Without the mark Spark joins
-    by shuffling and splits skewed partitions itself.
+    by shuffling and splits skewed partitions itself. A caller who already knows
+    from a count it made says so with ``small``.
     """
-    return F.broadcast(df) if holds_at_most(df, rows) else df
+    if small is None:
+        small = holds_at_most(df, rows)
+    return F.broadcast(df) if small else df

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pageloom.operators.sizing import BROADCAST_ROWS, holds_at_most
 from pageloom.search.analysis import query_terms
 from pageloom.search.index import Index
 from pageloom.search.match import expand_terms, postings_join
 from pageloom.search.rank import (
+    MAX_PAGE_SIZE,
     bm25_score,
     pagination_meta,
     request_validate,
@@ -15,22 +17,23 @@ from pageloom.search.rank import (
     search_total_hits,
 )
 from pageloom.search.results import search_result_record, search_snippet
-from pageloom.session import durable, staged
+from pageloom.session import staged
 
 
 def search_batch(index: Index, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Answer ``requests(query_id, text, page, page_size)``.
 
-    Scores are made once and checkpointed: the totals, the choice of the page
-    rows and the depth of the deepest page all come from them.
+    Expansion and scores are staged, each made once: totals, page rows and the
+    depth of the deepest page all come from them. One count of the
+    requests tells whether requests and page rows are small enough to broadcast.
     """
     valid = request_validate(requests, "clamp")
+    small = holds_at_most(valid, BROADCAST_ROWS // MAX_PAGE_SIZE)
     expanded = staged(expand_terms(index, query_terms(valid)), "expanded")
-    hits = postings_join(expanded, index.postings, index.buckets)
-    scored = durable(bm25_score(hits, index))
+    scored = staged(bm25_score(postings_join(expanded, index.postings, index.buckets), index), "scored")
     pagination = pagination_meta(search_total_hits(scored), valid)
-    records = search_result_record(search_page(scored, pagination), index.docs)
-    results = search_snippet(records, expanded.select("query_id", "term"))
+    records = search_result_record(search_page(scored, pagination, small=small), index.docs, small)
+    results = search_snippet(records, expanded.select("query_id", "term"), small=small)
     return results.drop("composite_text"), pagination
 
 

@@ -43,7 +43,7 @@ def the_index(spark, sf):
     """The index of the store, written once and then opened, as searches do."""
 
     def make(path):
-        index_module.write_index(index_module.postings_build(index_module.search_doc_prepare(store(spark, sf)), buckets=8), path)
+        index_module.build_index(index_module.search_doc_prepare(store(spark, sf)), path, buckets=8)
 
     return index_module.read_index(spark, once(spark, sf, "index", make))
 
@@ -110,7 +110,7 @@ def _(spark, sf):
 
     def make(path):
         # An index of the rows without a summary, to be completed with all rows.
-        index_module.write_index(index_module.postings_build(docs.where("summary = ''"), buckets=8), path)
+        index_module.build_index(docs.where("summary = ''"), path, buckets=8)
 
     old = index_module.read_index(spark, once(spark, sf, "half-index", make))
     updated = index_module.index_update(old, docs)

@@ -11,8 +11,10 @@ from pageloom.functions.urls import search_key
 from pageloom.operators.joins import index_update_antijoin
 from pageloom.operators.numbering import first_per
 from pageloom.search.analysis import MIN_LENGTH, STOP_WORDS, tokens
+from pageloom.session import staged
 
 FIELDS = ("title", "url", "content", "summary", "composite_text")
+COMPOSED = ("title", "content", "summary")
 MAX_CONTENT_CHARS = 10_000
 TERM_BUCKETS = 32
 
@@ -64,15 +66,22 @@ def postings_of(
     pairs are sorted, the places where the term changes are found, and the runs
     between them become rows. No row is shuffled for that.
     """
-    per_field = docs.select(
+    needed = dict.fromkeys(f for f in (*fields, *COMPOSED) if f in COMPOSED or f != "composite_text")
+    analysed = docs.select("key", *[tokens(F.col(f), stop_words, min_len).alias(f) for f in needed])
+    # The composite text is made of three fields, and so are its terms: nothing is analysed twice.
+    composed = F.concat(*[F.col(f) for f in COMPOSED])
+    of_field = {f: composed if f == "composite_text" else F.col(f) for f in fields}
+    per_field = analysed.select(
         "key",
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("_f"),
-    ).select("key", "_f.field", tokens(F.col("_f.text"), stop_words, min_len).alias("_tokens"))
+        F.explode(
+            F.array(*[F.struct(F.lit(f).alias("field"), terms.alias("tokens")) for f, terms in of_field.items()])
+        ).alias("_f"),
+    ).select("key", "_f.field", F.col("_f.tokens").alias("_tokens"))
     pairs = per_field.where(F.size("_tokens") > 0).select(
         "key",
         "field",
         F.size("_tokens").alias("dl"),
-        F.array_sort(F.transform("_tokens", lambda t, i: F.struct(t.alias("term"), i.alias("position")))).alias("_pairs"),
+        F.sort_array(F.transform("_tokens", lambda t, i: F.struct(t.alias("term"), i.alias("position")))).alias("_pairs"),
     )
     starts = F.filter(
         F.sequence(F.lit(0), F.col("dl") - 1),
@@ -133,27 +142,37 @@ def postings_build(
     return Index(unique, postings, *corpus_stats(postings, unique), buckets)
 
 
+def _write_filed(df: DataFrame, path: str, *spread) -> None:
+    """Write by field and bucket, terms in order, so a search skips what its terms do not touch."""
+    filed = ("field", "bucket")
+    df.repartition(*filed, *spread).sortWithinPartitions(*filed, "term").write.mode("overwrite").partitionBy(
+        *filed
+    ).parquet(path)
+
+
 def write_index(index: Index, path: str, splits: int = 1) -> None:
-    """Write the index so that a search reads only the buckets of its terms.
+    """Write an index.
 
-    Documents are written first and the postings made from what was written.
     ``splits`` spreads the postings of one bucket, and so of one frequent term,
-    over that many tasks and files.
+    over that many tasks and files. Vocabulary and sizes come from the postings
+    as written.
     """
     spark = index.docs.sparkSession
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    filed = ["field", "bucket"]
-    index.postings.repartition(*filed, F.pmod(F.xxhash64("key"), F.lit(splits))).sortWithinPartitions(
-        *filed, "term"
-    ).write.mode("overwrite").partitionBy(*filed).parquet(f"{path}/postings")
-    postings = spark.read.schema(index.postings.schema).parquet(f"{path}/postings")
-    vocabulary_of(postings).repartition(*filed).sortWithinPartitions(*filed, "term").write.mode(
-        "overwrite"
-    ).partitionBy(*filed).parquet(f"{path}/vocabulary")
-    docs = spark.read.schema(index.docs.schema).parquet(f"{path}/docs")
-    corpus_of(docs, postings).withColumn("buckets", F.lit(index.buckets)).coalesce(1).write.mode("overwrite").parquet(
-        f"{path}/corpus"
-    )
+    _write_filed(index.postings, f"{path}/postings", F.pmod(F.xxhash64("key"), F.lit(splits)))
+    docs = spark.read.schema(DOCS_DDL).parquet(f"{path}/docs")
+    postings = spark.read.schema(POSTINGS_DDL).parquet(f"{path}/postings")
+    _write_filed(vocabulary_of(postings), f"{path}/vocabulary")
+    sizes = corpus_of(docs, postings).withColumn("buckets", F.lit(index.buckets))
+    sizes.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def build_index(docs: DataFrame, path: str, splits: int = 1, **options) -> Index:
+    """Build an index on disk. Documents are staged, so the postings do not run what made them again."""
+    spark = docs.sparkSession
+    unique = staged(first_per(docs, "key", F.col("pos")).select(*DOC_COLUMNS), "docs")
+    write_index(postings_build(unique, **options), path, splits)
+    return read_index(spark, path)
 
 
 POSTINGS_DDL = "field STRING, bucket INT, term STRING, key STRING, tf INT, dl INT, positions ARRAY<INT>"

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.operators.sizing import BROADCAST_ROWS, holds_at_most
+from pageloom.operators.sizing import BROADCAST_ROWS, small_side
 from pageloom.search.analysis import query_terms
 from pageloom.search.index import Index, term_bucket
 from pageloom.session import staged
 
 FIELD = "composite_text"
-# Ways a posting list is split when the query terms are too many to broadcast.
-SALTS = 32
+# When the query terms are too many to broadcast: documents from which a term's
+# posting list is split, and into how many parts.
+HOT_POSTINGS = 100_000
+# Terms up to this number are looked up in the files instead of scanned for.
+PUSHED_TERMS = 1000
+SALTS = 64
 
 
 def _start(length: Column, pieces: Column, i: Column) -> Column:
@@ -53,7 +59,42 @@ def _vocabulary_pieces(words: DataFrame, maxdist: int) -> DataFrame:
     return placed.select(*words.columns, F.lit(maxdist).alias("maxdist"), "len", "i", F.explode(substrings).alias("piece"))
 
 
-def fuzzy_term_join(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Footprint:
+    """What a set of terms touches, found in one pass over it. All parts are small by nature:
+    at most ten distances, the fields of the index, its buckets."""
+
+    rows: int
+    distances: list[int]
+    fields: list[str]
+    buckets: list[int]
+
+    @property
+    def small(self) -> bool:
+        return self.rows <= BROADCAST_ROWS
+
+
+def footprint(terms: DataFrame, buckets: int) -> Footprint:
+    """Measure terms ``(field, term, …)``."""
+    distance = F.col("maxdist") if "maxdist" in terms.columns else F.lit(0)
+    row = terms.agg(
+        F.count(F.lit(1)),
+        F.sort_array(F.collect_set(distance)),
+        F.sort_array(F.collect_set("field")),
+        F.sort_array(F.collect_set(term_bucket(F.col("term"), buckets))),
+    ).first()
+    return Footprint(row[0], [d for d in row[1] if d > 0], row[2], row[3])
+
+
+def _within(filed: DataFrame, touched: Footprint, by_bucket: bool = True) -> DataFrame:
+    """Rows of the fields and buckets that are touched; Spark prunes the other folders."""
+    if not touched.rows:
+        return filed.where(F.lit(False))
+    kept = filed.where(F.col("field").isin(touched.fields))
+    return kept.where(F.col("bucket").isin(touched.buckets)) if by_bucket else kept
+
+
+def fuzzy_term_join(terms: DataFrame, vocab: DataFrame, distances: list[int] | None = None) -> DataFrame:
     """Query terms with the vocabulary terms within their edit distance.
 
     ``terms(…, term, maxdist)`` and ``vocab(term, df)`` give the terms' other
@@ -62,38 +103,30 @@ def fuzzy_term_join(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     pieces; a vocabulary term that is near enough holds one of them, moved by at
     most maxdist places. So candidates come from an equi-join on distance,
     length, number of the piece and piece, never from pairing everything with
-    everything, and ``levenshtein`` decides.
+    everything, and ``levenshtein`` decides. A term that many queries share is
+    compared once.
     """
-    by_field = ["field"] if "field" in terms.columns and "field" in vocab.columns else []
+    keys = [c for c in ("field", "term", "maxdist") if c in terms.columns and c in (*vocab.columns, "maxdist")]
     near = terms.where("maxdist > 0")
-    # At most nine values: the distance is a single digit.
-    distances = sorted(r[0] for r in near.select("maxdist").distinct().collect())
-    words = vocab.select(*by_field, F.col("term").alias("word"), "df")
+    if distances is None:
+        # At most nine values: the distance is a single digit.
+        distances = sorted(r[0] for r in near.select("maxdist").distinct().collect())
+    by_field = [c for c in keys if c == "field"]
     carried = [c for c in terms.columns if c not in ("term", "maxdist")]
     if not distances:
         return near.join(vocab.select(*by_field, "term", "df"), [*by_field, "term"]).select(*carried, "term", "df")
+    words = vocab.select(*by_field, F.col("term").alias("word"), "df")
     pieces = _vocabulary_pieces(words, distances[0])
     for k in distances[1:]:
         pieces = pieces.unionByName(_vocabulary_pieces(words, k))
-    wanted = _query_pieces(near)
-    if holds_at_most(wanted, BROADCAST_ROWS):
-        wanted = F.broadcast(wanted)
-    return (
+    wanted = small_side(_query_pieces(near.select(*keys).distinct()))
+    pairs = (
         pieces.join(wanted, [*by_field, "maxdist", "len", "i", "piece"])
         .where(F.levenshtein("term", "word", 9).between(0, F.col("maxdist")))
-        .select(*carried, F.col("word").alias("term"), "df")
+        .select(*keys, "word", "df")
         .distinct()
     )
-
-
-def _in_buckets(filed: DataFrame, terms: DataFrame, buckets: int) -> DataFrame:
-    """Rows of the fields and buckets the terms are filed under; Spark prunes the other folders."""
-    used = terms.select("field", term_bucket(F.col("term"), buckets).alias("bucket")).distinct().collect()
-    if not used:
-        return filed.where(F.lit(False))
-    return filed.where(
-        F.col("field").isin(sorted({r["field"] for r in used})) & F.col("bucket").isin(sorted({r["bucket"] for r in used}))
-    )
+    return near.join(pairs, keys).select(*carried, F.col("word").alias("term"), "df")
 
 
 def with_field(terms: DataFrame) -> DataFrame:
@@ -104,37 +137,55 @@ def with_field(terms: DataFrame) -> DataFrame:
 def expand_terms(index: Index, terms: DataFrame) -> DataFrame:
     """Query terms to index terms: the columns of ``terms`` with ``df`` and ``fuzzy`` for ``maxdist``."""
     terms = with_field(terms)
-    plain = terms.where("maxdist = 0").drop("maxdist")
-    filed, keys = index.vocabulary, ["field", "term"]
-    if holds_at_most(plain, BROADCAST_ROWS):
-        filed, plain = _in_buckets(filed, plain, index.buckets), F.broadcast(plain)
-    exact = filed.select("field", "term", "df").join(plain, keys)
-    fields = [r[0] for r in terms.where("maxdist > 0").select("field").distinct().collect()]
-    near = fuzzy_term_join(terms, index.vocabulary.where(F.col("field").isin(fields)))
-    return exact.withColumn("fuzzy", F.lit(False)).unionByName(near.withColumn("fuzzy", F.lit(True)))
+    touched = footprint(terms, index.buckets)
+    plain = small_side(terms.where("maxdist = 0").drop("maxdist"), small=touched.small)
+    exact = (
+        _within(index.vocabulary, touched)
+        .select("field", "term", "df")
+        .join(plain, ["field", "term"])
+        .withColumn("fuzzy", F.lit(False))
+    )
+    if not touched.distances:
+        return exact
+    words = _within(index.vocabulary, touched, by_bucket=False)
+    return exact.unionByName(fuzzy_term_join(terms, words, touched.distances).withColumn("fuzzy", F.lit(True)))
 
 
-def postings_join(expanded: DataFrame, postings: DataFrame, buckets: int, small: int = BROADCAST_ROWS) -> DataFrame:
-    """Expanded terms with their postings.
+def postings_join(expanded: DataFrame, postings: DataFrame, buckets: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Expanded terms ``(field, term, df, …)`` with their postings.
 
     A small set of terms is broadcast to the posting lists, which then stay
-    where they are. A large one is joined by shuffle on term and salt: the salt
-    comes from the document, so the list of a frequent term is spread, and each
-    query term is repeated per salt.
+    where they are. A large one is joined by shuffle. There the list of a
+    frequent term is spread by a salt that comes from the document, and only the
+    rows of such a term are repeated per salt. How many terms can be that
+    frequent follows from the number of postings.
     """
     keys = ["field", "term"]
-    if holds_at_most(expanded, small):
-        return _in_buckets(postings, expanded, buckets).join(F.broadcast(expanded), keys)
-    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
-    salted = expanded.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return postings.withColumn("_salt", salt).join(salted, [*keys, "_salt"]).drop("_salt")
+    touched = footprint(expanded, buckets)
+    filed = _within(postings, touched)
+    if touched.rows <= min(PUSHED_TERMS, broadcast_rows):
+        # So few terms can go down to the files, where terms are in order.
+        terms = [r[0] for r in expanded.select("term").distinct().collect()]
+        filed = filed.where(F.col("term").isin(terms)) if terms else filed
+    if touched.rows <= broadcast_rows:
+        return filed.join(F.broadcast(expanded), keys)
+    hot = small_side(expanded.where(F.col("df") > HOT_POSTINGS).select(*keys, F.lit(True).alias("_hot")).distinct())
+    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int")
+    copies = F.sequence(F.lit(0), F.when(F.col("df") > HOT_POSTINGS, SALTS - 1).otherwise(0))
+    return (
+        filed.join(hot, keys, "left")
+        .withColumn("_salt", spread)
+        .drop("_hot")
+        .join(expanded.withColumn("_salt", F.explode(copies)), [*keys, "_salt"])
+        .drop("_salt")
+    )
 
 
 def matches(index: Index, terms: DataFrame) -> DataFrame:
     """All hits of the terms: their columns with ``df, fuzzy, key, tf, dl, positions``.
 
-    The expansion is looked at several times, to choose the folders to read and
-    for the join, so it is staged.
+    The expansion is looked at twice, to choose the folders to read and for the
+    join, so it is staged.
     """
     expanded = staged(expand_terms(index, terms), "expanded")
     return postings_join(expanded, index.postings, index.buckets).drop("bucket")

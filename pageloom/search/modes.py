@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.operators.sizing import BROADCAST_ROWS, holds_at_most
+from pageloom.operators.sizing import small_side
 from pageloom.search.analysis import TOKEN, query_terms
 from pageloom.search.index import Index
 from pageloom.search.match import FIELD, complete, matches, postings_join, with_field
@@ -45,10 +45,8 @@ def search_boolean(index: Index, queries: DataFrame) -> DataFrame:
         F.count_if(F.col("role") == "must_not").alias("n_banned"),
         F.round(F.sum(F.when(F.col("role") != "must_not", F.col("part"))), SCORE_DIGITS).alias("score"),
     )
-    if holds_at_most(needed, BROADCAST_ROWS):
-        needed = F.broadcast(needed)
     return (
-        counted.join(needed, "query_id", "left")
+        counted.join(small_side(needed), "query_id", "left")
         .where((F.col("n_banned") == 0) & (F.col("n_found") == F.coalesce("n_must", F.lit(0))) & F.col("score").isNotNull())
         .select("query_id", "key", "score")
     )
@@ -109,6 +107,21 @@ def _tagged(kind: str, letters: Column) -> Column:
     return F.transform(letters, lambda each: F.struct(F.lit(kind).alias("kind"), each.alias("letters")))
 
 
+def _matches(word: Column, pattern: Column) -> Column:
+    """Whether the word matches; the plain shapes need no regular expression per row."""
+    inner = F.replace(pattern, F.lit(ANY), F.lit(""))
+    n_any = F.length(pattern) - F.length(inner)
+    only_any = F.instr(pattern, ONE) == 0
+    escaped = F.replace(pattern, F.lit("."), F.lit(r"\."))
+    regex = F.replace(F.replace(escaped, F.lit(ANY), F.lit(".*")), F.lit(ONE), F.lit("."))
+    return (
+        F.when(only_any & (n_any == 1) & pattern.endswith(ANY), F.startswith(word, inner))
+        .when(only_any & (n_any == 1) & pattern.startswith(ANY), F.endswith(word, inner))
+        .when(only_any & (n_any == 2) & pattern.startswith(ANY) & pattern.endswith(ANY), F.contains(word, inner))
+        .otherwise(F.regexp_like(word, F.concat(F.lit("^"), regex, F.lit("$"))))
+    )
+
+
 def wildcard_terms(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Patterns ``(…, field, pattern)`` with the vocabulary terms they match, as ``term`` and ``df``."""
     keyed = patterns.withColumn("_key", _pattern_keys(F.col("pattern"))).select(*patterns.columns, "_key.*")
@@ -119,13 +132,9 @@ def wildcard_terms(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
     if not shown:
         return patterns.join(vocabulary.select("field", "term", "df"), "field").where("false")
     keys = words.select("*", F.explode(F.concat(*shown)).alias("_s")).select(*words.columns, "_s.*")
-    if holds_at_most(keyed, BROADCAST_ROWS):
-        keyed = F.broadcast(keyed)
-    escaped = F.regexp_replace("pattern", r"([^\p{L}\p{N}_*?])", r"\\$1")
-    regex = F.concat(F.lit("^"), F.replace(F.replace(escaped, F.lit(ANY), F.lit(".*")), F.lit(ONE), F.lit(".")), F.lit("$"))
     return (
-        keys.join(keyed, ["field", "kind", "letters"])
-        .where(F.regexp_like("word", regex))
+        keys.join(small_side(keyed), ["field", "kind", "letters"])
+        .where(_matches(F.col("word"), F.col("pattern")))
         .select(*patterns.columns, F.col("word").alias("term"), "df")
     )
 

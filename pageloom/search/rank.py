@@ -118,7 +118,9 @@ def _ranked_by_sort(scored: DataFrame) -> DataFrame:
     )
 
 
-def search_page(scored: DataFrame, pagination: DataFrame, shallow_rows: int = SHALLOW_ROWS) -> DataFrame:
+def search_page(
+    scored: DataFrame, pagination: DataFrame, shallow_rows: int = SHALLOW_ROWS, small: bool | None = None
+) -> DataFrame:
     """Rows of the requested page of every query with their ``rank``, best first.
 
     When all pages lie near the top, the limit on the row number makes every
@@ -133,7 +135,7 @@ def search_page(scored: DataFrame, pagination: DataFrame, shallow_rows: int = SH
     else:
         ranked = _ranked_by_sort(scored)
     return (
-        ranked.join(small_side(wanted), "query_id")
+        ranked.join(small_side(wanted, small=small), "query_id")
         .where(F.col("rank").between(F.col("_first"), F.col("_last")))
         .select("query_id", F.col("rank").cast("bigint").alias("rank"), "key", "score")
     )

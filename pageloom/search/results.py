@@ -16,41 +16,43 @@ OPEN, CLOSE = "<b>", "</b>"
 _PIECES = rf"{TOKEN}|[^\p{{L}}\p{{N}}_]+"
 
 
-def snippet(text: Column, terms: Column, context: int = CONTEXT_PIECES) -> Column:
-    """The words around the first hit with the hits marked; without a hit the head of the text."""
-    pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
-    hits = F.transform(pieces, lambda p: F.array_contains(terms, F.lower(p)))
-    first = F.array_position(hits, F.lit(True))
-    begin = F.greatest(first - context, F.lit(1)).cast("int")
-    window = F.slice(pieces, begin, (first + context - begin + 1).cast("int"))
-    marked = F.transform(
-        window,
-        lambda p: F.when(F.array_contains(terms, F.lower(p)), F.concat(F.lit(OPEN), p, F.lit(CLOSE))).otherwise(p),
-    )
-    return F.when(first > 0, F.array_join(marked, "")).otherwise(
-        F.concat(F.left(text, F.lit(SNIPPET_CHARS)), F.lit("..."))
-    )
+def _is_term(piece: Column) -> Column:
+    return F.array_contains("_terms", F.lower(piece))
 
 
-def search_snippet(page_rows: DataFrame, terms: DataFrame) -> DataFrame:
+def search_snippet(
+    page_rows: DataFrame, terms: DataFrame, context: int = CONTEXT_PIECES, small: bool | None = None
+) -> DataFrame:
     """Add ``snippet`` to page rows that carry ``composite_text``.
 
-    ``terms(query_id, term)`` are the terms to mark. A query's terms are few, so
-    they travel as one array.
+    The snippet is the words around the first hit with the hits marked, or the
+    head of the text when there is none. ``terms(query_id, term)`` are the terms
+    to mark; a query's terms are few, so they travel as one array. The text is
+    cut up in one step and looked at in the next ones, each value made once.
     """
-    per_query = terms.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("_terms"))
-    empty = F.array().cast("array<string>")
+    per_query = terms.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("_found"))
+    text, first = F.col("composite_text"), F.col("_first")
+    begin = F.greatest(first - context, F.lit(1)).cast("int")
+    marked = F.transform("_window", lambda p: F.when(_is_term(p), F.concat(F.lit(OPEN), p, F.lit(CLOSE))).otherwise(p))
     return (
-        page_rows.join(small_side(per_query), "query_id", "left")
-        .withColumn("snippet", snippet(F.col("composite_text"), F.coalesce("_terms", empty)))
-        .drop("_terms")
+        page_rows.join(small_side(per_query, small=small), "query_id", "left")
+        # The rows of a page are few and their texts long: spread the work evenly.
+        .repartition("query_id", "rank")
+        .withColumn("_terms", F.coalesce("_found", F.array().cast("array<string>")))
+        .withColumn("_pieces", F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)))
+        .withColumn("_first", F.array_position(F.transform("_pieces", _is_term), F.lit(True)))
+        .withColumn(
+            "_window", F.when(first > 0, F.slice("_pieces", begin, (first + context - begin + 1).cast("int")))
+        )
+        .withColumn("snippet", F.coalesce(F.array_join(marked, ""), F.concat(F.left(text, F.lit(SNIPPET_CHARS)), F.lit("..."))))
+        .drop("_found", "_terms", "_pieces", "_first", "_window")
     )
 
 
-def search_result_record(page_rows: DataFrame, docs: DataFrame) -> DataFrame:
+def search_result_record(page_rows: DataFrame, docs: DataFrame, small: bool | None = None) -> DataFrame:
     """Page rows with the fields of their documents and all of them once more as ``full_record``.
 
     Page rows are few; broadcast, they pick their documents without moving the others.
     """
     fields = docs.select("*", F.struct(*docs.columns).alias("full_record"))
-    return fields.join(small_side(page_rows), "key")
+    return fields.join(small_side(page_rows, small=small), "key")
