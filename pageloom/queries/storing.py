@@ -107,17 +107,22 @@ def _(spark, sf):
     return summaries.summary_backlog(store(spark, sf)).select("key", "url")
 
 
-def describe(prompts: pd.Series) -> pd.Series:
-    """A stand-in for a model: says how long the prompt is, and gives up on some."""
-    if prompts.str.contains("src5 ").any() and len(prompts) > 1:
-        raise ValueError("cannot take these together")
-    if prompts.str.contains("src5 ").any():
-        raise ValueError("cannot take this one")
-    return prompts.map(lambda p: f"{len(p)} characters")
+def stand_in():
+    """A stand-in for a model: says how long the prompt is, and gives up on some.
+
+    A function made here travels to the workers whole, they need not import this package.
+    """
+
+    def describe(prompts: pd.Series) -> pd.Series:
+        if prompts.str.contains("src5[. ]").any():
+            raise ValueError("cannot take this one" if len(prompts) == 1 else "cannot take these together")
+        return prompts.map(lambda p: f"{len(p)} characters")
+
+    return describe
 
 
 _TEMPLATE = "{title} | {url} | {content}"
-_FAILS = "contains(prompt, 'src5 ')"
+_FAILS = "regexp_matches(prompt, 'src5[. ]')"
 _PROMPTED = f"""backlog AS (SELECT *, coalesce(title, name) || ' | ' || url || ' | ' ||
     CASE WHEN length(content) > 6000 THEN left(content, 6000) || '...' ELSE content END AS prompt FROM stored WHERE {_BACKLOG})"""
 
@@ -129,7 +134,7 @@ _PROMPTED = f"""backlog AS (SELECT *, coalesce(title, name) || ' | ' || url || '
 )
 def _(spark, sf):
     prompted = summaries.prompt_build(summaries.summary_backlog(store(spark, sf)), _TEMPLATE)
-    return summaries.summary_apply(prompted, describe, "stub").select("key", "summary", "summary_model")
+    return summaries.summary_apply(prompted, stand_in(), "stub").select("key", "summary", "summary_model")
 
 
 @query(
@@ -142,7 +147,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = store(spark, sf)
-    made = summaries.summary_apply(summaries.prompt_build(summaries.summary_backlog(rows), _TEMPLATE), describe, "stub")
+    made = summaries.summary_apply(summaries.prompt_build(summaries.summary_backlog(rows), _TEMPLATE), stand_in(), "stub")
     run = rows.withColumn("stored_summary", F.col("summary")).drop("summary").join(made.select("key", "summary"), "key", "left")
     return summaries.summary_run_counts(run)
 
@@ -157,7 +162,7 @@ def _(spark, sf):
     path = scratch_path(spark, "summarised")
     store_source.store_replace(stored(spark, sf), path)
     backlog = summaries.prompt_build(summaries.summary_backlog(store_source.store_scan(spark, path)), _TEMPLATE)
-    made = summaries.summary_apply(backlog, describe, "stub", F.lit(CRAWLED).cast("timestamp"))
+    made = summaries.summary_apply(backlog, stand_in(), "stub", F.lit(CRAWLED).cast("timestamp"))
     fit = summaries.stored_summaries(made)
     store_source.store_replace(upsert.store_upsert(store_source.store_scan(spark, path), fit, "key"), path)
     return store_source.store_scan(spark, path).select("key", "url", F.coalesce("summary", F.lit("none")).alias("summary"))

@@ -10,7 +10,7 @@ from pageloom.queries import query
 from pageloom.queries.inputs import (
     CONTENT_TYPES, CRAWLED, RESPONSES, SQL_HTML_TEXT, SQL_TITLE, STORED, by_event, sql_clean, store, stored, table,
 )
-from pageloom.queries.storing import describe
+from pageloom.queries.storing import stand_in
 from pageloom.session import scratch_path
 from pageloom.sources.store import store_replace, store_scan
 from pageloom.streaming import ingest as streaming
@@ -122,16 +122,10 @@ def _(spark, sf):
     target, side, checkpoint = (scratch_path(spark, n) for n in ("store", "summaries", "checkpoint"))
     store_replace(stored(spark, sf), target)
     running = streaming.stream_summary_backlog(
-        streaming.store_stream(spark, target), _refusing, "stub", side, checkpoint, streaming.AVAILABLE_NOW, _crawled()
+        streaming.store_stream(spark, target), stand_in(), "stub", side, checkpoint, streaming.AVAILABLE_NOW, _crawled()
     )
     running.awaitTermination()
     merged = with_summaries(store(spark, sf), summary_scan(spark, side))
     made = F.col("summary_model") == "stub"
     return merged.select("key", F.when(made, "stub").otherwise(F.coalesce("summary", F.lit("none"))).alias("summary"))
 
-
-def _refusing(prompts):
-    """Like the stand-in model, told by the address of the page."""
-    if prompts.str.contains("src5.example.com").any():
-        raise ValueError("cannot take these")
-    return describe(prompts.str.replace("src5 ", ""))
