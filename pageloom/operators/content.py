@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.functions.text import content_hash, is_blank, strip
+from pageloom.functions.text import is_blank, strip
 from pageloom.functions.urls import PLAIN, RENDERED
+from pageloom.operators.joins import with_content_hash
 from pageloom.schema import NO_TITLE, REASON_EMPTY
 
 # Fixed value: fewest characters a rendered page must have.
@@ -60,11 +61,10 @@ def content_compose(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def content_enrich(df: DataFrame, crawl_time: Column) -> DataFrame:
     """Add title, content length and hash, crawl time and crawl method."""
-    enriched = df.withColumns(
+    enriched = with_content_hash(df).withColumns(
         {
             "title": F.coalesce(F.col("name"), F.lit(NO_TITLE)),
             "content_length": F.length("content"),
-            "content_hash": content_hash(F.col("content")),
             "crawl_time": crawl_time,
         }
     )

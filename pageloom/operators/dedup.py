@@ -8,20 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.functions.text import content_hash
-from pageloom.functions.urls import url_hash
+from pageloom.operators.joins import with_content_hash, with_url_hash
 from pageloom.operators.numbering import first_per
 
 
 def url_dedup(df: DataFrame, order: str = "pos") -> DataFrame:
     """First bookmark per URL."""
-    return first_per(df.withColumn("url_hash", url_hash(F.col("url"))), "url_hash", F.col(order), F.col("url"))
+    return first_per(with_url_hash(df), "url_hash", F.col(order), F.col("url"))
 
 
 def content_dedup(df: DataFrame, order: str = "pos") -> DataFrame:
     """First page per content."""
-    hashed = df.withColumn("content_hash", content_hash(F.col("content")))
-    return first_per(hashed, "content_hash", F.col(order))
+    return first_per(with_content_hash(df), "content_hash", F.col(order))
 
 
 def index_key_dedup(docs: DataFrame, order: str = "pos") -> tuple[DataFrame, DataFrame]:

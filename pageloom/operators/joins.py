@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.functions.text import content_hash
 from pageloom.functions.urls import url_hash, video_id_extract
 from pageloom.operators.numbering import first_per
+from pageloom.operators.sizing import BROADCAST_ROWS, holds_at_most
 
 LOOKUP_ROWS = 50
 
@@ -16,25 +17,41 @@ PART_SNIPPETS = 4096
 CELL_CHARS = 200_000_000
 
 
-def incremental_url_antijoin(new: DataFrame, store: DataFrame) -> DataFrame:
-    """Bookmarks whose URL is not in the store yet. Of the store only hashes are read."""
-    known = store.select(_hash_of(store, "url_hash", "url"))
-    return _hashed(new, "url_hash", "url").join(known, "url_hash", "left_anti")
+def concerned(store: DataFrame, batch: DataFrame, column: str, small: bool | None = None) -> DataFrame:
+    """The rows of ``store`` that share a hash with the batch, at least.
+
+    A small batch picks them where they lie: its hashes are broadcast, and the
+    store, which may be any size, is not shuffled. For a large batch the store
+    is returned as it is and the join that follows shuffles both.
+    """
+    if small is None:
+        small = holds_at_most(batch.select(column), BROADCAST_ROWS)
+    return store.join(F.broadcast(batch.select(column).distinct()), column, "left_semi") if small else store
+
+
+def _unknown(new: DataFrame, store: DataFrame, column: str, small: bool | None) -> DataFrame:
+    known = concerned(store.select(column).where(F.col(column).isNotNull()), new, column, small)
+    return new.join(known, column, "left_anti")
+
 
+def with_url_hash(df: DataFrame) -> DataFrame:
+    """``df`` with the hash of its URL; one that is there is not made again."""
+    return df if "url_hash" in df.columns else df.withColumn("url_hash", url_hash(F.col("url")))
 
-def content_antijoin(new: DataFrame, store: DataFrame) -> DataFrame:
-    """Pages whose content is not in the store yet."""
-    known = store.select(_hash_of(store, "content_hash", "content")).where("content_hash IS NOT NULL")
-    return _hashed(new, "content_hash", "content").join(known, "content_hash", "left_anti")
 
+def with_content_hash(df: DataFrame) -> DataFrame:
+    """``df`` with the hash of its content; one that is there is not made again."""
+    return df if "content_hash" in df.columns else df.withColumn("content_hash", content_hash(F.col("content")))
 
-def _hash_of(df: DataFrame, column: str, source: str):
-    make = url_hash if source == "url" else content_hash
-    return F.col(column) if column in df.columns else make(F.col(source)).alias(column)
+
+def incremental_url_antijoin(new: DataFrame, store: DataFrame, small: bool | None = None) -> DataFrame:
+    """Bookmarks whose URL is not in the store yet. Of the store only hashes are read."""
+    return _unknown(with_url_hash(new), with_url_hash(store), "url_hash", small)
 
 
-def _hashed(df: DataFrame, column: str, source: str) -> DataFrame:
-    return df.withColumn(column, _hash_of(df, column, source))
+def content_antijoin(new: DataFrame, store: DataFrame, small: bool | None = None) -> DataFrame:
+    """Pages whose content is not in the store yet. Of the store only hashes are read."""
+    return _unknown(with_content_hash(new), with_content_hash(store), "content_hash", small)
 
 
 def index_update_antijoin(docs: DataFrame, index_docs: DataFrame) -> DataFrame:
@@ -50,7 +67,8 @@ def existing_summary_join(df: DataFrame, store: DataFrame) -> DataFrame:
 
 def failed_bookmark_join(bookmarks: DataFrame, failed: DataFrame) -> DataFrame:
     """Bookmarks with a failure, as rows that carry the reason."""
-    reasons = failed.select("url", F.col("reason").alias("error"))
+    order = F.col("pos" if "pos" in failed.columns else "reason")
+    reasons = first_per(failed, "url", order).select("url", F.col("reason").alias("error"))
     return bookmarks.join(reasons, "url")
 
 
@@ -120,14 +138,26 @@ def video_metadata_join(bookmarks: DataFrame, meta: DataFrame, transcripts: Data
     return videos.unionByName(others).drop("video_id")
 
 
-def lookup_by_domain(store: DataFrame, domain: str, limit: int = LOOKUP_ROWS) -> DataFrame:
-    """The first bookmarks of a domain, by key."""
-    return store.where(F.col("domain") == domain.lower()).orderBy("key").limit(limit)
+def _lookup(store: DataFrame, condition: Column, limit: int, index: DataFrame | None) -> DataFrame:
+    if index is None:
+        return store.where(condition).orderBy("key").limit(limit)
+    first = index.where(condition).orderBy("block").limit(limit)
+    keys = [r[0] for r in first.select(F.explode("keys").alias("key")).orderBy("key").limit(limit).collect()]
+    return store.where(F.col("key").isin(keys) if keys else F.lit(False)).orderBy("key").limit(limit)
+
+
+def lookup_by_domain(store: DataFrame, domain: str, limit: int = LOOKUP_ROWS, index: DataFrame | None = None) -> DataFrame:
+    """The first bookmarks of a domain, by key.
+
+    With a domain index the keys, at most ``limit``, are looked up there and
+    only those rows of the store are read.
+    """
+    return _lookup(store, F.col("domain") == domain.lower(), limit, index)
 
 
-def lookup_by_date(store: DataFrame, date: str, limit: int = LOOKUP_ROWS) -> DataFrame:
-    """The first bookmarks of a day, by key."""
-    return store.where(F.col("date") == F.lit(date).cast("date")).orderBy("key").limit(limit)
+def lookup_by_date(store: DataFrame, date: str, limit: int = LOOKUP_ROWS, index: DataFrame | None = None) -> DataFrame:
+    """The first bookmarks of a day, by key; with a date index like ``lookup_by_domain``."""
+    return _lookup(store, F.col("date") == F.lit(date).cast("date"), limit, index)
 
 
 def latest_per_url(df: DataFrame, order: str) -> DataFrame:

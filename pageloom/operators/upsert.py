@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.functions.text import content_hash, is_blank
 from pageloom.functions.urls import domain_extract, url_hash
-from pageloom.operators.joins import latest_per_url
+from pageloom.operators.joins import concerned, latest_per_url, with_url_hash
 from pageloom.operators.numbering import number_rows
+from pageloom.operators.sizing import BROADCAST_ROWS, holds_at_most, small_side
 from pageloom.schema import STORE
+from pageloom.session import staged
 
 
 def ok_error_union(ok: DataFrame, errored: DataFrame, skip_unreachable: bool = False) -> DataFrame:
@@ -40,19 +42,15 @@ def next_key(store: DataFrame) -> "F.Column":
     return store.agg(F.coalesce(F.max("key"), F.lit(0)).alias("max_key")).scalar()
 
 
-def key_assign(batch: DataFrame, store: DataFrame, order: str = "pos") -> DataFrame:
+def key_assign(batch: DataFrame, store: DataFrame, order: str = "pos", small: bool | None = None) -> DataFrame:
     """Add ``key`` to a batch with one row per URL.
 
     Known URLs keep theirs, new ones count on from the highest key in the order
     of arrival. Only URL hash and key of the store take part.
     """
-    known = store.select(
-        F.col("url_hash") if "url_hash" in store.columns else url_hash(F.col("url")).alias("url_hash"),
-        F.col("key").alias("_known"),
-    )
-    hashed = batch if "url_hash" in batch.columns else batch.withColumn("url_hash", url_hash(F.col("url")))
-    hashed = hashed.withColumn("_order", F.col(order)).drop("key")
-    matched = hashed.join(known, "url_hash", "left")
+    hashed = with_url_hash(batch).withColumn("_order", F.col(order)).drop("key")
+    keys = with_url_hash(store).select("url_hash", F.col("key").alias("_known"))
+    matched = hashed.join(concerned(keys, hashed, "url_hash", small), "url_hash", "left")
     old = matched.where("_known IS NOT NULL").withColumn("key", F.col("_known"))
     new = number_rows(matched.where("_known IS NULL"), "_order", "_seq").withColumn(
         "key", F.col("_seq") + next_key(store)
@@ -64,9 +62,12 @@ def store_upsert(store: DataFrame, batch: DataFrame, order: str = "pos") -> Data
     """The store after a batch: same URL replaces the record and keeps its key, others are added.
 
     Rows with a blank URL are skipped; of several rows with one URL the last
-    counts. The old records leave by an anti join on the hash.
+    counts. The batch with its keys is staged, as it is needed twice: to leave
+    out the old records and to add the new ones. If it is small, the store is
+    only read and filtered, not shuffled.
     """
-    latest = latest_per_url(batch.where(~is_blank(F.col("url"))), order)
-    keyed = to_store_rows(key_assign(latest, store, order))
-    kept = store.join(keyed.select("url_hash"), "url_hash", "left_anti")
+    latest = staged(latest_per_url(batch.where(~is_blank(F.col("url"))), order), "latest")
+    small = holds_at_most(latest.select("url"), BROADCAST_ROWS)
+    keyed = staged(to_store_rows(key_assign(latest, store, order, small)), "keyed")
+    kept = store.join(small_side(keyed.select("url_hash"), small=small), "url_hash", "left_anti")
     return to_store_rows(kept).unionByName(keyed)

@@ -13,10 +13,11 @@ from pageloom.functions.urls import PLAIN, RENDERED, site_route
 from pageloom.operators.content import composed, content_enrich, has_title, usable_rendered
 from pageloom.operators.dedup import content_dedup, url_dedup
 from pageloom.operators.filters import eligible_url_filter, is_text_type, non_text_reason
-from pageloom.operators.joins import content_antijoin, incremental_url_antijoin
+from pageloom.operators.joins import content_antijoin, incremental_url_antijoin, with_content_hash
 from pageloom.operators.numbering import first_per
 from pageloom.operators.ordering import crawl_limit
 from pageloom.operators.parsers import Parser, parser_chain
+from pageloom.operators.sizing import BROADCAST_ROWS, holds_at_most
 from pageloom.operators.stats import run_summary
 from pageloom.operators.upsert import key_assign, ok_error_union, to_store_rows
 from pageloom.schema import REASON_EMPTY, REASON_RENDERED_SITE, REASON_REQUEST
@@ -35,7 +36,7 @@ class Ingested:
 
 
 def new_bookmarks(
-    bookmarks: DataFrame, store: DataFrame, parsers: dict[str, Parser] | None = None
+    bookmarks: DataFrame, store: DataFrame, parsers: dict[str, Parser] | None = None, small: bool | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Eligible bookmarks, and of those the first per URL that the store lacks.
 
@@ -45,9 +46,9 @@ def new_bookmarks(
     eligible = eligible_url_filter(bookmarks)
     candidates = eligible
     if parsers:
-        candidates = parser_chain(incremental_url_antijoin(eligible, store), parsers).drop("url_hash")
+        candidates = parser_chain(incremental_url_antijoin(eligible, store, small), parsers).drop("url_hash")
     # First wins before the anti join: a URL with very many copies enters it once.
-    return eligible, incremental_url_antijoin(url_dedup(candidates), store)
+    return eligible, incremental_url_antijoin(url_dedup(candidates), store, small)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -85,13 +86,14 @@ def attempt(bookmarks: DataFrame, pages: DataFrame, rendered: DataFrame | None =
     )
     use_rendered = by_browser | blank
     text = F.when(use_rendered, F.col("rendered_text")).otherwise(F.col("text"))
-    return joined.withColumns(
+    found = joined.withColumns(
         {
             "reason": reason,
             "content": composed(F.col("html_title"), text),
             "crawl_method": F.when(use_rendered, RENDERED).otherwise(PLAIN),
         }
-    ).drop("html_title", "text", "rendered_text", "readable", "content_type", "status")
+    )
+    return with_content_hash(found).drop("html_title", "text", "rendered_text", "readable", "content_type", "status")
 
 
 def ingest(
@@ -107,19 +109,22 @@ def ingest(
     """One run: filter, parse, skip known URLs, extract, skip known content, give keys.
 
     The outcome of every bookmark is staged once; rows, failures and counts are
-    then read from it, and the long plan is not run again for each of them.
+    then read from it, and the long plan is not run again for each of them. One
+    count of the bookmarks tells all joins with the store whether the run is
+    small beside it.
     """
-    eligible, fresh = new_bookmarks(bookmarks, store, parsers)
+    small = holds_at_most(bookmarks.select("url"), BROADCAST_ROWS)
+    eligible, fresh = new_bookmarks(bookmarks, store, parsers, small)
     outcome = staged(attempt(fresh, pages, rendered), "outcome")
-    failed = outcome.where("reason IS NOT NULL").drop("content", "crawl_method")
-    fetched = content_antijoin(content_dedup(outcome.where("reason IS NULL").drop("reason")), store)
+    failed = outcome.where("reason IS NOT NULL").drop("content", "content_hash", "crawl_method")
+    fetched = content_antijoin(content_dedup(outcome.where("reason IS NULL").drop("reason")), store, small)
     ok = content_enrich(fetched, crawl_time)
     errored = failed.withColumn("error", F.col("reason")).withColumn("crawl_time", crawl_time).drop("reason")
     rows = ok_error_union(ok, errored, skip_unreachable)
     if limit:
         rows = crawl_limit(rows, limit)
     day = date_extract(F.col("date_added"), F.col("crawl_time"), F.to_date(crawl_time))
-    rows = staged(to_store_rows(key_assign(rows.withColumn("date", day), store)), "rows")
+    rows = staged(to_store_rows(key_assign(rows.withColumn("date", day), store, small=small)), "rows")
     failures = failed.select(
         "pos", "url", F.col("name").alias("title"), "reason",
         F.date_format(crawl_time, "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),

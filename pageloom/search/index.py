@@ -142,24 +142,23 @@ def postings_build(
     return Index(unique, postings, *corpus_stats(postings, unique), buckets)
 
 
-def _write_filed(df: DataFrame, path: str, *spread) -> None:
-    """Write by field and bucket, terms in order, so a search skips what its terms do not touch."""
+def _write_filed(df: DataFrame, path: str) -> None:
+    """Write by field and bucket, terms in order, so a search skips what its terms do not touch.
+
+    Rebalancing brings a bucket together and at run time splits one that is too
+    big for a task, so a term that is in every document makes several files.
+    """
     filed = ("field", "bucket")
-    df.repartition(*filed, *spread).sortWithinPartitions(*filed, "term").write.mode("overwrite").partitionBy(
+    df.hint("rebalance", *filed).sortWithinPartitions(*filed, "term").write.mode("overwrite").partitionBy(
         *filed
     ).parquet(path)
 
 
-def write_index(index: Index, path: str, splits: int = 1) -> None:
-    """Write an index.
-
-    ``splits`` spreads the postings of one bucket, and so of one frequent term,
-    over that many tasks and files. Vocabulary and sizes come from the postings
-    as written.
-    """
+def write_index(index: Index, path: str) -> None:
+    """Write an index. Vocabulary and sizes come from the postings as written."""
     spark = index.docs.sparkSession
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    _write_filed(index.postings, f"{path}/postings", F.pmod(F.xxhash64("key"), F.lit(splits)))
+    _write_filed(index.postings, f"{path}/postings")
     docs = spark.read.schema(DOCS_DDL).parquet(f"{path}/docs")
     postings = spark.read.schema(POSTINGS_DDL).parquet(f"{path}/postings")
     _write_filed(vocabulary_of(postings), f"{path}/vocabulary")
@@ -167,11 +166,11 @@ def write_index(index: Index, path: str, splits: int = 1) -> None:
     sizes.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
 
 
-def build_index(docs: DataFrame, path: str, splits: int = 1, **options) -> Index:
+def build_index(docs: DataFrame, path: str, **options) -> Index:
     """Build an index on disk. Documents are staged, so the postings do not run what made them again."""
     spark = docs.sparkSession
     unique = staged(first_per(docs, "key", F.col("pos")).select(*DOC_COLUMNS), "docs")
-    write_index(postings_build(unique, **options), path, splits)
+    write_index(postings_build(unique, **options), path)
     return read_index(spark, path)
 
 

@@ -79,11 +79,16 @@ def segment_committed(spark: SparkSession, path: str, segment: str) -> bool:
 
 
 def store_append(rows: DataFrame, path: str, segment: str) -> None:
-    """Add rows as one segment of the newest version. The same segment name replaces the segment."""
+    """Add rows as one segment of the newest version. The same segment name replaces the segment.
+
+    Keys grow with time and are in order within a file, so reading by key skips
+    most of the store.
+    """
     spark = rows.sparkSession
     version = current_version(spark, path)
     base = _version_path(path, 1 if version is None else version)
-    rows.select(*STORE.names).write.mode("overwrite").parquet(f"{base}/seg={segment}")
+    ordered = rows.select(*STORE.names).sortWithinPartitions("key")
+    ordered.write.mode("overwrite").parquet(f"{base}/seg={segment}")
     if version is None:
         fs.touch(spark, f"{base}/{READY}")
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pageloom.operators.dedup import url_dedup
 from pageloom.operators.joins import incremental_url_antijoin
+from pageloom.operators.sizing import BROADCAST_ROWS, holds_at_most
 from pageloom.operators.summaries import prompt_build, stored_summaries, summary_apply, summary_backlog
 from pageloom.plans.ingest import ingest
 from pageloom.plans.summarise import summary_scan
@@ -32,7 +33,8 @@ def stream_url_dedup(batch: DataFrame, store: DataFrame, order: str = "pos") ->
 
     The store is the memory of earlier batches, so the stream keeps no state.
     """
-    return incremental_url_antijoin(url_dedup(batch, order), store)
+    small = holds_at_most(batch.select("url"), BROADCAST_ROWS)
+    return incremental_url_antijoin(url_dedup(batch, order), store, small)
 
 
 def stream_page_ingest(

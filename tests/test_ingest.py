@@ -265,3 +265,28 @@ def test_error_rows_with_original_bookmarks(spark):
     both = upsert.ok_error_union(three.where("pos < 2"), errored)
     assert rows(both, "url", "error") == [("u1", None), ("u2", None), ("u3", "fail")]
     assert upsert.ok_error_union(three.where("pos < 2"), errored, skip_unreachable=True).count() == 2
+
+
+def test_lookups_with_and_without_index(spark):
+    store = spark.range(1, 2001).select(
+        F.col("id").alias("key"), F.when(F.col("id") % 3 == 0, "hot.com").otherwise("a.com").alias("domain"),
+        F.when(F.col("id") % 3 == 0, "2023-01-01").otherwise("2023-01-02").cast("date").alias("date"),
+    )
+    wanted = [(k,) for k in range(3, 153, 3)]
+    for index in (None, stats.domain_index_build(store, 64)):
+        assert joins.lookup_by_domain(store, "HOT.com", index=index).select("key").collect() == wanted
+        assert joins.lookup_by_domain(store, "none.com", index=index).count() == 0
+    for index in (None, stats.date_index_build(store, 64)):
+        assert joins.lookup_by_date(store, "2023-01-01", index=index).select("key").collect() == wanted
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_antijoins_and_keys_for_small_and_large_batches(spark, small):
+    store = upsert.to_store_rows(spark.createDataFrame([(5, "u1", "c1"), (6, "u2", None)], "key long, url string, content string"))
+    batch = spark.createDataFrame([(1, "u1", "c9"), (2, "u3", "c1"), (3, "u4", None), (4, "u3", "c3")], "pos long, url string, content string")
+    assert rows(joins.incremental_url_antijoin(batch, store, small), "pos") == [(2,), (3,), (4,)]
+    assert rows(joins.content_antijoin(batch, store, small), "pos") == [(1,), (3,), (4,)]
+    keyed = upsert.key_assign(batch.where("pos < 4"), store, small=small)
+    assert rows(keyed, "pos", "key") == [(1, 5), (2, 7), (3, 8)]
+    plan = joins.incremental_url_antijoin(batch, store.hint("merge"), small)._jdf.queryExecution().optimizedPlan().toString()
+    assert ("LeftSemi" in plan) == small

@@ -85,7 +85,7 @@ def test_prepare_and_update(spark):
     assert updated.vocabulary.where("field = 'content' AND term = 'text'").first()["df"] == 2006
     assert updated.corpus.where("field = 'title'").first()["n_docs"] == 2006
     path = scratch_path(spark, "index")
-    index.write_index(updated, path, splits=2)
+    index.write_index(updated, path)
     assert search_one(index.read_index(spark, path), "fresh")[1].first()["total_results"] == 1
 
 
