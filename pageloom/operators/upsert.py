@@ -50,7 +50,8 @@ def key_assign(batch: DataFrame, store: DataFrame, order: str = "pos", small: bo
     """
     hashed = with_url_hash(batch).withColumn("_order", F.col(order)).drop("key")
     keys = with_url_hash(store).select("url_hash", F.col("key").alias("_known"))
-    matched = hashed.join(concerned(keys, hashed, "url_hash", small), "url_hash", "left")
+    # Looked at three times below: the old ones, the number of new ones, the new ones.
+    matched = staged(hashed.join(concerned(keys, hashed, "url_hash", small), "url_hash", "left"), "matched")
     old = matched.where("_known IS NOT NULL").withColumn("key", F.col("_known"))
     new = number_rows(matched.where("_known IS NULL"), "_order", "_seq").withColumn(
         "key", F.col("_seq") + next_key(store)
@@ -66,8 +67,8 @@ def store_upsert(store: DataFrame, batch: DataFrame, order: str = "pos") -> Data
     out the old records and to add the new ones. If it is small, the store is
     only read and filtered, not shuffled.
     """
-    latest = staged(latest_per_url(batch.where(~is_blank(F.col("url"))), order), "latest")
-    small = holds_at_most(latest.select("url"), BROADCAST_ROWS)
+    small = holds_at_most(batch.select("url"), BROADCAST_ROWS)
+    latest = latest_per_url(batch.where(~is_blank(F.col("url"))), order)
     keyed = staged(to_store_rows(key_assign(latest, store, order, small)), "keyed")
     kept = store.join(small_side(keyed.select("url_hash"), small=small), "url_hash", "left_anti")
     return to_store_rows(kept).unionByName(keyed)
