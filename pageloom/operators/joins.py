@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.functions.text import content_hash
 from pageloom.functions.urls import url_hash, video_id_extract
-from pageloom.operators.numbering import first_per
+from pageloom.operators.numbering import first_per, first_rows
 from pageloom.operators.sizing import BROADCAST_ROWS, holds_at_most
 
 LOOKUP_ROWS = 50
@@ -140,7 +140,7 @@ def video_metadata_join(bookmarks: DataFrame, meta: DataFrame, transcripts: Data
 
 def _lookup(store: DataFrame, condition: Column, limit: int, index: DataFrame | None) -> DataFrame:
     if index is None:
-        return store.where(condition).orderBy("key").limit(limit)
+        return first_rows(store.where(condition), limit, "key").orderBy("key")
     first = index.where(condition).orderBy("block").limit(limit)
     keys = [r[0] for r in first.select(F.explode("keys").alias("key")).orderBy("key").limit(limit).collect()]
     return store.where(F.col("key").isin(keys) if keys else F.lit(False)).orderBy("key").limit(limit)
