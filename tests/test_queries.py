@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as driver
+from pageloom import queries as registered
 from pageloom.queries.compare import differences, duckdb_views
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = registered.QUERIES, registered.SQL
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,7 @@ def db():
 
 def test_all_have_sql():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
 
 
 def test_entry(spark):
