@@ -9,23 +9,39 @@ stays, all others are removed. Offsets are those of the original text.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNITS = {
-    "line": re.compile(r"[^\n]+"),
-    "sentence": re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|$)", re.MULTILINE),
-    "paragraph": re.compile(r"\S(?:(?!\n[ \t]*\n)[\s\S])*"),
+from pageloom.session import staged
+
+#: What ends a unit.
+ENDS = {
+    "line": re.compile(r"\n"),
+    "sentence": re.compile(r"[.!?]+(?=\s)|\n"),
+    "paragraph": re.compile(r"\n[ \t]*\n"),
 }
-_BLANK = re.compile(r"\s+")
+#: Units that go to Arrow at once.
+BATCH_UNITS = 100_000
+
 
+def cut(text: str, unit: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, stop, words) of the units of a text, white space around them left out; signs that end a sentence belong to it."""
+    at = 0
+    for end in (*(m.end() for m in ENDS[unit].finditer(text)), len(text)):
+        raw = text[at:end]
+        words = raw.split()
+        if words:
+            yield at + len(raw) - len(raw.lstrip()), end - len(raw) + len(raw.rstrip()), words
+        at = end
 
-def normalised(unit: str) -> str:
+
+def normalised(words: list[str]) -> str:
     """What makes two units equal: the text without case, its white space runs as one blank."""
-    return _BLANK.sub(" ", unit).strip().casefold()
+    return " ".join(words).casefold()
 
 
 def unit_digests(docs: DataFrame, unit: str = "sentence", min_words: int = 5) -> DataFrame:
@@ -33,30 +49,26 @@ def unit_digests(docs: DataFrame, unit: str = "sentence", min_words: int = 5) ->
 
     ``start`` and ``stop`` count code points of the original text and leave out white space around the unit.
     """
-    pattern = UNITS[unit]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        rows: list[tuple] = []
         for batch in batches:
-            for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"]):
-                rows = []
-                for k, m in enumerate(pattern.finditer(text)):
-                    raw = m.group()
-                    norm = normalised(raw)
-                    if norm.count(" ") + 1 < min_words:
-                        continue
-                    h = xxhash.xxh3_128_intdigest(norm.encode("utf-8", "surrogatepass"))
-                    start = m.start() + len(raw) - len(raw.lstrip())
-                    rows.append((k, start, m.end() - len(raw) + len(raw.rstrip()), (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)))
-                if rows:
-                    out = pd.DataFrame(rows, columns=["unit", "start", "stop", "h1", "h2"])
-                    out.insert(0, "text_key", key)
-                    out.insert(0, "doc_id", pd.array([doc_id] * len(rows), dtype="Int64"))
-                    yield out
-
+            for doc_id, key, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                for k, (start, stop, words) in enumerate(cut(text, unit)):
+                    if len(words) >= min_words:
+                        rows.append((doc_id, key, k, start, stop, *struct.unpack(">qq", xxhash.xxh3_128_digest(normalised(words).encode("utf-8", "surrogatepass")))))
+                        if len(rows) >= BATCH_UNITS:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                            rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    long, int_ = pa.int64(), pa.int32()
+    schema = pa.schema([("doc_id", long), ("text_key", long), ("unit", int_), ("start", int_), ("stop", int_), ("h1", long), ("h2", long)])
     named = docs.where("text IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    return named.mapInPandas(cut, "doc_id long, text_key long, unit int, start int, stop int, h1 long, h2 long")
+    return named.mapInArrow(digest, "doc_id long, text_key long, unit int, start int, stop int, h1 long, h2 long")
 
 
 def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = 5) -> DataFrame:
@@ -65,7 +77,8 @@ def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = 5)
     The earliest occurrence is the one of the smallest (doc_id, unit number), a NULL doc_id last, ties by the text's hash. Rows
     that have doc_id and text in common are one document: they lose the same spans.
     """
-    units = unit_digests(docs, unit, min_words)
+    # Cut once: the table serves the grouping and the join.
+    units = staged(unit_digests(docs, unit, min_words), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "unit", "text_key")
     first = units.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first < last").select("h1", "h2", "first")
     again = units.join(first, ["h1", "h2"]).where(rank > F.col("first"))
