@@ -5,22 +5,20 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-# Shortest text looked at, sample length, share and run length of
-# characters beyond ASCII that make a text suspect.
+# Shortest text looked at, share and run length of characters
+# beyond ASCII that make a text suspect.
 MIN_CHARS = 20
-SAMPLE_CHARS = 1000
 MIN_SHARE = 0.1
 RUN = 10
 
 
 def encoding_suspect(text: Column) -> Column:
-    """True when the head of the text is rich in, and has a long run of, non-ASCII characters."""
-    sample = F.left(text, F.lit(SAMPLE_CHARS))
-    n_foreign = F.length(F.regexp_replace(sample, r"[\x00-\x7F]", ""))
+    """True when the text is rich in, and has a long run of, non-ASCII characters."""
+    n_foreign = F.length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))
     return F.coalesce(
         (F.length(text) >= MIN_CHARS)
-        & (n_foreign >= F.length(sample) * F.lit(MIN_SHARE))
-        & sample.rlike(rf"[^\x00-\x7F]{{{RUN}}}"),
+        & (n_foreign >= F.length(text) * F.lit(MIN_SHARE))
+        & text.rlike(rf"[^\x00-\x7F]{{{RUN}}}"),
         F.lit(False),
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, functions as F
 from pageloom.functions.text import SPACE, strip
 from pageloom.schema import NO_TITLE
 
-# Elements whose whole subtree is not page text.
+# Elements whose whole subtree is not page text (meta and link hold no text); those in RAW also hide comments.
 DROPPED = ("nav", "footer", "header")
 RAW = ("script", "style")
 
@@ -130,4 +130,4 @@ def article_extract(html: Column, selectors=ARTICLE_SELECTORS, strip_nodes: bool
     if not strip_nodes:
         return decode_entities(F.translate(F.regexp_replace(markup, _TAG, ""), _NODE_BREAK, ""))
     text = decode_entities(F.regexp_replace(markup, _TAG, _NODE_BREAK))
-    return strip(F.regexp_replace(text, f"{SPACE}*{_NODE_BREAK}(?:{SPACE}|{_NODE_BREAK})*", ""))
+    return strip(F.regexp_replace(text, rf"(?<!{SPACE}){SPACE}*+{_NODE_BREAK}[{_NODE_BREAK}{SPACE[1:]}*+", ""))

@@ -6,15 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.functions.text import content_hash
 from pageloom.functions.urls import url_hash, video_id_extract
-from pageloom.operators.numbering import first_per, first_rows
+from pageloom.operators.numbering import first_per
 from pageloom.operators.sizing import BROADCAST_ROWS, holds_at_most
 
-LOOKUP_ROWS = 50
-
 # Snippets per part of a transcript. A part is what one task puts together.
 PART_SNIPPETS = 4096
-# Longest text that is put into one cell; Spark cannot hold one over 2 GB.
-CELL_CHARS = 200_000_000
 
 
 def concerned(store: DataFrame, batch: DataFrame, column: str, small: bool | None = None) -> DataFrame:
@@ -86,17 +82,15 @@ def transcript_format(snippets: DataFrame, part_snippets: int = PART_SNIPPETS) -
     )
 
 
-def transcript_cells(parts: DataFrame, max_chars: int = CELL_CHARS) -> DataFrame:
-    """Put the parts of each video into one cell.
+def transcript_cells(parts: DataFrame) -> DataFrame:
+    """Put the parts of each video into one cell, whole.
 
-    Videos over ``max_chars`` do not fit into a cell. They have a NULL
-    transcript here and stay whole in the parts table.
+    A cell holds 2 GB; a job that meets a longer transcript fails instead of leaving it out. Such
+    videos are worked on in the parts table.
     """
-    sizes = parts.groupBy("video_id").agg(
-        F.sum(F.length("transcript")).alias("chars"), F.count(F.lit(1)).alias("transcript_parts")
-    )
-    fitting = sizes.where((F.col("chars") <= max_chars) & (F.col("transcript_parts") > 1))
-    single = sizes.where((F.col("chars") <= max_chars) & (F.col("transcript_parts") == 1))
+    sizes = parts.groupBy("video_id").agg(F.count(F.lit(1)).alias("transcript_parts"))
+    fitting = sizes.where(F.col("transcript_parts") > 1)
+    single = sizes.where(F.col("transcript_parts") == 1)
     joined = (
         parts.join(fitting.select("video_id"), "video_id", "left_semi")
         .groupBy("video_id")
@@ -138,25 +132,29 @@ def video_metadata_join(bookmarks: DataFrame, meta: DataFrame, transcripts: Data
     return videos.unionByName(others).drop("video_id")
 
 
-def _lookup(store: DataFrame, condition: Column, limit: int, index: DataFrame | None) -> DataFrame:
+def _lookup(store: DataFrame, condition: Column, limit: int | None, index: DataFrame | None) -> DataFrame:
+    if limit is None:
+        if index is None:
+            return store.where(condition).orderBy("key")
+        keys = index.where(condition).select(F.explode("keys").alias("key"))
+        return store.join(keys, "key", "left_semi").orderBy("key")
     if index is None:
-        return first_rows(store.where(condition), limit, "key").orderBy("key")
+        return store.where(condition).orderBy("key").limit(limit)
     first = index.where(condition).orderBy("block").limit(limit)
     keys = [r[0] for r in first.select(F.explode("keys").alias("key")).orderBy("key").limit(limit).collect()]
     return store.where(F.col("key").isin(keys) if keys else F.lit(False)).orderBy("key").limit(limit)
 
 
-def lookup_by_domain(store: DataFrame, domain: str, limit: int = LOOKUP_ROWS, index: DataFrame | None = None) -> DataFrame:
-    """The first bookmarks of a domain, by key.
+def lookup_by_domain(store: DataFrame, domain: str, limit: int | None = None, index: DataFrame | None = None) -> DataFrame:
+    """The bookmarks of a domain, by key; with ``limit`` the first ones.
 
-    With a domain index the keys, at most ``limit``, are looked up there and
-    only those rows of the store are read.
+    With a domain index the keys are looked up there and only those rows of the store are read.
     """
     return _lookup(store, F.col("domain") == domain.lower(), limit, index)
 
 
-def lookup_by_date(store: DataFrame, date: str, limit: int = LOOKUP_ROWS, index: DataFrame | None = None) -> DataFrame:
-    """The first bookmarks of a day, by key; with a date index like ``lookup_by_domain``."""
+def lookup_by_date(store: DataFrame, date: str, limit: int | None = None, index: DataFrame | None = None) -> DataFrame:
+    """The bookmarks of a day, by key; with a date index like ``lookup_by_domain``."""
     return _lookup(store, F.col("date") == F.lit(date).cast("date"), limit, index)
 
 

@@ -49,19 +49,11 @@ def number_rows(df: DataFrame, order: str, out: str) -> DataFrame:
     )
 
 
-# Up to this many positions a top-n merge is cheaper than numbering everything.
-TOP_N_ROWS = 1000
-
-
 def first_rows(df: DataFrame, n: int, order: str) -> DataFrame:
-    """The ``n`` rows with the lowest value of the unique integer column ``order``.
+    """Exactly the ``n`` rows with the lowest value of the integer column ``order``, or all if there are fewer.
 
-    Only positions are compared to find where the ``n`` rows end; the rows
-    themselves are filtered where they are.
+    Which of the rows at one position come first is open.
     """
-    if n <= TOP_N_ROWS:
-        last = df.select(order).orderBy(order).limit(n).agg(F.max(order)).scalar()
-        return df.where(F.col(order) <= last)
     return number_rows(df, order, "_seq").where(F.col("_seq") <= n).drop("_seq")
 
 

@@ -6,7 +6,7 @@ import logging
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from pageloom.functions.html import article_extract
 from pageloom.functions.urls import site_route, suspended_url_rewrite, RENDERED
@@ -39,14 +39,16 @@ def parser_chain(df: DataFrame, registry: dict[str, Parser], enabled: list[str]
     return df
 
 
-def row_parser(fn: Callable[[dict], dict | None]) -> Parser:
+def row_parser(fn: Callable[[dict], dict | None], adds: str = "") -> Parser:
     """Turn a function of one bookmark into a parser.
 
-    Rows on which it raises or gives no dict stay as they are. The result keeps
-    the columns of the input.
+    Rows on which it raises, gives no dict or gives a value that does not fit its column stay as they are. The result has
+    the columns of the input, and those that ``adds`` names (as in ``description string``).
     """
 
     def parse(df: DataFrame) -> DataFrame:
+        more = [f for f in (T.StructType.fromDDL(adds).fields if adds else []) if f.name not in df.columns]
+        df = df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in more])
         columns = df.columns
 
         def one(row: dict) -> dict:
@@ -56,10 +58,22 @@ def row_parser(fn: Callable[[dict], dict | None]) -> Parser:
                 return row
             return result if isinstance(result, dict) and result else row
 
+        def fits(row: dict, schema: pa.Schema) -> bool:
+            try:
+                pa.RecordBatch.from_pylist([row], schema)
+            except (pa.ArrowException, TypeError, ValueError, OverflowError):
+                return False
+            return True
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [one(row) for row in batch.to_pylist()]
-                yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in columns} for r in rows], batch.schema)
+                before = batch.to_pylist()
+                rows = [{c: row.get(c) for c in columns} for row in map(one, before)]
+                try:
+                    yield pa.RecordBatch.from_pylist(rows, batch.schema)
+                except (pa.ArrowException, TypeError, ValueError, OverflowError):
+                    # Some value does not fit: find its row.
+                    yield pa.RecordBatch.from_pylist([new if fits(new, batch.schema) else old for new, old in zip(rows, before)], batch.schema)
 
         return df.mapInArrow(run, df.schema)
 

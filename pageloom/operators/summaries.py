@@ -11,8 +11,6 @@ from pageloom.functions.text import cut, is_blank
 from pageloom.operators.joins import existing_summary_join
 from pageloom.schema import SUMMARY_FAILED
 
-MAX_PROMPT_CHARS = 6000
-
 PROMPT = """Summarise the web page below in its own language. Keep names, numbers, dates and \
 technical terms, group the facts by topic, and write nothing but the summary.
 
@@ -57,8 +55,10 @@ def summary_run_counts(df: DataFrame, force: bool = False) -> DataFrame:
     )
 
 
-def prompt_build(df: DataFrame, template: str = PROMPT, max_chars: int = MAX_PROMPT_CHARS) -> DataFrame:
-    """Add ``prompt``: the template with title, url and shortened content filled in.
+def prompt_build(df: DataFrame, template: str = PROMPT, max_chars: int | None = None) -> DataFrame:
+    """Add ``prompt``: the template with title, url and content filled in.
+
+    Contents stay whole; a caller whose model takes less names its limit as ``max_chars``.
 
     The template is cut at its placeholders, so braces in a page stay text.
     """

@@ -13,7 +13,7 @@ from pageloom.functions.urls import PLAIN, RENDERED, site_route
 from pageloom.operators.content import composed, content_enrich, has_title, usable_rendered
 from pageloom.operators.dedup import content_dedup, url_dedup
 from pageloom.operators.filters import eligible_url_filter, is_text_type, non_text_reason
-from pageloom.operators.joins import content_antijoin, incremental_url_antijoin, with_content_hash
+from pageloom.operators.joins import concerned, content_antijoin, incremental_url_antijoin, with_content_hash
 from pageloom.operators.numbering import first_per
 from pageloom.operators.ordering import crawl_limit
 from pageloom.operators.parsers import Parser, parser_chain
@@ -66,9 +66,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def attempt(bookmarks: DataFrame, pages: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
-    """Every bookmark with its ``content`` and ``crawl_method``, or the ``reason`` there is none."""
-    responses = first_per(extract_pages(pages), "url", F.col("page_id")).drop("page_id")
+def attempt(bookmarks: DataFrame, pages: DataFrame, rendered: DataFrame | None = None, small: bool | None = None) -> DataFrame:
+    """Every bookmark with its ``content`` and ``crawl_method``, or the ``reason`` there is none.
+
+    Pages are reduced to those of the bookmarks, one for each address, before anything is extracted from them.
+    """
+    wanted = first_per(concerned(pages, bookmarks, "url", small), "url", F.col("page_id"))
+    responses = extract_pages(wanted).drop("page_id")
     joined = bookmarks.join(responses, "url", "left")
     if rendered is None:
         joined = joined.withColumn("rendered_text", F.lit(None).cast("string"))
@@ -115,14 +119,19 @@ def ingest(
     """
     small = holds_at_most(bookmarks.select("url"), BROADCAST_ROWS)
     eligible, fresh = new_bookmarks(bookmarks, store, parsers, small)
-    outcome = staged(attempt(fresh, pages, rendered), "outcome")
+    outcome = staged(attempt(fresh, pages, rendered, small), "outcome")
+    if limit:
+        # The run ends with the row that fills the limit: what comes later was never tried.
+        kept = content_antijoin(content_dedup(outcome.where("reason IS NULL").drop("reason")), store, small).select("pos")
+        counted = kept if skip_unreachable else kept.union(outcome.where("reason IS NOT NULL").select("pos"))
+        ends = crawl_limit(counted, limit).agg(F.max("pos"), F.count(F.lit(1))).first()
+        if ends[1] == limit:
+            outcome = outcome.where(F.col("pos") <= ends[0])
     failed = outcome.where("reason IS NOT NULL").drop("content", "content_hash", "crawl_method")
     fetched = content_antijoin(content_dedup(outcome.where("reason IS NULL").drop("reason")), store, small)
     ok = content_enrich(fetched, crawl_time)
     errored = failed.withColumn("error", F.col("reason")).withColumn("crawl_time", crawl_time).drop("reason")
     rows = ok_error_union(ok, errored, skip_unreachable)
-    if limit:
-        rows = crawl_limit(rows, limit)
     day = date_extract(F.col("date_added"), F.col("crawl_time"), F.to_date(crawl_time))
     rows = staged(to_store_rows(key_assign(rows.withColumn("date", day), store, small=small)), "rows")
     failures = failed.select(

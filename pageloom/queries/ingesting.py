@@ -39,7 +39,9 @@ def _exported(spark, sf):
 
 @query(
     "bookmark_union",
-    f"WITH {RAW_BOOKMARKS} SELECT pos, {_TS}, url, coalesce(title, 'none') AS title, coalesce(folder, 'none') AS folder, source FROM raw_bookmarks",
+    f"""WITH {RAW_BOOKMARKS}, place AS (SELECT * FROM (VALUES {", ".join(f"('{name}', {n})" for n, name in enumerate(BROWSER.values()))}) AS v(source, nth))
+    SELECT pos + nth * (1::BIGINT << 40) AS pos, {_TS}, url, coalesce(title, 'none') AS title, coalesce(folder, 'none') AS folder, source
+    FROM raw_bookmarks JOIN place USING (source)""",
 )
 def _(spark, sf):
     schema = "pos BIGINT, ts TIMESTAMP, url STRING, title STRING, folder STRING"
@@ -119,16 +121,13 @@ def _(spark, sf):
 
 @query(
     "failed_append",
-    f"""WITH {RESPONSES}, {_FAILED}, both_runs AS (SELECT pos, url, reason FROM failed
-      UNION ALL SELECT pos + (SELECT max(page_id) + 1 FROM pages), url, reason FROM failed)
-    SELECT row_number() OVER (ORDER BY pos) AS key, pos, url, reason FROM both_runs""",
+    f"""WITH {RESPONSES}, {_FAILED}, both_runs AS (SELECT 1 AS run, pos, url, reason FROM failed UNION ALL SELECT 2, pos, url, reason FROM failed)
+    SELECT row_number() OVER (ORDER BY run, pos) AS key, pos, url, reason FROM both_runs""",
 )
 def _(spark, sf):
     def make(path):
-        first = failed_pages(spark, sf)
-        later = table(spark, sf, "pages").agg(F.max("page_id") + 1).scalar()
-        failures.failed_append(first, path)
-        failures.failed_append(first.withColumn("pos", F.col("pos") + later), path)
+        for _run in range(2):
+            failures.failed_append(failed_pages(spark, sf), path)
 
     path = once(spark, sf, "failed", make)
     return failures.failed_scan(spark, path, keyed=True).select("key", "pos", "url", "reason")
@@ -265,12 +264,12 @@ def _(spark, sf):
     return joins.video_metadata_join(videos, meta, spoken).select("pos", "url", _text("description"))
 
 
-@query("lookup_by_domain", f"WITH {STORED} SELECT key, url FROM stored WHERE domain = 'src1.example.com' ORDER BY key LIMIT 50")
+@query("lookup_by_domain", f"WITH {STORED} SELECT key, url FROM stored WHERE domain = 'src1.example.com'")
 def _(spark, sf):
     return joins.lookup_by_domain(store(spark, sf), "SRC1.example.com").select("key", "url")
 
 
-@query("lookup_by_date", f"WITH {STORED} SELECT key, url FROM stored WHERE date = DATE '2024-01-02' ORDER BY key LIMIT 50")
+@query("lookup_by_date", f"WITH {STORED} SELECT key, url FROM stored WHERE date = DATE '2024-01-02'")
 def _(spark, sf):
     return joins.lookup_by_date(store(spark, sf), "2024-01-02").select("key", "url")
 

@@ -147,8 +147,8 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _FOREIGN = "éèêëàâäáãåíìîïóòôöõúùûüñçý"
 _ACCENTED = f"CASE WHEN lang = 'de' THEN translate(text, '{_LETTERS}', '{_FOREIGN}') ELSE text END"
 _SUSPECT = (
-    "length(t) >= 20 AND length(regexp_replace(left(t, 1000), '[\\x00-\\x7F]', '', 'g')) >= length(left(t, 1000)) * 0.1 "
-    "AND regexp_matches(left(t, 1000), '[^\\x00-\\x7F]{10}')"
+    "length(t) >= 20 AND length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g')) >= length(t) * 0.1 "
+    "AND regexp_matches(t, '[^\\x00-\\x7F]{10}')"
 )
 
 
@@ -262,15 +262,19 @@ _BODY = "coalesce(content, '') || chr(10) || chr(10) || coalesce(description, ''
 SEARCH_DOCS = (
     STORED
     + f""", prepared AS (SELECT key AS pos, {_KEY} AS key, {sql_strip("coalesce(title, name)")} AS title, url,
-    CASE WHEN length({_BODY}) > 10000 THEN left({_BODY}, 10000) || '...' ELSE {_BODY} END AS content,
+    {_BODY} AS content,
     {sql_strip("coalesce(summary, '')")} AS summary FROM stored),
 docs AS (SELECT *, title || ' ' || content || ' ' || summary AS composite_text FROM prepared)"""
 )
 
 
-@query("search_doc_prepare", f"WITH {SEARCH_DOCS} SELECT key, title, url, content, summary FROM docs")
+@query(
+    "search_doc_prepare",
+    f"""WITH {SEARCH_DOCS} SELECT key, title, url, CASE WHEN length(content) > 10000 THEN left(content, 10000) || '...' ELSE content END AS content,
+      summary FROM docs""",
+)
 def _(spark, sf):
-    return search_doc_prepare(store(spark, sf)).select("key", "title", "url", "content", "summary")
+    return search_doc_prepare(store(spark, sf), max_chars=10_000).select("key", "title", "url", "content", "summary")
 
 
 @query(
@@ -288,7 +292,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = store(spark, sf).where("content IS NOT NULL")
-    return summaries.prompt_build(rows, "T={title} U={url} C={content}").select("key", "prompt")
+    return summaries.prompt_build(rows, "T={title} U={url} C={content}", max_chars=6000).select("key", "prompt")
 
 
 @query("url_hash", f"WITH {RAW_BOOKMARKS} SELECT pos, sha256(url) AS url_hash FROM raw_bookmarks")

@@ -124,7 +124,7 @@ def stand_in():
 _TEMPLATE = "{title} | {url} | {content}"
 _FAILS = "regexp_matches(prompt, 'src5[. ]')"
 _PROMPTED = f"""backlog AS (SELECT *, coalesce(title, name) || ' | ' || url || ' | ' ||
-    CASE WHEN length(content) > 6000 THEN left(content, 6000) || '...' ELSE content END AS prompt FROM stored WHERE {_BACKLOG})"""
+    content AS prompt FROM stored WHERE {_BACKLOG})"""
 
 
 @query(

@@ -16,7 +16,7 @@ STOP_WORDS = (
 )
 
 
-def _kept(token: Column, stop_words, min_length: int) -> Column:
+def is_kept(token: Column, stop_words, min_length: int) -> Column:
     long_enough = F.length(token) >= min_length
     return long_enough & ~token.isin(*stop_words) if stop_words else long_enough
 
@@ -24,7 +24,7 @@ def _kept(token: Column, stop_words, min_length: int) -> Column:
 def tokens(text: Column, stop_words=STOP_WORDS, min_length: int = MIN_LENGTH) -> Column:
     """Terms of a text in order; NULL text has none."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.filter(found, lambda t: _kept(t, stop_words, min_length))
+    return F.filter(found, lambda t: is_kept(t, stop_words, min_length))
 
 
 def analyze_text(df: DataFrame, text: str, stop_words=STOP_WORDS, min_len: int = MIN_LENGTH) -> DataFrame:
@@ -53,7 +53,7 @@ def query_terms(queries: DataFrame, stop_words=STOP_WORDS, min_len: int = MIN_LE
             .alias("maxdist"),
         ),
     )
-    kept = F.filter(parsed, lambda p: _kept(p["term"], stop_words, min_len))
+    kept = F.filter(parsed, lambda p: is_kept(p["term"], stop_words, min_len))
     return (
         queries.select("query_id", kept.alias("_terms"))
         .select("query_id", F.size("_terms").alias("n_terms"), F.posexplode("_terms").alias("ord", "_term"))

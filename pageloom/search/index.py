@@ -15,7 +15,6 @@ from pageloom.session import staged
 
 FIELDS = ("title", "url", "content", "summary", "composite_text")
 COMPOSED = ("title", "content", "summary")
-MAX_CONTENT_CHARS = 10_000
 TERM_BUCKETS = 32
 
 
@@ -41,8 +40,8 @@ def term_bucket(term, buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def search_doc_prepare(store: DataFrame, max_chars: int = MAX_CONTENT_CHARS) -> DataFrame:
-    """Stored rows to search documents; ``pos`` is the store key."""
+def search_doc_prepare(store: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Stored rows to search documents; ``pos`` is the store key. Contents stay whole unless ``max_chars`` is given."""
     blank = F.lit("")
     content = F.concat(F.coalesce("content", blank), F.lit("\n\n"), F.coalesce("description", blank))
     title = F.coalesce(F.nullif(F.col("title"), blank), F.col("name"), blank)

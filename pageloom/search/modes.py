@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.operators.sizing import small_side
-from pageloom.search.analysis import TOKEN, query_terms
+from pageloom.search.analysis import MIN_LENGTH, STOP_WORDS, TOKEN, is_kept, query_terms
 from pageloom.search.index import Index
 from pageloom.search.match import FIELD, complete, matches, postings_join, with_field
 from pageloom.search.rank import SCORE_DIGITS, scored_hits
@@ -142,9 +142,10 @@ def wildcard_terms(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def search_prefix(index: Index, queries: DataFrame) -> DataFrame:
     """``queries(query_id, text)`` whose words may hold ``*`` and ``?``: ``(query_id, key)``.
 
-    A document needs a match for every word.
+    A document needs a match for every word. Words without a sign go through the analysis of documents, which drops some.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_PATTERN), F.lit(0))
+    words = F.filter(words, lambda w: w.rlike("[*?]") | is_kept(w, STOP_WORDS, MIN_LENGTH))
     patterns = with_field(
         queries.select("query_id", words.alias("_words"))
         .select("query_id", F.size("_words").alias("n_terms"), F.posexplode("_words").alias("ord", "pattern"))

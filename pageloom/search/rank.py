@@ -141,6 +141,11 @@ def search_page(
     )
 
 
+# The texts that a refused request gets.
+QUERY_MISSING = "Query parameter is required"
+PAGE_INVALID = "Invalid pagination parameters: page >= 1, 1 <= page_size <= 100"
+
+
 def request_validate(requests: DataFrame, mode: str = "reject") -> DataFrame:
     """Check search requests ``(query_id, text, page, page_size)``, the last two as text.
 
@@ -155,8 +160,8 @@ def request_validate(requests: DataFrame, mode: str = "reject") -> DataFrame:
     size = F.coalesce(F.col("page_size"), F.lit(str(DEFAULT_PAGE_SIZE))).try_cast("bigint")
     valid = F.coalesce((page >= 1) & size.between(1, MAX_PAGE_SIZE), F.lit(False))
     status = (
-        F.when(is_blank(F.col("text")), "Query parameter is required")
-        .when(~valid, "Invalid pagination parameters: page >= 1, 1 <= page_size <= 100")
+        F.when(is_blank(F.col("text")), QUERY_MISSING)
+        .when(~valid, PAGE_INVALID)
         .otherwise("ok")
     )
     return requests.withColumn("status", status)

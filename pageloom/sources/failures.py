@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pageloom.operators.numbering import number_rows
 from pageloom.schema import FAILURE
+from pageloom.sources import fs
+
+_KEYED = T.StructType([T.StructField("key", T.LongType()), *FAILURE.fields])
 
 
 def failed_append(failed: DataFrame, path: str) -> None:
-    """Append failure records. Keys are given on reading, in order of position."""
-    failed.select(*[F.col(f.name).cast(f.dataType) for f in FAILURE.fields]).write.mode("append").parquet(path)
+    """Append failure records, numbered on from the largest key that is there, in order of position."""
+    spark = failed.sparkSession
+    last = spark.read.schema(_KEYED).parquet(path).agg(F.max("key")).first()[0] if fs.exists(spark, path) else None
+    rows = failed.select(*[F.col(f.name).cast(f.dataType) for f in FAILURE.fields])
+    keyed = number_rows(rows, "pos", "key").withColumn("key", F.col("key") + (last or 0))
+    keyed.select(*_KEYED.names).write.mode("append").parquet(path)
 
 
 def failed_scan(spark: SparkSession, path: str, keyed: bool = False) -> DataFrame:
-    """Failure records, with consecutive keys on demand."""
-    failed = spark.read.schema(FAILURE).parquet(path)
-    return number_rows(failed, "pos", "key") if keyed else failed
+    """Failure records, with their lasting, consecutive keys on demand."""
+    return spark.read.schema(_KEYED if keyed else FAILURE).parquet(path)
 
 
 def failed_urls_sink(failed: DataFrame, path: str) -> None:

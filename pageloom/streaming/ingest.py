@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -28,6 +29,15 @@ def _started(writer, trigger: str) -> StreamingQuery:
     return writer.trigger(processingTime=trigger).start()
 
 
+def _segment(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
+    """The name of a batch: the id of the stream in this checkpoint, and the batch's number.
+
+    Numbers start again with every new checkpoint; the id keeps two streams from taking each other's batches for done.
+    """
+    stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+    return f"{stream}-{batch_id:012d}"
+
+
 def stream_url_dedup(batch: DataFrame, store: DataFrame, order: str = "pos") -> DataFrame:
     """Bookmarks of a micro-batch that are new: first per URL, and not in the store.
 
@@ -56,7 +66,8 @@ def stream_page_ingest(
     """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        spark, segment = batch.sparkSession, f"{name}-{batch_id:012d}"
+        spark = batch.sparkSession
+        segment = f"{name}-{_segment(spark, checkpoint, batch_id)}"
         if segment_committed(spark, store_path, segment):
             return
         bookmarks = batch.drop("html", "content_type", "status")
@@ -89,17 +100,21 @@ def stream_summary_backlog(
     checkpoint: str,
     trigger: str = FLUSH_INTERVAL,
     summary_time: Column | None = None,
+    store_path: str | None = None,
 ) -> StreamingQuery:
     """Summaries for newly stored rows, kept in a narrow table beside the store.
 
-    The wide store is not rewritten; ``with_summaries`` brings both together.
+    The wide store is not rewritten; ``with_summaries`` brings both together. With ``store_path`` each batch is only the
+    sign that there is work: all rows of the store without a summary are taken, so a prompt that failed comes again.
     """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        spark, target = batch.sparkSession, f"{summaries_path}/seg={batch_id:012d}"
+        spark = batch.sparkSession
+        target = f"{summaries_path}/seg={_segment(spark, checkpoint, batch_id)}"
         if fs.exists(spark, f"{target}/_SUCCESS"):
             return
-        todo = summary_backlog(incremental_url_antijoin(batch, summary_scan(spark, summaries_path)))
+        rows = batch if store_path is None else store_scan(spark, store_path)
+        todo = summary_backlog(incremental_url_antijoin(rows, summary_scan(spark, summaries_path)))
         made = stored_summaries(summary_apply(prompt_build(todo), fn, model, summary_time))
         made.select(*SUMMARY.names).write.mode("overwrite").parquet(target)
 

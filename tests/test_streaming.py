@@ -85,3 +85,12 @@ def test_stream_summaries(spark):
     merged = with_summaries(store_scan(spark, store), summary_scan(spark, side))
     assert merged.where("summary IS NOT NULL").count() == 3
     assert calls.value == 3
+
+
+def test_a_second_folder_under_a_new_checkpoint_is_not_lost(spark):
+    one, two, store = (scratch_path(spark, n) for n in ("one", "two", "store"))
+    arrive(spark, one, FIRST[:1])
+    drain(spark, one, store, scratch_path(spark, "checkpoint"))
+    arrive(spark, two, FIRST[1:2])
+    drain(spark, two, store, scratch_path(spark, "checkpoint"))
+    assert rows(store_scan(spark, store), "url") == [("https://a.com",), ("https://b.com",)]
