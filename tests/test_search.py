@@ -72,7 +72,8 @@ def test_prepare_and_update(spark):
         [(1, "u", "name", " ", "guid1", "N/A", "a" * 10005, None, None), (2, "v", "name", None, "N/A", "N/A", None, "about", " s ")],
         "key long, url string, name string, title string, guid string, id string, content string, description string, summary string",
     )
-    found = {r["key"]: r for r in index.search_doc_prepare(store).collect()}
+    assert index.search_doc_prepare(store).where("key = 'guid1'").first()["content"] == "a" * 10005 + "\n\n"
+    found = {r["key"]: r for r in index.search_doc_prepare(store, max_chars=10_000).collect()}
     assert len(found["guid1"]["content"]) == 10003 and found["guid1"]["content"].endswith("a...")
     assert found["v"]["content"] == "\n\nabout" and found["v"]["title"] == "name" and found["v"]["summary"] == "s"
 
