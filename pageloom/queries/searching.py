@@ -122,29 +122,50 @@ def _(spark, sf):
     return analysis.query_terms(benchmark_queries(spark, sf)).select("query_id", "ord", "term", "n_terms", "maxdist")
 
 
-def _fuzzy_texts(spark, sf):
-    """Benchmark texts with ``~`` after every word of three letters or more."""
-    return benchmark_queries(spark, sf).withColumn("text", F.regexp_replace("text", r"([\p{L}\p{N}_]{3,})", "$1~"))
+def _fuzzy_texts(spark, sf, distance=1):
+    """Benchmark texts with ``~<distance>`` after every word of three letters or more."""
+    return benchmark_queries(spark, sf).withColumn("text", F.regexp_replace("text", r"([\p{L}\p{N}_]{3,})", f"$1~{distance}"))
 
 
-_EXPANDED = f"""wanted AS (SELECT *, CASE WHEN length(term) >= 3 THEN 1 ELSE 0 END AS maxdist FROM qterms),
-distinct_pairs AS (SELECT w.term, v.term AS word FROM (SELECT DISTINCT term FROM wanted WHERE maxdist = 1) w
-  JOIN vocabulary v ON abs(length(v.term) - length(w.term)) <= 1 AND v.field = 'composite_text'
-  AND levenshtein({_bytes("v.term")}, {_bytes("w.term")}) <= 1),
-expanded AS (SELECT query_id, ord, n_terms, v.term, df, false AS fuzzy FROM wanted w JOIN vocabulary v ON v.term = w.term AND v.field = 'composite_text' WHERE maxdist = 0
-  UNION ALL SELECT query_id, ord, n_terms, v.term, df, true FROM wanted w JOIN distinct_pairs d ON d.term = w.term JOIN vocabulary v ON v.term = d.word AND v.field = 'composite_text' WHERE maxdist = 1)"""
+def _cuts(word: str, distance: int) -> str:
+    """The word and what is left of it after up to ``distance`` letters go; words that many edits apart share one of these."""
+    cuts = f"[{word}]"
+    for _ in range(distance):
+        cuts = f"list_distinct({cuts} || flatten(list_transform({cuts}, lambda c: list_transform(range(1, length(c) + 1), lambda i: substr(c, 1, i - 1) || substr(c, i + 1)))))"
+    return cuts
 
 
-@query(
-    "fuzzy_term_join",
-    f"""WITH {COMPOSITE}, {QUERY_TERMS}, {_EXPANDED} SELECT query_id, CAST(ord AS INT) AS ord, term, df FROM expanded WHERE fuzzy""",
-)
-def _(spark, sf):
-    terms = analysis.query_terms(_fuzzy_texts(spark, sf))
+def _expanded(distance: int) -> str:
+    return f"""wanted AS (SELECT *, CASE WHEN length(term) >= 3 THEN {distance} ELSE 0 END AS maxdist FROM qterms),
+vword AS MATERIALIZED (SELECT term, df, {_bytes("term")} AS b FROM vocabulary WHERE field = 'composite_text'),
+wword AS MATERIALIZED (SELECT DISTINCT term, {_bytes("term")} AS b FROM wanted WHERE maxdist > 0),
+vcut AS (SELECT term, b, unnest({_cuts("b", distance)}) AS cut FROM vword),
+wcut AS (SELECT term, b, unnest({_cuts("b", distance)}) AS cut FROM wword),
+met AS (SELECT DISTINCT w.term, w.b AS wb, v.term AS word, v.b AS vb FROM wcut w JOIN vcut v USING (cut)),
+distinct_pairs AS (SELECT term, word FROM met WHERE levenshtein(vb, wb) <= {distance}),
+expanded AS (SELECT query_id, ord, n_terms, v.term, df, false AS fuzzy FROM wanted w JOIN vword v ON v.term = w.term WHERE maxdist = 0
+  UNION ALL SELECT query_id, ord, n_terms, v.term, df, true FROM wanted w JOIN distinct_pairs d ON d.term = w.term JOIN vword v ON v.term = d.word WHERE maxdist > 0)"""
+
+
+def _fuzzy_join(spark, sf, distance):
+    terms = analysis.query_terms(_fuzzy_texts(spark, sf, distance))
     vocabulary = the_index(spark, sf).vocabulary.where("field = 'composite_text'").select("term", "df")
     return match.fuzzy_term_join(terms, vocabulary).select("query_id", "ord", "term", "df")
 
 
+_FUZZY = "SELECT query_id, CAST(ord AS INT) AS ord, term, df FROM expanded WHERE fuzzy"
+
+
+@query("fuzzy_term_join", f"WITH {COMPOSITE}, {QUERY_TERMS}, {_expanded(1)} {_FUZZY}")
+def _(spark, sf):
+    return _fuzzy_join(spark, sf, 1)
+
+
+@query("fuzzy_term_join_2", f"WITH {COMPOSITE}, {QUERY_TERMS}, {_expanded(2)} {_FUZZY}")
+def _(spark, sf):
+    return _fuzzy_join(spark, sf, 2)
+
+
 @query(
     "postings_join",
     f"""WITH {COMPOSITE}, {QUERY_TERMS} SELECT query_id, CAST(ord AS INT) AS ord, q.term, key, tf, CAST(dl AS INT) AS dl FROM qterms q JOIN postings p USING (term)""",
@@ -165,7 +186,7 @@ def _(spark, sf):
 
 @query(
     "search_fuzzy",
-    f"""WITH {COMPOSITE}, {QUERY_TERMS}, {_EXPANDED} SELECT query_id, key FROM expanded e JOIN postings p USING (term)
+    f"""WITH {COMPOSITE}, {QUERY_TERMS}, {_expanded(1)} SELECT query_id, key FROM expanded e JOIN postings p USING (term)
     GROUP BY query_id, key, n_terms HAVING count(DISTINCT ord) = n_terms""",
 )
 def _(spark, sf):

@@ -119,10 +119,14 @@ def fuzzy_term_join(terms: DataFrame, vocab: DataFrame, distances: list[int] | N
     pieces = _vocabulary_pieces(words, distances[0])
     for k in distances[1:]:
         pieces = pieces.unionByName(_vocabulary_pieces(words, k))
-    wanted = small_side(_query_pieces(near.select(*keys).distinct()))
+    # A term no longer than its distance has empty pieces, which every word shows: that key is spread by the word.
+    empty = F.col("piece") == ""
+    pieces = pieces.withColumn("_salt", F.when(empty, F.pmod(F.xxhash64("word"), F.lit(SALTS))).otherwise(0).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.when(empty, SALTS - 1).otherwise(0)))
+    wanted = small_side(_query_pieces(near.select(*keys).distinct()).withColumn("_salt", salts))
     pairs = (
-        pieces.join(wanted, [*by_field, "maxdist", "len", "i", "piece"])
-        .where(F.levenshtein("term", "word", 9).between(0, F.col("maxdist")))
+        pieces.join(wanted, [*by_field, "maxdist", "len", "i", "piece", "_salt"])
+        .where("levenshtein(term, word, CAST(maxdist AS INT)) >= 0")
         .select(*keys, "word", "df")
         .distinct()
     )
