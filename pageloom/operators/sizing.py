@@ -18,6 +18,17 @@ def holds_at_most(df: DataFrame, rows: int) -> bool:
     return len(df.select(F.lit(1)).take(rows + 1)) <= rows
 
 
+def pinned(df: DataFrame, rows: int) -> tuple[DataFrame, list[dict]] | None:
+    """``df`` as a local table with its rows, when there are at most ``rows`` of them, else None.
+
+    Meant for requests, their terms and the keys of a page: what follows neither runs their plan again nor writes them.
+    """
+    found = df.limit(rows + 1).toArrow()
+    if found.num_rows > rows:
+        return None
+    return df.sparkSession.createDataFrame(found, df.schema), found.to_pylist()
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, small: bool | None = None) -> DataFrame:
     """``df`` marked for broadcasting when its row count proves it small, else unmarked.
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.operators.sizing import BROADCAST_ROWS, holds_at_most
+from pageloom.operators.sizing import pinned
 from pageloom.search.analysis import query_terms
 from pageloom.search.index import Index
-from pageloom.search.match import expand_terms, postings_join
+from pageloom.search.match import expand_terms, postings_join, surveyed
 from pageloom.search.rank import (
-    MAX_PAGE_SIZE,
     bm25_score,
     pagination_meta,
     request_validate,
@@ -20,23 +19,37 @@ from pageloom.search.results import search_result_record, search_snippet
 from pageloom.session import staged
 
 
+# Page rows up to this number are fetched by their keys.
+PUSHED_KEYS = 1000
+
+
 def search_batch(index: Index, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Answer ``requests(query_id, text, page, page_size)``.
 
-    Expansion and scores are staged, each made once: totals, page rows and the
-    depth of the deepest page all come from them. One count of the
-    requests tells whether requests and page rows are small enough to broadcast.
+    Expansion, scores, pagination and page rows are made once each: scores are staged, the others too unless they are so few that
+    they become local tables. Few page rows fetch their documents by key, so only these are read.
     """
     valid = request_validate(requests, "clamp")
-    small = holds_at_most(valid, BROADCAST_ROWS // MAX_PAGE_SIZE)
-    expanded = staged(expand_terms(index, query_terms(valid)), "expanded")
-    scored = staged(bm25_score(postings_join(expanded, index.postings, index.buckets), index), "scored")
-    pagination = pagination_meta(search_total_hits(scored), valid)
-    records = search_result_record(search_page(scored, pagination, small=small), index.docs, small)
-    results = search_snippet(records, expanded.select("query_id", "term"), small=small)
+    expanded, touched = surveyed(expand_terms(index, query_terms(valid)), index.buckets, "expanded")
+    found = postings_join(expanded, index.postings, index.buckets, touched=touched)
+    scored = staged(bm25_score(found, index), "scored")
+    pagination, asked = _settled(pagination_meta(search_total_hits(scored), valid), "pagination")
+    small = asked is not None or None
+    # A page past the end becomes the last one, which lies above it.
+    deepest = max((r["page"] * r["page_size"] for r in asked), default=0) if small else None
+    page_rows, shown = _settled(search_page(scored, pagination, small=small, deepest=deepest), "page")
+    keys = None if shown is None else sorted({r["key"] for r in shown})
+    records = search_result_record(page_rows, index.docs, shown is not None or None, keys)
+    results = search_snippet(records, expanded.select("query_id", "term"), small=touched.terms is not None or None)
     return results.drop("composite_text"), pagination
 
 
+def _settled(df: DataFrame, name: str) -> tuple[DataFrame, list[dict] | None]:
+    """``df`` as a local table with its rows when they are few, else staged."""
+    few = pinned(df, PUSHED_KEYS)
+    return (staged(df, name), None) if few is None else few
+
+
 def search_one(index: Index, text: str, page: int = 1, page_size: int = 20) -> tuple[DataFrame, DataFrame]:
     """Answer a single request; results come best first."""
     spark = index.docs.sparkSession

@@ -16,6 +16,7 @@ from pageloom.session import staged
 FIELDS = ("title", "url", "content", "summary", "composite_text")
 COMPOSED = ("title", "content", "summary")
 TERM_BUCKETS = 32
+DOC_GROUP_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -153,10 +154,17 @@ def _write_filed(df: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
+def _write_docs(docs: DataFrame, path: str) -> None:
+    """Write in the order of keys and in small row groups, so a page of results reads little beside its documents."""
+    docs.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").option(
+        "parquet.block.size", DOC_GROUP_BYTES
+    ).parquet(path)
+
+
 def write_index(index: Index, path: str) -> None:
     """Write an index. Vocabulary and sizes come from the postings as written."""
     spark = index.docs.sparkSession
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    _write_docs(index.docs, f"{path}/docs")
     _write_filed(index.postings, f"{path}/postings")
     docs = spark.read.schema(DOCS_DDL).parquet(f"{path}/docs")
     postings = spark.read.schema(POSTINGS_DDL).parquet(f"{path}/postings")

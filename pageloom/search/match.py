@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.operators.sizing import BROADCAST_ROWS, small_side
+from pageloom.operators.sizing import BROADCAST_ROWS, pinned, small_side
 from pageloom.search.analysis import query_terms
 from pageloom.search.index import Index, term_bucket
 from pageloom.session import staged
@@ -43,13 +43,15 @@ def _query_pieces(terms: DataFrame) -> DataFrame:
     )
 
 
-def _vocabulary_pieces(words: DataFrame, maxdist: int) -> DataFrame:
-    """For every length a query may have, the substrings of a vocabulary term that can equal a piece."""
+def _vocabulary_pieces(words: DataFrame, maxdist: int, lengths: list[int] | None = None) -> DataFrame:
+    """For every length a query may have (of ``lengths``, where they are known), the substrings of a vocabulary term that can equal a piece."""
     word_len = F.length("word")
     k, pieces = F.lit(maxdist), F.lit(maxdist + 1)
-    placed = words.select(
-        "*", F.explode(F.sequence(F.greatest(word_len - k, F.lit(1)), word_len + k)).alias("len")
-    ).select("*", F.explode(F.sequence(F.lit(0), k)).alias("i"))
+    near = F.sequence(F.greatest(word_len - k, F.lit(1)), word_len + k)
+    if lengths is not None:
+        words = words.where(word_len.between(min(lengths) - maxdist, max(lengths) + maxdist))
+        near = F.array_intersect(near, F.array(*map(F.lit, lengths)))
+    placed = words.select("*", F.explode(near).alias("len")).select("*", F.explode(F.sequence(F.lit(0), k)).alias("i"))
     begin = _start(F.col("len"), pieces, F.col("i"))
     placed = placed.select("*", begin.alias("_from"), (_start(F.col("len"), pieces, F.col("i") + 1) - begin).alias("_n"))
     first = F.greatest(F.col("_from") - k, F.lit(1))
@@ -62,12 +64,15 @@ def _vocabulary_pieces(words: DataFrame, maxdist: int) -> DataFrame:
 @dataclass(frozen=True)
 class Footprint:
     """What a set of terms touches, found in one pass over it. All parts are small by nature:
-    at most ten distances, the fields of the index, its buckets."""
+    at most ten distances, the fields of the index, its buckets, and where they are few the terms themselves and the lengths of the
+    fuzzy ones."""
 
     rows: int
     distances: list[int]
     fields: list[str]
     buckets: list[int]
+    terms: list[str] | None = None
+    lengths: list[int] | None = None
 
     @property
     def small(self) -> bool:
@@ -86,15 +91,39 @@ def footprint(terms: DataFrame, buckets: int) -> Footprint:
     return Footprint(row[0], [d for d in row[1] if d > 0], row[2], row[3])
 
 
-def _within(filed: DataFrame, touched: Footprint, by_bucket: bool = True) -> DataFrame:
-    """Rows of the fields and buckets that are touched; Spark prunes the other folders."""
+def surveyed(terms: DataFrame, buckets: int, name: str | None = None) -> tuple[DataFrame, Footprint]:
+    """Terms and what they touch. Few terms become a local table; many are staged, if the staged table gets a ``name``."""
+    few = pinned(terms.withColumn("_bucket", term_bucket(F.col("term"), buckets)), PUSHED_TERMS)
+    if few is None:
+        many = staged(terms, name) if name else terms
+        return many, footprint(many, buckets)
+    local, rows = few
+
+    def held(column: str) -> list:
+        return sorted({r[column] for r in rows if r.get(column) is not None})
+
+    distances = [d for d in held("maxdist") if d > 0]
+    lengths = sorted({len(r["term"]) for r in rows if r.get("maxdist")})
+    return local.drop("_bucket"), Footprint(len(rows), distances, held("field"), held("_bucket"), held("term"), lengths)
+
+
+def _within(filed: DataFrame, touched: Footprint, by_term: bool = True) -> DataFrame:
+    """Rows of the fields and buckets that are touched; Spark prunes the other folders.
+
+    Few terms go down to the files too, where terms are in order.
+    """
     if not touched.rows:
         return filed.where(F.lit(False))
     kept = filed.where(F.col("field").isin(touched.fields))
-    return kept.where(F.col("bucket").isin(touched.buckets)) if by_bucket else kept
+    if not by_term:
+        return kept
+    kept = kept.where(F.col("bucket").isin(touched.buckets))
+    return kept if touched.terms is None else kept.where(F.col("term").isin(touched.terms))
 
 
-def fuzzy_term_join(terms: DataFrame, vocab: DataFrame, distances: list[int] | None = None) -> DataFrame:
+def fuzzy_term_join(
+    terms: DataFrame, vocab: DataFrame, distances: list[int] | None = None, lengths: list[int] | None = None
+) -> DataFrame:
     """Query terms with the vocabulary terms within their edit distance.
 
     ``terms(…, term, maxdist)`` and ``vocab(term, df)`` give the terms' other
@@ -116,9 +145,9 @@ def fuzzy_term_join(terms: DataFrame, vocab: DataFrame, distances: list[int] | N
     if not distances:
         return near.join(vocab.select(*by_field, "term", "df"), [*by_field, "term"]).select(*carried, "term", "df")
     words = vocab.select(*by_field, F.col("term").alias("word"), "df")
-    pieces = _vocabulary_pieces(words, distances[0])
+    pieces = _vocabulary_pieces(words, distances[0], lengths)
     for k in distances[1:]:
-        pieces = pieces.unionByName(_vocabulary_pieces(words, k))
+        pieces = pieces.unionByName(_vocabulary_pieces(words, k, lengths))
     # A term no longer than its distance has empty pieces, which every word shows: that key is spread by the word.
     empty = F.col("piece") == ""
     pieces = pieces.withColumn("_salt", F.when(empty, F.pmod(F.xxhash64("word"), F.lit(SALTS))).otherwise(0).cast("int"))
@@ -140,8 +169,7 @@ def with_field(terms: DataFrame) -> DataFrame:
 
 def expand_terms(index: Index, terms: DataFrame) -> DataFrame:
     """Query terms to index terms: the columns of ``terms`` with ``df`` and ``fuzzy`` for ``maxdist``."""
-    terms = with_field(terms)
-    touched = footprint(terms, index.buckets)
+    terms, touched = surveyed(with_field(terms), index.buckets)
     plain = small_side(terms.where("maxdist = 0").drop("maxdist"), small=touched.small)
     exact = (
         _within(index.vocabulary, touched)
@@ -151,11 +179,13 @@ def expand_terms(index: Index, terms: DataFrame) -> DataFrame:
     )
     if not touched.distances:
         return exact
-    words = _within(index.vocabulary, touched, by_bucket=False)
-    return exact.unionByName(fuzzy_term_join(terms, words, touched.distances).withColumn("fuzzy", F.lit(True)))
+    words = _within(index.vocabulary, touched, by_term=False)
+    return exact.unionByName(fuzzy_term_join(terms, words, touched.distances, touched.lengths).withColumn("fuzzy", F.lit(True)))
 
 
-def postings_join(expanded: DataFrame, postings: DataFrame, buckets: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def postings_join(
+    expanded: DataFrame, postings: DataFrame, buckets: int, broadcast_rows: int = BROADCAST_ROWS, touched: Footprint | None = None
+) -> DataFrame:
     """Expanded terms ``(field, term, df, …)`` with their postings.
 
     A small set of terms is broadcast to the posting lists, which then stay
@@ -165,12 +195,9 @@ def postings_join(expanded: DataFrame, postings: DataFrame, buckets: int, broadc
     frequent follows from the number of postings.
     """
     keys = ["field", "term"]
-    touched = footprint(expanded, buckets)
+    if touched is None:
+        expanded, touched = surveyed(expanded, buckets)
     filed = _within(postings, touched)
-    if touched.rows <= min(PUSHED_TERMS, broadcast_rows):
-        # So few terms can go down to the files, where terms are in order.
-        terms = [r[0] for r in expanded.select("term").distinct().collect()]
-        filed = filed.where(F.col("term").isin(terms)) if terms else filed
     if touched.rows <= broadcast_rows:
         return filed.join(F.broadcast(expanded), keys)
     hot = small_side(expanded.where(F.col("df") > HOT_POSTINGS).select(*keys, F.lit(True).alias("_hot")).distinct())
@@ -189,10 +216,10 @@ def matches(index: Index, terms: DataFrame) -> DataFrame:
     """All hits of the terms: their columns with ``df, fuzzy, key, tf, dl, positions``.
 
     The expansion is looked at twice, to choose the folders to read and for the
-    join, so it is staged.
+    join, so it is staged, or local when it is small.
     """
-    expanded = staged(expand_terms(index, terms), "expanded")
-    return postings_join(expanded, index.postings, index.buckets).drop("bucket")
+    expanded, touched = surveyed(expand_terms(index, terms), index.buckets, "expanded")
+    return postings_join(expanded, index.postings, index.buckets, touched=touched).drop("bucket")
 
 
 def complete(hits: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pageloom.operators.sizing import small_side
 from pageloom.search.analysis import MIN_LENGTH, STOP_WORDS, TOKEN, is_kept, query_terms
 from pageloom.search.index import Index
-from pageloom.search.match import FIELD, complete, matches, postings_join, with_field
+from pageloom.search.match import FIELD, complete, matches, postings_join, surveyed, with_field
 from pageloom.search.rank import SCORE_DIGITS, scored_hits
 from pageloom.session import staged
 
@@ -151,8 +151,8 @@ def search_prefix(index: Index, queries: DataFrame) -> DataFrame:
         .select("query_id", F.size("_words").alias("n_terms"), F.posexplode("_words").alias("ord", "pattern"))
     )
     expanded = wildcard_terms(patterns, index.vocabulary.where(F.col("field") == FIELD)).drop("pattern")
-    expanded = staged(expanded.withColumn("fuzzy", F.lit(False)), "expanded")
-    return complete(postings_join(expanded, index.postings, index.buckets))
+    expanded, touched = surveyed(expanded.withColumn("fuzzy", F.lit(False)), index.buckets, "expanded")
+    return complete(postings_join(expanded, index.postings, index.buckets, touched=touched))
 
 
 def search_field(index: Index, queries: DataFrame) -> DataFrame:

@@ -119,16 +119,18 @@ def _ranked_by_sort(scored: DataFrame) -> DataFrame:
 
 
 def search_page(
-    scored: DataFrame, pagination: DataFrame, shallow_rows: int = SHALLOW_ROWS, small: bool | None = None
+    scored: DataFrame, pagination: DataFrame, shallow_rows: int = SHALLOW_ROWS, small: bool | None = None, deepest: int | None = None
 ) -> DataFrame:
     """Rows of the requested page of every query with their ``rank``, best first.
 
     When all pages lie near the top, the limit on the row number makes every
     task keep its best rows before the shuffle, so a query that matches a third
-    of all documents sends few. Deep pages are found by a global sort instead.
+    of all documents sends few. Deep pages are found by a global sort instead. ``deepest`` is a rank that no page passes, where the
+    caller knows one.
     """
     wanted = _wanted_rows(pagination)
-    deepest = wanted.agg(F.max("_last")).first()[0] or 0
+    if deepest is None:
+        deepest = wanted.agg(F.max("_last")).first()[0] or 0
     if deepest <= shallow_rows:
         per_query = Window.partitionBy("query_id").orderBy(*_best_first())
         ranked = scored.withColumn("rank", F.row_number().over(per_query)).where(F.col("rank") <= int(deepest))

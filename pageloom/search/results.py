@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.operators.sizing import small_side
+from pageloom.operators.sizing import BROADCAST_ROWS, holds_at_most, small_side
 from pageloom.search.analysis import TOKEN
+from pageloom.session import staged
 
 SNIPPET_CHARS = 200
 # Words and gaps taken on each side of the first hit.
@@ -20,6 +21,12 @@ def _is_term(piece: Column) -> Column:
     return F.array_contains("_terms", F.lower(piece))
 
 
+def _found_terms(page_rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Per page row the terms to mark, out of those that its own text holds."""
+    held = page_rows.select("query_id", "rank", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("composite_text"), F.lit(TOKEN), F.lit(0)))).alias("term"))
+    return held.join(terms.distinct(), ["query_id", "term"]).groupBy("query_id", "rank").agg(F.collect_set("term").alias("_found"))
+
+
 def search_snippet(
     page_rows: DataFrame, terms: DataFrame, context: int = CONTEXT_PIECES, small: bool | None = None
 ) -> DataFrame:
@@ -27,17 +34,24 @@ def search_snippet(
 
     The snippet is the words around the first hit with the hits marked, or the
     head of the text when there is none. ``terms(query_id, term)`` are the terms
-    to mark; a query's terms are few, so they travel as one array. The text is
+    to mark. When they are counted as few (or ``small`` says so) they travel as one array per query; else a row
+    gets those of its own text, however far a query was expanded. The text is
     cut up in one step and looked at in the next ones, each value made once.
     """
-    per_query = terms.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("_found"))
+    if small is None:
+        small = holds_at_most(terms, BROADCAST_ROWS)
+    if small:
+        per_query = terms.groupBy("query_id").agg(F.collect_set("term").alias("_found"))
+        shown = page_rows.join(F.broadcast(per_query), "query_id", "left")
+    else:
+        page_rows = staged(page_rows, "page-rows")
+        shown = page_rows.join(_found_terms(page_rows, terms), ["query_id", "rank"], "left")
     text, first = F.col("composite_text"), F.col("_first")
     begin = F.greatest(first - context, F.lit(1)).cast("int")
     marked = F.transform("_window", lambda p: F.when(_is_term(p), F.concat(F.lit(OPEN), p, F.lit(CLOSE))).otherwise(p))
     return (
-        page_rows.join(small_side(per_query, small=small), "query_id", "left")
         # The rows of a page are few and their texts long: spread the work evenly.
-        .repartition("query_id", "rank")
+        shown.repartition("query_id", "rank")
         .withColumn("_terms", F.coalesce("_found", F.array().cast("array<string>")))
         .withColumn("_pieces", F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)))
         .withColumn("_first", F.array_position(F.transform("_pieces", _is_term), F.lit(True)))
@@ -49,10 +63,14 @@ def search_snippet(
     )
 
 
-def search_result_record(page_rows: DataFrame, docs: DataFrame, small: bool | None = None) -> DataFrame:
+def search_result_record(
+    page_rows: DataFrame, docs: DataFrame, small: bool | None = None, keys: list[str] | None = None
+) -> DataFrame:
     """Page rows with the fields of their documents and all of them once more as ``full_record``.
 
-    Page rows are few; broadcast, they pick their documents without moving the others.
+    Page rows are few; broadcast, they pick their documents without moving the others. ``keys``, those of the rows where they
+    are known, go down to the files.
     """
+    docs = docs if keys is None else docs.where(F.col("key").isin(keys))
     fields = docs.select("*", F.struct(*docs.columns).alias("full_record"))
     return fields.join(small_side(page_rows, small=small), "key")

@@ -260,6 +260,21 @@ def test_snippets(spark):
     assert found[1] == "x Deep, <b>Data</b> <b>here</b> y"
 
 
+def test_snippets_of_widely_expanded_queries(spark):
+    page = spark.createDataFrame([(0, 1, "one Two three"), (0, 2, "nothing"), (1, 1, "two")], "query_id long, rank long, composite_text string")
+    terms = spark.createDataFrame([(0, "two"), (0, "two"), (0, "four"), (1, "one")], "query_id long, term string")
+    few, many = (rows(results.search_snippet(page, terms, small=small), "query_id", "rank", "snippet") for small in (True, False))
+    assert few == many == [(0, 1, "one <b>Two</b> three"), (0, 2, "nothing..."), (1, 1, "two...")]
+
+
+def test_few_and_many_terms_agree(spark, corpus, monkeypatch):
+    _, idx = corpus
+    asked = queries(spark, ["data~2 a~3", "the python~", "ab~9", "programming~0 data"])
+    few = rows(match.search_fuzzy(idx, asked), "query_id", "key")
+    monkeypatch.setattr(match, "PUSHED_TERMS", 0)
+    assert few and few == rows(match.search_fuzzy(idx, asked), "query_id", "key")
+
+
 def test_requests(spark):
     asked = spark.createDataFrame(
         [(0, "q", "0", "20"), (1, "q", "1", "101"), (2, "", "1", "20"), (3, "q", "x", "20"), (4, " ", "x", "20"), (5, "q", None, None), (6, "q", "2", "100")],
@@ -301,8 +316,9 @@ def test_backlog(spark):
 
 def test_prompt(spark):
     df = spark.createDataFrame([("u", "T {url}", "c" * 6001)], "url string, title string, content string").withColumn("name", F.lit("n"))
-    prompt = prompt_build(df, "{title}/{url}/{content}/{other}").first()["prompt"]
-    assert prompt == "T {url}/u/" + "c" * 6000 + ".../{other}"
+    template = "{title}/{url}/{content}/{other}"
+    assert prompt_build(df, template).first()["prompt"] == "T {url}/u/" + "c" * 6001 + "/{other}"
+    assert prompt_build(df, template, max_chars=6000).first()["prompt"] == "T {url}/u/" + "c" * 6000 + ".../{other}"
 
 
 def test_summaries_of_a_store(spark):
