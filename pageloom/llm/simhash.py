@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import join_classes
 from pageloom.session import staged
 
 BITS = 64
@@ -200,10 +201,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     gives an empty result; other columns are ignored.
     """
     marked = staged(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("fp")), "fingerprints")
-    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("label")), "distinct-fingerprints")
+    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("label"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     edges = links(nodes.select("fp"), radius, shard_rows)
     # NULL sorts before all ids: stand a class of NULL ids alone behind the others.
     ranked = nodes.select("fp", F.struct(F.col("label").isNull().alias("none"), "label").alias("label"))
     found = components(ranked, edges).select("fp", F.col("label.label").alias("least"))
-    classes = nodes.join(found, "fp", "left").select("fp", F.coalesce("least", "label").alias("component_id"))
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = nodes.join(found, "fp", "left").select("fp", "n", F.coalesce("least", "label").alias("component_id"))
+    return join_classes(marked, staged(classes, "classes"), ["fp"]).select("doc_id", "fp", "component_id")
