@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import join_classes
 from pageloom.session import staged
 
 SHARDS = 24
@@ -110,8 +111,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, group_share: float = GR
     placed = staged(placed, "places")
     # The copies of a text lie side by side: all go where their middle byte goes.
     groups = placed.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("group_bytes"), F.max("stop").alias("group_stop"), F.max("total").alias("group_total"))
-    groups = groups.where((F.col("copies") > 1) & (F.col("group_bytes") * shards <= group_share * F.col("group_total"))).select("text_key", "group_bytes", "group_stop")
-    whole = placed.join(groups, "text_key", "left")
+    together = (F.col("copies") > 1) & (F.col("group_bytes") * shards <= group_share * F.col("group_total"))
+    groups = groups.select("text_key", "copies", F.when(together, F.col("group_bytes")).alias("group_bytes"), F.when(together, F.col("group_stop")).alias("group_stop"))
+    whole = join_classes(placed, staged(groups, "groups"), ["text_key"], "copies")
     middle = F.coalesce(F.col("group_stop") - F.col("group_bytes") / 2, F.col("stop") - F.col("size") / 2)
     whole = whole.withColumn("shard", F.least(F.floor(middle * shards / F.col("total")), F.lit(shards - 1)).cast("int"))
     whole = staged(whole.select("doc_id", "size", "text_crc32", "shard", "row"), "shards")
