@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import n_words_of
+from pageloom.llm.common import join_classes, n_words_of
 from pageloom.session import staged
 
 #: What sources weigh, in the order of their names, over and over.
@@ -129,19 +129,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     classes = staged(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "size-classes")
     targets = staged(source_targets(classes, weights, share, cap), "targets")
     copies = class_copies(classes, solve_tilts(classes, targets, cap), cap)
-    # A class is ranked in parts, as many as its rows need, so no task ranks a whole hot class.
+    zero = F.lit(0).cast("long")
+    copies = copies.union(classes.where("size = 0").select("source", "size", "n", zero.alias("least"), zero.alias("extra")))
+    # A class is ranked in parts, as many as its rows need, so no task ranks a whole hot class. It brings along what holds for its source.
     per_class = copies.withColumn("parts", F.ceil(F.col("n") / RANK_ROWS).cast("int"))
-    keyed = lambda df, side: df.withColumnRenamed("source", f"{side}_source")
-    joined = sized.join(keyed(per_class, "c").withColumnRenamed("size", "c_size"), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")), "left")
-    part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0))
-    joined = joined.select("doc_id", "source", "size", "n", "least", "extra", part.alias("part"))
+    per_class = per_class.join(targets.withColumnRenamed("source", "t"), F.col("source").eqNullSafe(F.col("t"))).drop("t")
+    joined = join_classes(sized, staged(per_class, "class-copies"), ["source", "size"])
+    joined = staged(joined.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("n", "parts"), "class-rows")
     needy = joined.where("extra > 0")
     counts = needy.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("rows"))
     earlier = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("source").alias("o_source"), F.col("size").alias("o_size"), F.col("part").alias("o_part"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"))
     rank = Window.partitionBy("source", "size", "part").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id")
     ranked = needy.withColumn("rank", F.row_number().over(rank)).join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("size") == F.col("o_size")) & (F.col("part") == F.col("o_part")))
-    more = ranked.select("doc_id", "source", "size", (F.col("least") + F.when(F.col("offset") + F.col("rank") <= F.col("extra"), 1).otherwise(0)).alias("copies"))
-    rest = joined.where("extra IS NULL OR extra <= 0").select("doc_id", "source", "size", F.coalesce("least", F.lit(0)).cast("long").alias("copies"))
-    rows = more.union(rest)
-    return rows.join(keyed(targets, "t"), F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "size", "source", "source_size", "target", F.col("copies").cast("long").alias("copies"))
+    once_more = F.when(F.col("offset") + F.col("rank") <= F.col("extra"), 1).otherwise(0)
+    out = ["doc_id", "size", "source", "source_size", "target"]
+    more = ranked.select(*out, (F.col("least") + once_more).alias("copies"))
+    return more.union(joined.where("extra <= 0").select(*out, F.col("least").alias("copies")))
