@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.functions.dates import date_extract
+from pageloom.functions.encoding import encoding_repair
 from pageloom.functions.html import html_text_extract, html_title_extract
 from pageloom.functions.text import clean_text, is_blank
 from pageloom.functions.urls import PLAIN, RENDERED, site_route
@@ -51,33 +52,40 @@ def new_bookmarks(
     return eligible, incremental_url_antijoin(url_dedup(candidates), store, small)
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """Title and clean text of each response; the markup goes no further."""
+def extract_pages(pages: DataFrame, charset: str | None = None) -> DataFrame:
+    """Title and clean text of each response, repaired when a ``charset`` is named; the markup goes no further."""
     readable = is_text_type(F.col("content_type"))
     html = F.when(readable, F.col("html"))
-    return pages.select(
+    found = pages.select(
         "page_id",
         "url",
         "content_type",
         "status",
         readable.alias("readable"),
         F.when(readable, html_title_extract(html)).alias("html_title"),
-        clean_text(html_text_extract(html)).alias("text"),
+        html_text_extract(html).alias("text"),
     )
+    if charset:
+        # Before the cleaning, which takes some bytes of a text decoded wrongly for white space.
+        found = found.withColumns({c: encoding_repair(F.col(c), charset) for c in ("html_title", "text")})
+    return found.withColumn("text", clean_text(F.col("text")))
 
 
-def attempt(bookmarks: DataFrame, pages: DataFrame, rendered: DataFrame | None = None, small: bool | None = None) -> DataFrame:
+def attempt(
+    bookmarks: DataFrame, pages: DataFrame, rendered: DataFrame | None = None, small: bool | None = None, charset: str | None = None
+) -> DataFrame:
     """Every bookmark with its ``content`` and ``crawl_method``, or the ``reason`` there is none.
 
     Pages are reduced to those of the bookmarks, one for each address, before anything is extracted from them.
     """
     wanted = first_per(concerned(pages, bookmarks, "url", small), "url", F.col("page_id"))
-    responses = extract_pages(wanted).drop("page_id")
+    responses = extract_pages(wanted, charset).drop("page_id")
     joined = bookmarks.join(responses, "url", "left")
     if rendered is None:
         joined = joined.withColumn("rendered_text", F.lit(None).cast("string"))
     else:
-        joined = joined.join(rendered.select("url", usable_rendered(F.col("rendered_text")).alias("rendered_text")), "url", "left")
+        shown = F.col("rendered_text") if charset is None else encoding_repair(F.col("rendered_text"), charset)
+        joined = joined.join(rendered.select("url", usable_rendered(shown).alias("rendered_text")), "url", "left")
     by_browser = site_route(F.col("url")) == RENDERED
     unanswered = F.col("status").isNull() | (F.col("status") >= 400)
     blank = is_blank(F.col("text"))
@@ -109,9 +117,11 @@ def ingest(
     parsers: dict[str, Parser] | None = None,
     skip_unreachable: bool = False,
     limit: int | None = None,
+    charset: str | None = None,
 ) -> Ingested:
     """One run: filter, parse, skip known URLs, extract, skip known content, give keys.
 
+    With a ``charset``, titles and texts that look wrongly decoded are repaired on the way.
     The outcome of every bookmark is staged once; rows, failures and counts are
     then read from it, and the long plan is not run again for each of them. One
     count of the bookmarks tells all joins with the store whether the run is
@@ -119,7 +129,7 @@ def ingest(
     """
     small = holds_at_most(bookmarks.select("url"), BROADCAST_ROWS)
     eligible, fresh = new_bookmarks(bookmarks, store, parsers, small)
-    outcome = staged(attempt(fresh, pages, rendered, small), "outcome")
+    outcome = staged(attempt(fresh, pages, rendered, small, charset), "outcome")
     if limit:
         # The run ends with the row that fills the limit: what comes later was never tried.
         kept = content_antijoin(content_dedup(outcome.where("reason IS NULL").drop("reason")), store, small).select("pos")

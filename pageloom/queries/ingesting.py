@@ -274,6 +274,18 @@ def _(spark, sf):
     return joins.lookup_by_date(store(spark, sf), "2024-01-02").select("key", "url")
 
 
+@query("lookup_by_domain_index", f"WITH {STORED} SELECT key, url FROM stored WHERE domain = 'src1.example.com'")
+def _(spark, sf):
+    rows = store(spark, sf)
+    return joins.lookup_by_domain(rows, "src1.example.com", index=stats.domain_index_build(rows)).select("key", "url")
+
+
+@query("lookup_by_date_index", f"WITH {STORED} SELECT key, url FROM stored WHERE date = DATE '2024-01-02'")
+def _(spark, sf):
+    rows = store(spark, sf)
+    return joins.lookup_by_date(rows, "2024-01-02", index=stats.date_index_build(rows)).select("key", "url")
+
+
 # Reports
 
 

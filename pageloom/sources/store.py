@@ -98,7 +98,7 @@ def store_replace(rows: DataFrame, path: str) -> int:
     spark = rows.sparkSession
     version = (current_version(spark, path) or 0) + 1
     base = _version_path(path, version)
-    rows.select(*STORE.names).write.mode("overwrite").parquet(f"{base}/seg=0")
+    rows.select(*STORE.names).sortWithinPartitions("key").write.mode("overwrite").parquet(f"{base}/seg=0")
     fs.touch(spark, f"{base}/{READY}")
     return version
 
@@ -108,6 +108,16 @@ def store_rebuild(df: DataFrame, path: str) -> None:
     store_replace(df, path)
 
 
+def store_compact(spark: SparkSession, path: str, segments: int = 1) -> int | None:
+    """Bring more than ``segments`` segments together as the next version, in key order; its number, or None when there is nothing to do.
+
+    Segments of earlier versions still count as committed, so a stream that runs a batch again adds nothing twice.
+    """
+    if len(_segments(spark, path)) <= segments:
+        return None
+    return store_replace(store_scan(spark, path).repartitionByRange("key"), path)
+
+
 def _fingerprint(df: DataFrame) -> tuple:
     row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
     return tuple(row)

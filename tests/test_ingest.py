@@ -199,6 +199,19 @@ def test_ingest_outcomes(spark):
     assert rows(limited.rows, "url") == [("https://ok.com",), ("https://pdf.com",)]
 
 
+@pytest.mark.parametrize("charset", ["gbk", "utf-8"])
+def test_ingest_repairs_wrongly_decoded_pages(spark, charset):
+    title, text = ("网页标题" * 4, "中文网页内容" * 5) if charset == "gbk" else ("äöüß" * 4, "éüöß" * 6)
+    garbled = page(title, text).encode(charset).decode("latin-1")
+    shown = spark.createDataFrame([("https://blank.com", text[::-1].encode(charset).decode("latin-1"))], "url string, rendered_text string")
+    fetched = [("https://a.com", garbled, "text/html", 200), ("https://b.com", page("B"), "text/html", 200), ("https://blank.com", "<p> </p>", "text/html", 200)]
+    args = marks(spark, ["https://a.com", "https://b.com", "https://blank.com"]), pages(spark, fetched), empty_store(spark), now(), shown
+    found = {r["url"]: r["content"] for r in ingest(*args, charset=charset).rows.collect()}
+    assert found["https://a.com"] == f"<h1>{title}</h1>\n\n{title}\n{text}"
+    assert found["https://blank.com"] == text[::-1]
+    assert found["https://b.com"] == f"<h1>B</h1>\n\nB\n{page.__defaults__[1]}"
+
+
 def test_ingest_again_adds_nothing(spark):
     store, failures = scratch_path(spark, "store"), scratch_path(spark, "failures")
     args = marks(spark, ["https://a.com", "https://b.com", "https://c.com"]), pages(spark, [("https://a.com", page("A"), "text/html", 200), ("https://b.com", page("B"), "text/html", 200)])
@@ -244,6 +257,12 @@ def test_store_versions_snapshot_and_corrupt_rows(spark, tmp_path):
     store_source.store_append(two, path, "s2")
     store_source.store_append(two, path, "s2")
     assert rows(store_source.store_scan(spark, path), "key") == [(1,), (2,)]
+    other = scratch_path(spark, "compact")
+    for n, df in enumerate((two, one)):
+        store_source.store_append(df, other, f"s{n}")
+    assert store_source.store_compact(spark, other) == 2 and store_source.store_compact(spark, other) is None
+    assert rows(store_source.store_scan(spark, other), "key", "url") == [(1, "https://a.com"), (2, "https://b.com")]
+    assert store_source.segment_committed(spark, other, "s0")
     copy = store_source.store_snapshot(spark, path, scratch_path(spark, "b"), "before", True, dt.datetime(2024, 1, 2, 3, 4, 5))
     assert copy.endswith("store_backup_20240102_030405_before") and spark.read.parquet(copy).count() == 2
     store_source.store_replace(store_source.store_scan(spark, path).where("key = 2"), path)
