@@ -22,7 +22,7 @@ def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op3_substring_dedup")
 def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return substring_dedup.dedup_units(table(spark, sf, "documents")).select("doc_id", F.size("removed").alias("n_removed"), "removed", "kept_text")
+    return substring_dedup.dedup_units(table(spark, sf, "documents"), "piece").select("doc_id", F.size("removed").alias("n_removed"), "removed", "kept_text")
 
 
 @query("op4_simhash_near_dedup")

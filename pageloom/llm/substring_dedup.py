@@ -4,14 +4,20 @@ A unit is a line (or a paragraph); a line that runs on is cut after each sentenc
 passage pasted into the middle of a line still meets itself elsewhere. Units are
 normalised, hashed to 128 bits and grouped over the whole corpus: the occurrence of the smallest (doc_id, unit number)
 stays, all others are removed. Offsets are those of the original text.
+
+With the unit ``piece`` no word is left out: sentences are cut further at words that the words around them decide, so that both sides
+of a passage are cut alike, whatever stands before it. A short sentence counts together with the piece beside it; a
+line alone is a unit however short. In scripts without blanks every sign is a word.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +32,77 @@ ENDS = {
 }
 #: Units that go to Arrow at once.
 BATCH_UNITS = 100_000
+#: Scripts without blanks between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff65\U00020000-\U0003ffff"
+_MARKS = "".join(c for c in map(chr, (*range(0x0E00, 0x1100), *range(0x1780, 0x1800), 0x3099, 0x309A)) if unicodedata.category(c)[0] == "M")
+#: A word, or a sign of such a script with its marks.
+TOKEN = re.compile(rf"[{_UNSPACED}][{_MARKS}]*|[^\s{_UNSPACED}]+")
+#: What ends a sentence, and what may follow it.
+STOPS, CLOSERS = ".!?\u2026\u3002\uff01\uff1f\uff61\u0964\u0965\u061f\u06d4\u1362\u104b\u17d4", "\"')]}\u201d\u2019\u00bb\u203a\u300d\u300f\uff09"
+_LAST = frozenset(STOPS + CLOSERS)
+#: Words whose hashes are kept at most.
+CACHED_WORDS = 1_000_000
+
+
+def _ends_sentence(token: str) -> bool:
+    inner = token.rstrip(CLOSERS)
+    return inner != "" and inner[-1] in STOPS
+
+
+def pieces(text: str, min_words: int, cache: dict[str, int]) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, stop, words that count) of the pieces of a text; every word lies in one.
+
+    A sentence is cut before each word whose hash is less than those of the ``min_words - 1`` words before it and not more than those of as many after
+    it, if that many words are on either side of the cut. Sentences of fewer than ``min_words`` words count with the piece beside them.
+    """
+    import xxhash
+
+    found = list(TOKEN.finditer(text))
+    n = len(found)
+    if not n:
+        return
+    tokens = [m.group() for m in found]
+    starts = np.fromiter((m.start() for m in found), dtype=np.int64, count=n)
+    stops = np.fromiter((m.end() for m in found), dtype=np.int64, count=n)
+    del found
+    hashes = np.empty(n, dtype=np.uint64)
+    for k, token in enumerate(tokens):
+        h = cache.get(token)
+        if h is None:
+            if len(cache) >= CACHED_WORDS:
+                cache.clear()
+            h = cache[token] = xxhash.xxh64_intdigest(token.casefold().encode("utf-8", "surrogatepass"))
+        hashes[k] = h
+    # Where lines and sentences begin, by word.
+    breaks = np.fromiter((m.start() for m in ENDS["line"].finditer(text)), dtype=np.int64)
+    line = np.searchsorted(breaks, starts)
+    new_line = np.ones(n, dtype=bool)
+    new_line[1:] = line[1:] != line[:-1]
+    ends = np.fromiter((t[-1] in _LAST and _ends_sentence(t) for t in tokens), dtype=bool, count=n)
+    spaced = np.ones(n, dtype=bool)
+    spaced[1:] = (starts[1:] > stops[:-1]) | np.fromiter((t[0] > "\u2fff" for t in tokens[:-1]), dtype=bool, count=n - 1)
+    begins = new_line.copy()
+    # A sentence ends with the last of several closing signs.
+    begins[1:] |= ends[:-1] & spaced[1:] & ~np.fromiter((t[0] in _LAST and not t.strip(STOPS + CLOSERS) for t in tokens[1:]), dtype=bool, count=n - 1)
+    first = np.flatnonzero(begins)
+    sentence = np.cumsum(begins) - 1
+    length = np.diff(np.append(first, n))
+    place = np.arange(n) - first[sentence]
+    least = (place >= min_words) & (length[sentence] - place >= min_words)
+    at = np.flatnonzero(least)
+    if len(at):
+        # A word weighs with the one before it, so that no frequent word makes most cuts.
+        with np.errstate(over="ignore"):
+            weight = hashes * np.uint64(0x9E3779B97F4A7C15)
+            weight[1:] += hashes[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        low = np.ones(len(at), dtype=bool)
+        for k in range(1, min_words):
+            low &= (weight[at] < weight[at - k]) & (weight[at] <= weight[np.minimum(at + k, n - 1)])
+        begins[at[low]] = True
+    cuts = [*np.flatnonzero(begins).tolist(), n]
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        words = tokens[a:b]
+        yield int(starts[a]), int(stops[b - 1]), words
 
 
 def cut(text: str, unit: str) -> Iterator[tuple[int, int, list[str]]]:
@@ -45,7 +122,7 @@ def normalised(words: list[str]) -> str:
 
 
 def unit_digests(docs: DataFrame, unit: str = "sentence", min_words: int = 5) -> DataFrame:
-    """(doc_id, text_key, unit, start, stop, h1, h2) of the units of ``docs`` with at least ``min_words`` words.
+    """(doc_id, text_key, unit, start, stop, h1, h2) of the units of ``docs`` with at least ``min_words`` words, of all pieces.
 
     ``start`` and ``stop`` count code points of the original text and leave out white space around the unit.
     """
@@ -54,9 +131,10 @@ def unit_digests(docs: DataFrame, unit: str = "sentence", min_words: int = 5) ->
         import xxhash
 
         rows: list[tuple] = []
+        cache: dict[str, int] = {}
         for batch in batches:
             for doc_id, key, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                for k, (start, stop, words) in enumerate(cut(text, unit)):
+                for k, (start, stop, words) in enumerate(pieces(text, min_words, cache) if unit == "piece" else cut(text, unit)):
                     if len(words) >= min_words:
                         rows.append((doc_id, key, k, start, stop, *struct.unpack(">qq", xxhash.xxh3_128_digest(normalised(words).encode("utf-8", "surrogatepass")))))
                         if len(rows) >= BATCH_UNITS:
@@ -78,9 +156,9 @@ def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = 5)
     that have doc_id and text in common are one document: they lose the same spans.
     """
     # Cut once: the table serves the grouping and the join.
-    units = staged(unit_digests(docs, unit, min_words), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "unit", "text_key")
-    first = units.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first < last").select("h1", "h2", "first")
+    units = staged(unit_digests(docs, unit, min_words).drop("unit"), "units")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start", "text_key")
+    first = units.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
     again = units.join(first, ["h1", "h2"]).where(rank > F.col("first"))
     return again.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("removed"))
 
@@ -89,7 +167,7 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", min_words: int = 5) ->
     """Each row of ``docs(doc_id, text)`` with ``removed`` (array of start, stop) and ``kept_text``.
 
     NULL stays NULL, an empty text stays empty, a text without repeats is unchanged with an empty ``removed``. Units of fewer than
-    ``min_words`` words always stay. Of the columns of ``docs`` only doc_id and text are returned.
+    ``min_words`` words always stay, but for the unit ``piece``, which leaves none out. Of the columns of ``docs`` only doc_id and text are returned.
     """
     spans = repeated_spans(docs, unit, min_words).withColumnRenamed("doc_id", "span_doc").withColumnRenamed("text_key", "span_key")
     named = docs.select("doc_id", "text")
