@@ -102,6 +102,12 @@ def pieces(text: str, min_words: int, cache: dict[str, int]) -> Iterator[tuple[i
     cuts = [*np.flatnonzero(begins).tolist(), n]
     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
         words = tokens[a:b]
+        if b - a < min_words:
+            # One that counts with another is not equal to a whole unit of the same words, nor to that other.
+            if not new_line[a]:
+                words = [*tokens[cuts[k - 1] : b], "\n", "after", str(b - a)]
+            elif b < n and not new_line[b]:
+                words = [*tokens[a : cuts[k + 2]], "\n", "before", str(b - a)]
         yield int(starts[a]), int(stops[b - 1]), words
 
 
@@ -135,7 +141,7 @@ def unit_digests(docs: DataFrame, unit: str = "sentence", min_words: int = 5) ->
         for batch in batches:
             for doc_id, key, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 for k, (start, stop, words) in enumerate(pieces(text, min_words, cache) if unit == "piece" else cut(text, unit)):
-                    if len(words) >= min_words:
+                    if unit == "piece" or len(words) >= min_words:
                         rows.append((doc_id, key, k, start, stop, *struct.unpack(">qq", xxhash.xxh3_128_digest(normalised(words).encode("utf-8", "surrogatepass")))))
                         if len(rows) >= BATCH_UNITS:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)

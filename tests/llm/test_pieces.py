@@ -30,6 +30,14 @@ def test_a_passage_without_full_stops(spark, sep):
     assert 0.4 * len(passage) < removed(got[3]) < len(passage)
 
 
+def test_short_lines_and_sentences_of_copies_go(spark):
+    text = "Home\nYes. No. The cat sat on the mat all day long. Oh!\n是的\nRead more"
+    got = run(spark, [(1, text), (2, text), (3, "Yes. Another sentence that stands nowhere else at all. Oh!\nRead more\nHome page")])
+    assert not got[1]["removed"]
+    assert got[2]["kept_text"].split() == []
+    assert got[3]["kept_text"] == "Yes. Another sentence that stands nowhere else at all. Oh!\n\nHome page"
+
+
 def test_sentences_end_with_quotes_and_other_marks(spark):
     shared = "the one sentence that both of them hold.\""
     got = run(spark, [(1, f"He said \"{shared} Nothing more was heard of it after that."), (2, f"Somebody wrote a line here. He said \"{shared} Then other things came up again."), (3, "यह एक छोटा सा वाक्य है। दूसरा वाक्य यहाँ पर अलग है।"), (4, "कुछ और बात यहाँ लिखी है। यह एक छोटा सा वाक्य है।")])
