@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import join_classes, n_words_of
+from pageloom.operators.sizing import holds_at_most
 from pageloom.session import staged
 
 #: What sources weigh, in the order of their names, over and over.
@@ -25,6 +26,8 @@ SHARE = 1.5
 CAP = 2.0
 #: Documents of one (source, size) that one window task ranks, about.
 RANK_ROWS = 50_000
+#: Classes of (source, size) that are broadcast: under 100 bytes each.
+BROADCAST_CLASSES = 200_000
 
 
 def source_targets(classes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -117,6 +120,16 @@ def class_copies(classes: DataFrame, tilts: DataFrame, cap: float = CAP) -> Data
     return named.groupBy("source").applyInPandas(round_source, "source string, size long, n long, least long, extra long")
 
 
+def _sized(docs: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, source, size, text_key), class copies (source, size, n, least, extra) and targets of ``docs``."""
+    sized = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key")), "sizes")
+    classes = staged(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "size-classes")
+    targets = staged(source_targets(classes, weights, share, cap), "targets")
+    copies = class_copies(classes, solve_tilts(classes, targets, cap), cap)
+    zero = F.lit(0).cast("long")
+    return sized, copies.union(classes.where("size = 0").select("source", "size", "n", zero.alias("least"), zero.alias("extra"))), targets
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(doc_id, size, source, source_size, target, copies) for each row of ``docs(doc_id, text, source)``.
 
@@ -125,12 +138,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     repeat are documents of their own; where their ids are equal too, which of them is taken more often is not defined, but their number is. NULL is a source
     like any other. A source whose texts hold no words has the target 0. An empty table gives an empty result.
     """
-    sized = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words_of(F.col("text")).alias("size")), "sizes")
-    classes = staged(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "size-classes")
-    targets = staged(source_targets(classes, weights, share, cap), "targets")
-    copies = class_copies(classes, solve_tilts(classes, targets, cap), cap)
-    zero = F.lit(0).cast("long")
-    copies = copies.union(classes.where("size = 0").select("source", "size", "n", zero.alias("least"), zero.alias("extra")))
+    sized, copies, targets = _sized(docs, weights, share, cap)
+    sized = sized.drop("text_key")
     # A class is ranked in parts, as many as its rows need, so no task ranks a whole hot class. It brings along what holds for its source.
     per_class = copies.withColumn("parts", F.ceil(F.col("n") / RANK_ROWS).cast("int"))
     per_class = per_class.join(targets.withColumnRenamed("source", "t"), F.col("source").eqNullSafe(F.col("t"))).drop("t")
@@ -146,3 +155,49 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     out = ["doc_id", "size", "source", "source_size", "target"]
     more = ranked.select(*out, (F.col("least") + once_more).alias("copies"))
     return more.union(joined.where("extra <= 0").select(*out, F.col("least").alias("copies")))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The rows of ``docs(doc_id, text, source, ...)`` as often as the mix takes them, with all their columns.
+
+    Sources, sizes and copies are those of ``mix``. Texts stay where they are: a class of equal source and size gets the place of the last row that is
+    taken once more, in the order of a hash of doc_id and text, and every row compares itself with it. Only rows that stand at this place several
+    times (equal doc_id and text) are grouped, copies meeting before the shuffle, and counted out. NULL ids and NULL sources are values like any other,
+    texts without words get no copy, an empty table gives an empty one.
+    """
+    sized, copies, _ = _sized(docs, weights, share, cap)
+    classes = staged(copies.withColumn("parts", F.ceil(F.col("n") / RANK_ROWS).cast("int")), "class-copies")
+    # The order of ``mix``: by part, hash, id; rows with one id follow the hash of their text, equal rows count together.
+    part, place = F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.struct(F.xxhash64(F.lit(1), "doc_id").alias("h"), "doc_id", "text_key")
+    needy = join_classes(sized, classes, ["source", "size"]).where("extra > 0")
+    places = staged(needy.groupBy("source", "size", "extra", part.alias("part"), place.alias("place")).agg(F.count(F.lit(1)).alias("m")), "places")
+    earlier = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = places.groupBy("source", "size", "part").agg(F.sum("m").alias("rows"))
+    counts = counts.select(F.col("source").alias("o_source"), F.col("size").alias("o_size"), F.col("part").alias("o_part"), "rows", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"))
+    # Only the part in which the count is reached has to be put in order.
+    same_part = F.col("source").eqNullSafe(F.col("o_source")) & (F.col("size") == F.col("o_size")) & (F.col("part") == F.col("o_part"))
+    reached = places.join(counts, same_part).where("offset < extra AND extra <= offset + rows")
+    upto = F.col("offset") + F.sum("m").over(Window.partitionBy("source", "size").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    last = reached.withColumn("upto", upto).where("upto >= extra AND upto - m < extra")
+    last = last.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.struct("part", "place").alias("last"), "m", (F.col("extra") - F.col("upto") + F.col("m")).alias("of_last"))
+    named = classes.join(last, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")), "left")
+    named = staged(named.select("source", "size", "n", F.struct("least", "parts", "last", "m", "of_last").alias("class")), "mix-classes")
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), n_words_of(F.col("text")).alias("size"))
+    joined = _on_classes(rows, named).select("row", "class", F.xxhash64("row.text").alias("text_key"))
+    mine = F.struct(F.pmod(F.xxhash64("row.doc_id"), F.col("class.parts")).alias("part"), F.struct(F.xxhash64(F.lit(1), "row.doc_id").alias("h"), F.col("row.doc_id"), "text_key").alias("place"))
+    judged = joined.select("row", "class", F.coalesce(mine <= F.col("class.last"), F.lit(False)).alias("more"), F.coalesce((mine == F.col("class.last")) & F.col("class.last").isNotNull() & (F.col("class.m") > F.col("class.of_last")), F.lit(False)).alias("tied"))
+    alone = judged.where("NOT tied").select("row", (F.col("class.least") + F.col("more").cast("int")).alias("times"))
+    # Equal in id and text, perhaps not in other columns: those that sort first are taken once more.
+    tied = judged.where("tied").groupBy("row", "class").agg(F.count(F.lit(1)).alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("class").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = tied.select("row", (F.col("class.least") * F.col("m") + F.greatest(F.lit(0), F.least(F.col("m"), F.col("class.of_last") - before))).alias("times"))
+    taken = alone.unionByName(counted).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long")))).select("row.*")
+
+
+def _on_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows(row, source, size)`` with ``class``: broadcast while the classes are counted as few, else frequent ones are, and only the rows of others are shuffled."""
+    if holds_at_most(classes, BROADCAST_CLASSES):
+        named = classes.withColumnsRenamed({"source": "class_source", "size": "class_size"})
+        return rows.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("class_source")) & (F.col("size") == F.col("class_size")))
+    return join_classes(rows, classes, ["source", "size"])

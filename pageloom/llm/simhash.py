@@ -193,6 +193,18 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
     return pairs.select(F.col("u.fp").alias("fp"), F.col("v.label").alias("label")).union(hubs)
 
 
+def _classes(docs: DataFrame, radius: int, shingle: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, fp) of ``docs`` and classes (fp, n, first): ``first`` is (no_id, doc_id, fp) of the least member of a fingerprint's class."""
+    marked = staged(docs.select("doc_id", F.xxhash64("text").alias("text_key"), fingerprints(F.col("text"), shingle).alias("fp")), "fingerprints")
+    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    edges = links(nodes.select("fp"), radius, shard_rows)
+    # NULL sorts before all ids: stand a class of NULL ids alone behind the others. The fingerprint keeps classes apart whose least ids are equal.
+    label = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
+    ranked = nodes.select("fp", "n", label.alias("label"))
+    found = components(ranked.select("fp", "label"), edges).select("fp", F.col("label").alias("least"))
+    return marked, staged(ranked.join(found, "fp", "left").select("fp", "n", F.coalesce("least", "label").alias("first")), "classes")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs(doc_id, text)``.
 
@@ -200,11 +212,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     texts have fingerprint 0 and are linked like any other; rows that repeat fall into one class. Whole texts are read; an empty table
     gives an empty result; other columns are ignored.
     """
-    marked = staged(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("fp")), "fingerprints")
-    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("label"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
-    edges = links(nodes.select("fp"), radius, shard_rows)
-    # NULL sorts before all ids: stand a class of NULL ids alone behind the others.
-    ranked = nodes.select("fp", F.struct(F.col("label").isNull().alias("none"), "label").alias("label"))
-    found = components(ranked, edges).select("fp", F.col("label.label").alias("least"))
-    classes = nodes.join(found, "fp", "left").select("fp", "n", F.coalesce("least", "label").alias("component_id"))
-    return join_classes(marked, staged(classes, "classes"), ["fp"]).select("doc_id", "fp", "component_id")
+    marked, classes = _classes(docs, radius, shingle, shard_rows)
+    named = classes.select("fp", "n", F.col("first.doc_id").alias("component_id"))
+    return join_classes(marked.drop("text_key"), named, ["fp"]).select("doc_id", "fp", "component_id")
+
+
+def first_of_classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row of ``docs`` for each near-duplicate class, with all its columns.
+
+    The row of the smallest doc_id stays (a NULL id only where the class has no other), among different texts of one class with that id the one of
+    the least hash. Two classes may have the same least id: each keeps a row. Of rows with equal doc_id and text one stays; where they
+    differ in other columns, which one is not defined. NULL, empty and blank texts are one class. An empty table gives an empty one.
+    """
+    marked, classes = _classes(docs, radius, shingle, shard_rows)
+    heads = classes.where("fp = first.fp").select(F.col("fp").alias("_fp"), F.col("first.doc_id").alias("_id"))
+    rows = marked.join(heads, (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("fp", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    kept = rows.groupBy("fp").agg(F.min(F.struct("text_key", "doc_id", "n")).alias("row"))
+    kept = staged(kept.select(F.col("row.doc_id").alias("_kept_id"), F.col("row.text_key").alias("_kept_key"), F.col("row.n").alias("_kept_n")), "kept-rows")
+    same = docs["doc_id"].eqNullSafe(kept["_kept_id"]) & (F.xxhash64(docs["text"]) == kept["_kept_key"])
+    alone = docs.join(kept.where("_kept_n = 1"), same, "left_semi")
+    # The few kept rows that stand several times: their copies meet before the shuffle.
+    several = docs.join(kept.where("_kept_n > 1"), same, "left_semi")
+    return alone.unionByName(several.dropDuplicates(["doc_id", "text"]))

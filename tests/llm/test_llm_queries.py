@@ -84,6 +84,29 @@ def test_stages(spark):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_stages_of_odd_rows(spark):
+    """Columns that clash with inner names, equal and missing ids, equal rows: nothing is lost, nothing stays twice."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __copies int, class string, row string, _kept_id int, times int, text_key int, fp int"
+    words = [" ".join(f"{w}{k}" for w in ("alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta")) for k in range(12)]
+    rows = [(1, words[0]), (1, words[1]), (1, words[1]), (None, words[2]), (None, words[2]), (None, words[3]), (5, words[0]), (6, None), (7, ""), (8, "w " * 20_000)]
+    docs = spark.createDataFrame([(i, t, "en", s, 1, 2, "c", "r", 3, 4, 5, 6) for i, t in rows for s in ("a",)], schema)
+    one = pipeline.keep_first_of_copies(spark, docs, SF)
+    assert one.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in one.collect())
+    assert got == Counter([(1, words[0]), (1, words[1]), (None, words[2]), (None, words[3]), (6, None), (8, "w " * 20_000)])
+    mixed = pipeline.mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns
+    wanted = Counter()
+    for r in mixing.mix(docs).collect():
+        wanted[r["size"]] += r["copies"]
+    got = Counter()
+    for r in mixed.collect():
+        got[len((r["text"] or "").split())] += 1
+    assert got == {s: n for s, n in wanted.items() if n}
+    assert pipeline.drop_leaks(spark, docs, SF).count() == len(rows)
+    assert pipeline.shard(spark, docs, SF).count() == len(rows)
+
+
 def test_run(spark):
     assert pipeline.run(spark, SF).count() > 0
 
