@@ -5,35 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import decontamination, mixing, near_copies, quality_classifier, sharding, simhash
+from pageloom.llm import decontamination, mixing, quality_classifier, sharding, simhash
 from pageloom.llm.common import table
 from pageloom.session import staged
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    NULL and empty texts are scored like any other; repeated rows are all kept or all dropped. Extra columns stay.
+    """
     model = quality_classifier.fit_quality(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality_classifier.quality_score(model, docs) >= quality_classifier.THRESHOLD)
 
 
 def keep_first_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate class of op4; one of rows that repeat. Rows without an id stay. Not a stage: op4 links less."""
-    return _first_of_classes(docs, simhash.near_duplicates(docs))
-
-
-def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class of near-copies (five-word shingles, Jaccard of 0.8); one of rows that repeat. Rows without an id stay."""
-    return _first_of_classes(docs, near_copies.near_copies(docs))
-
+    """One document of each near-duplicate class (four-word shingles, at most 4 differing bits): the one of the smallest id.
 
-def _first_of_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    Different texts with equal ids are different documents; rows without an id are documents like any other, and one stays of a class that has no
+    id. Of rows equal in id and text one stays. NULL, empty and blank texts are one class.
+    """
+    return simhash.first_of_classes(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs. NULL and empty texts have none and stay; repeated rows stay; extra columns too."""
     clean = docs
     for matcher in decontamination.matchers(table(spark, sf_dir, "benchmark")):
         shared = spark.sparkContext.broadcast(matcher)
@@ -42,20 +38,18 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    repeated = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
-    return repeated.withColumn("__copies", F.explode(F.expr("sequence(1L, __copies)"))).select(*docs.columns)
+    """Each document as often as the mix takes it; a document without words is not taken. Rows keep all their columns."""
+    return mixing.mixed_rows(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of each row."""
+    """(doc_id, size, text_crc32, shard, slot) of each row; NULL texts have no bytes, rows that repeat get slots of their own."""
     return sharding.assign_shards(docs)
 
 
 STAGES = [
     ("quality classifier", keep_good),
-    ("near-dedup", keep_first_of_near_copies),
+    ("near-dedup", keep_first_of_copies),
     ("benchmark decontamination", drop_leaks),
     ("mixing sources", mix_sources),
     ("sharding", shard),
