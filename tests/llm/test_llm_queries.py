@@ -17,7 +17,7 @@ def names():
 
 
 def test_all_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in names()) == list(range(1, 11)) and "pipeline" in driver.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names()) == list(range(1, 14)) and "pipeline" in driver.queries()
 
 
 @pytest.mark.parametrize("name", [n for n in names() if n in driver.oracle_sql()])
@@ -31,6 +31,8 @@ CONTRACT = {
     "op5": ["size", "source_size", "target", "taken"],
     "op7": ["held_out", "score", "predicted"],
     "op8": ["held_out", "lang_pred", "score"],
+    "op11": ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    "op12": ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
     "op10": ["size", "text_crc32", "law", "shard", "slot", "grown_shard"],
 }
 
