@@ -11,6 +11,7 @@ from pageloom.operators.numbering import number_rows
 from pageloom.operators.sizing import BROADCAST_ROWS, holds_at_most, small_side
 from pageloom.schema import STORE
 from pageloom.session import staged
+from pageloom.sources.store import last_key, store_delta, store_scan
 
 
 def ok_error_union(ok: DataFrame, errored: DataFrame, skip_unreachable: bool = False) -> DataFrame:
@@ -42,11 +43,11 @@ def next_key(store: DataFrame) -> "F.Column":
     return store.agg(F.coalesce(F.max("key"), F.lit(0)).alias("max_key")).scalar()
 
 
-def key_assign(batch: DataFrame, store: DataFrame, order: str = "pos", small: bool | None = None) -> DataFrame:
+def key_assign(batch: DataFrame, store: DataFrame, order: str = "pos", small: bool | None = None, last: int | None = None) -> DataFrame:
     """Add ``key`` to a batch with one row per URL.
 
     Known URLs keep theirs, new ones count on from the highest key in the order
-    of arrival. Only URL hash and key of the store take part.
+    of arrival. Only URL hash and key of the store take part. Who knows the highest key says so with ``last``.
     """
     hashed = with_url_hash(batch).withColumn("_order", F.col(order)).drop("key")
     keys = with_url_hash(store).select("url_hash", F.col("key").alias("_known"))
@@ -54,21 +55,36 @@ def key_assign(batch: DataFrame, store: DataFrame, order: str = "pos", small: bo
     matched = staged(hashed.join(concerned(keys, hashed, "url_hash", small), "url_hash", "left"), "matched")
     old = matched.where("_known IS NOT NULL").withColumn("key", F.col("_known"))
     new = number_rows(matched.where("_known IS NULL"), "_order", "_seq").withColumn(
-        "key", F.col("_seq") + next_key(store)
+        "key", F.col("_seq") + (next_key(store) if last is None else F.lit(last))
     )
     return old.drop("_known", "_order").unionByName(new.drop("_known", "_seq", "_order"))
 
 
+def upsert_rows(store: DataFrame, batch: DataFrame, order: str = "pos", small: bool | None = None, last: int | None = None) -> DataFrame:
+    """What an upsert of ``batch`` puts into the store, staged: a row per URL with its key.
+
+    Rows with a blank URL are skipped; of several rows with one URL the last counts.
+    """
+    latest = latest_per_url(batch.where(~is_blank(F.col("url"))), order)
+    return staged(to_store_rows(key_assign(latest, store, order, small, last)), "keyed")
+
+
 def store_upsert(store: DataFrame, batch: DataFrame, order: str = "pos") -> DataFrame:
     """The store after a batch: same URL replaces the record and keeps its key, others are added.
 
-    Rows with a blank URL are skipped; of several rows with one URL the last
-    counts. The batch with its keys is staged, as it is needed twice: to leave
-    out the old records and to add the new ones. If it is small, the store is
-    only read and filtered, not shuffled.
+    If the batch is small, the store is only read and filtered, not shuffled. ``upsert_into`` does the same on disk and writes only the batch.
     """
     small = holds_at_most(batch.select("url"), BROADCAST_ROWS)
-    latest = latest_per_url(batch.where(~is_blank(F.col("url"))), order)
-    keyed = staged(to_store_rows(key_assign(latest, store, order, small)), "keyed")
+    keyed = upsert_rows(store, batch, order, small)
     kept = store.join(small_side(keyed.select("url_hash"), small=small), "url_hash", "left_anti")
     return to_store_rows(kept).unionByName(keyed)
+
+
+def upsert_into(batch: DataFrame, path: str, order: str = "pos") -> int:
+    """Upsert a batch into the store on disk as a delta: what is written follows from the batch; the new version.
+
+    Of the store only URL hashes and keys are read. Running it again with the same batch adds a delta that changes nothing.
+    """
+    spark = batch.sparkSession
+    small = holds_at_most(batch.select("url"), BROADCAST_ROWS)
+    return store_delta(upsert_rows(store_scan(spark, path), batch, order, small, last_key(spark, path)), path)

@@ -158,9 +158,9 @@ def ingest(
 def ingest_into(
     bookmarks: DataFrame, pages: DataFrame, store_path: str, failures_path: str, segment: str, crawl_time: Column, **options
 ) -> Ingested:
-    """Run an ingest and add its rows to a store, its failures to their table."""
+    """Run an ingest and add its rows to a store, its failures to their table. Both go by the segment's name, so a run that starts again records nothing twice."""
     spark = bookmarks.sparkSession
     done = ingest(bookmarks, pages, store_scan(spark, store_path), crawl_time, **options)
-    failed_append(done.failures, failures_path)
+    failed_append(done.failures, failures_path, segment)
     store_append(done.rows, store_path, segment)
     return done

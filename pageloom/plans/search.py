@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.operators.sizing import pinned
+from pageloom.operators.sizing import pinned, small_side
 from pageloom.search.analysis import query_terms
+from pageloom.search.blocks import best_blocks, impact_hits, postings_in, shared_blocks
 from pageloom.search.index import Index
-from pageloom.search.match import expand_terms, postings_join, surveyed
+from pageloom.search.match import Footprint, expand_terms, postings_join, surveyed
 from pageloom.search.rank import (
     bm25_score,
     pagination_meta,
     request_validate,
     search_page,
     search_total_hits,
+    wanted_rows,
 )
 from pageloom.search.results import search_result_record, search_snippet
 from pageloom.session import staged
@@ -27,13 +29,17 @@ def search_batch(index: Index, requests: DataFrame) -> tuple[DataFrame, DataFram
     """Answer ``requests(query_id, text, page, page_size)``.
 
     Expansion, scores, pagination and page rows are made once each: scores are staged, the others too unless they are so few that
-    they become local tables. Few page rows fetch their documents by key, so only these are read.
+    they become local tables. Few page rows fetch their documents by key, so only these are read. With an index on disk only
+    blocks of documents are read that a page can need.
     """
     valid = request_validate(requests, "clamp")
     expanded, touched = surveyed(expand_terms(index, query_terms(valid)), index.buckets, "expanded")
-    found = postings_join(expanded, index.postings, index.buckets, touched=touched)
-    scored = staged(bm25_score(found, index), "scored")
-    pagination, asked = _settled(pagination_meta(search_total_hits(scored), valid), "pagination")
+    if index.impacts is None:
+        scored = staged(bm25_score(postings_join(expanded, index.postings, index.buckets, touched=touched), index), "scored")
+        totals = search_total_hits(scored)
+    else:
+        scored, totals = needed_scores(index, expanded, touched, valid)
+    pagination, asked = _settled(pagination_meta(totals, valid), "pagination")
     small = asked is not None or None
     # A page past the end becomes the last one, which lies above it.
     deepest = max((r["page"] * r["page_size"] for r in asked), default=0) if small else None
@@ -44,6 +50,19 @@ def search_batch(index: Index, requests: DataFrame) -> tuple[DataFrame, DataFram
     return results.drop("composite_text"), pagination
 
 
+def needed_scores(index: Index, expanded: DataFrame, touched: Footprint, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scores of all documents that a page of a request can hold, and the numbers of results of all queries."""
+    hits = impact_hits(index, expanded, touched)
+    alone = F.expr("n_terms = 1 AND NOT fuzzy")
+    # A word without edits is one term: as many results as documents have it.
+    known = expanded.where(alone).select("query_id", F.col("df").alias("total_results"))
+    depths = wanted_rows(pagination_meta(known, requests)).select("query_id", F.col("_last").alias("depth"))
+    blocks = best_blocks(hits.where(alone), depths).unionByName(shared_blocks(hits.where(~alone)))
+    scored = staged(bm25_score(postings_in(index, expanded, blocks, touched), index), "scored")
+    others = scored.join(small_side(known.select("query_id")), "query_id", "left_anti")
+    return scored, known.unionByName(search_total_hits(others))
+
+
 def _settled(df: DataFrame, name: str) -> tuple[DataFrame, list[dict] | None]:
     """``df`` as a local table with its rows when they are few, else staged."""
     few = pinned(df, PUSHED_KEYS)

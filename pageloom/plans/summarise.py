@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pageloom.operators.numbering import first_per
 from pageloom.operators.ordering import summary_limit
 from pageloom.operators.summaries import prompt_build, stored_summaries, summary_apply, summary_backlog
-from pageloom.operators.upsert import store_upsert
+from pageloom.operators.upsert import store_upsert, upsert_into
 from pageloom.schema import SUMMARY
 from pageloom.session import staged
 from pageloom.sources import fs
-from pageloom.sources.store import store_replace, store_scan
+from pageloom.sources.store import store_scan
 
 
 def summarise(
@@ -26,15 +26,21 @@ def summarise(
     Answers are staged before anything looks at them twice, so no prompt is sent
     again.
     """
+    return store_upsert(store, _made(store, fn, model, force, limit, summary_time), order="key")
+
+
+def _made(
+    store: DataFrame, fn: Callable[[pd.Series], pd.Series], model: str, force: bool = False, limit: int | None = None, summary_time: Column | None = None
+) -> DataFrame:
+    """Rows with the summaries that could be made."""
     considered = summary_limit(store, limit) if limit else store
     backlog = prompt_build(summary_backlog(considered, force))
-    made = staged(summary_apply(backlog, fn, model, summary_time), "summaries")
-    return store_upsert(store, stored_summaries(made), order="key")
+    return stored_summaries(staged(summary_apply(backlog, fn, model, summary_time), "summaries"))
 
 
 def summarise_store(spark: SparkSession, path: str, fn: Callable[[pd.Series], pd.Series], model: str, **options) -> int:
-    """Make the missing summaries of a stored table and write its next version."""
-    return store_replace(summarise(store_scan(spark, path), fn, model, **options), path)
+    """Make the missing summaries of a stored table; its next version. Only rows that got one are written."""
+    return upsert_into(_made(store_scan(spark, path), fn, model, **options), path, order="key")
 
 
 def summary_scan(spark: SparkSession, path: str) -> DataFrame:

@@ -212,13 +212,15 @@ def _(spark, sf):
 
 @query(
     "rendered_fallback",
-    f"""WITH {RESPONSES}, {_TEXTS}, rendered AS (SELECT p.url, CASE WHEN c.text IS NULL THEN ' abc ' ELSE c.text END AS rendered_text
-      FROM pages p LEFT JOIN conversations c ON c.conv_id = p.page_id AND c.turn = 0)
+    f"""WITH {RESPONSES}, {_TEXTS}, said AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id),
+    rendered AS (SELECT p.url, coalesce(said.text, ' abc ') AS rendered_text FROM pages p LEFT JOIN said ON conv_id = page_id)
     SELECT page_id, CASE WHEN t.text <> '' THEN t.text WHEN length({sql_strip("rendered_text")}) >= 5 THEN rendered_text ELSE '' END AS text,
       CASE WHEN t.text <> '' THEN 'requests' ELSE 'selenium' END AS crawl_method FROM texts t JOIN rendered USING (url)""",
 )
 def _(spark, sf):
-    said = table(spark, sf, "conversations").where("turn = 0").select("conv_id", "text")
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    lines = F.transform(F.filter("turns", lambda t: t["text"].isNotNull()), lambda t: t["text"])
+    said = turns.select("conv_id", F.when(F.size(lines) > 0, F.array_join(lines, "\n")).alias("text"))
     rendered = table(spark, sf, "pages").join(said, F.col("conv_id") == F.col("page_id"), "left").select(
         "url", F.coalesce("text", F.lit(" abc ")).alias("rendered_text")
     )
@@ -277,6 +279,11 @@ def _(spark, sf):
     return search_doc_prepare(store(spark, sf), max_chars=10_000).select("key", "title", "url", "content", "summary")
 
 
+@query("search_doc_prepare_whole", f"WITH {SEARCH_DOCS} SELECT key, title, url, content, summary FROM docs")
+def _(spark, sf):
+    return search_doc_prepare(store(spark, sf)).select("key", "title", "url", "content", "summary")
+
+
 @query(
     "composite_text",
     f"WITH {STORED} SELECT key, coalesce(title, '') || ' ' || coalesce(content, '') || ' ' || coalesce(summary, '') AS composite_text FROM stored",
@@ -295,6 +302,15 @@ def _(spark, sf):
     return summaries.prompt_build(rows, "T={title} U={url} C={content}", max_chars=6000).select("key", "prompt")
 
 
+@query(
+    "prompt_build_whole",
+    f"WITH {STORED} SELECT key, 'T=' || coalesce(title, name) || ' U=' || url || ' C=' || content AS prompt FROM stored WHERE content IS NOT NULL",
+)
+def _(spark, sf):
+    rows = store(spark, sf).where("content IS NOT NULL")
+    return summaries.prompt_build(rows, "T={title} U={url} C={content}").select("key", "prompt")
+
+
 @query("url_hash", f"WITH {RAW_BOOKMARKS} SELECT pos, sha256(url) AS url_hash FROM raw_bookmarks")
 def _(spark, sf):
     return raw_bookmarks(spark, sf).select("pos", urls.url_hash(F.col("url")).alias("url_hash"))

@@ -8,7 +8,7 @@ from pageloom.plans.search import search_batch
 from pageloom.queries import query
 from pageloom.queries.inputs import once, store, table
 from pageloom.queries.scalars import SEARCH_DOCS
-from pageloom.search import analysis, index as index_module, match, modes, rank, results
+from pageloom.search import analysis, grammar, index as index_module, match, modes, rank, results, segments
 from pageloom.session import staged
 
 _TOKEN = r"[\p{L}\p{N}_]+(?:\.[\p{L}\p{N}_]+)*"
@@ -101,20 +101,47 @@ def _(spark, sf):
     return index_module.index_scan_count(the_index(spark, sf))
 
 
-@query(
-    "index_update",
-    f"""WITH {COMPOSITE} SELECT term, df FROM vocabulary""",
-)
+_ALL_POSTINGS = f"WITH {POSTINGS} SELECT field, term, key, dl, tf, array_to_string(positions, ',') AS positions FROM postings"
+
+
+def _shown_postings(postings):
+    return postings.select("field", "term", "key", "dl", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+def grown_index(spark, sf):
+    """An index of every fifth document, to which the others were added in four turns; like segments were merged on the way."""
+
+    def make(path):
+        docs = staged(index_module.search_doc_prepare(store(spark, sf)), "docs")
+        index_module.build_index(docs.where("pos % 5 = 0"), path, buckets=8)
+        for turn in range(1, 5):
+            # Each turn brings all documents so far once more: those that are there stay.
+            segments.index_append(docs.where(F.col("pos") % 5 <= turn), path)
+
+    return index_module.read_index(spark, once(spark, sf, "grown-index", make))
+
+
+@query("index_update", _ALL_POSTINGS)
 def _(spark, sf):
+    return _shown_postings(grown_index(spark, sf).postings)
+
+
+@query("index_update_plan", _ALL_POSTINGS)
+def _(spark, sf):
+    """An index of the rows without a summary, completed with all rows as a plan."""
     docs = index_module.search_doc_prepare(store(spark, sf))
 
     def make(path):
-        # An index of the rows without a summary, to be completed with all rows.
         index_module.build_index(docs.where("summary = ''"), path, buckets=8)
 
     old = index_module.read_index(spark, once(spark, sf, "half-index", make))
-    updated = index_module.index_update(old, docs)
-    return updated.vocabulary.where("field = 'composite_text'").select("term", "df")
+    return _shown_postings(index_module.index_update(old, docs).postings)
+
+
+@query("index_update_sizes", f"WITH {POSTINGS} SELECT field, term, df, n_docs, round(avg_len, 6) AS avg_len FROM vocabulary JOIN corpus USING (field)")
+def _(spark, sf):
+    grown = grown_index(spark, sf)
+    return grown.vocabulary.join(F.broadcast(grown.corpus), "field").select("field", "term", "df", "n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 
 @query("query_terms", f"WITH {QUERY_TERMS} SELECT query_id, CAST(ord AS INT) AS ord, term, CAST(n_terms AS INT) AS n_terms, 0 AS maxdist FROM qterms")
@@ -143,14 +170,13 @@ vcut AS (SELECT term, b, unnest({_cuts("b", distance)}) AS cut FROM vword),
 wcut AS (SELECT term, b, unnest({_cuts("b", distance)}) AS cut FROM wword),
 met AS (SELECT DISTINCT w.term, w.b AS wb, v.term AS word, v.b AS vb FROM wcut w JOIN vcut v USING (cut)),
 distinct_pairs AS (SELECT term, word FROM met WHERE levenshtein(vb, wb) <= {distance}),
-expanded AS (SELECT query_id, ord, n_terms, v.term, df, false AS fuzzy FROM wanted w JOIN vword v ON v.term = w.term WHERE maxdist = 0
+expanded AS MATERIALIZED (SELECT query_id, ord, n_terms, v.term, df, false AS fuzzy FROM wanted w JOIN vword v ON v.term = w.term WHERE maxdist = 0
   UNION ALL SELECT query_id, ord, n_terms, v.term, df, true FROM wanted w JOIN distinct_pairs d ON d.term = w.term JOIN vword v ON v.term = d.word WHERE maxdist > 0)"""
 
 
 def _fuzzy_join(spark, sf, distance):
-    terms = analysis.query_terms(_fuzzy_texts(spark, sf, distance))
-    vocabulary = the_index(spark, sf).vocabulary.where("field = 'composite_text'").select("term", "df")
-    return match.fuzzy_term_join(terms, vocabulary).select("query_id", "ord", "term", "df")
+    terms = match.with_field(analysis.query_terms(_fuzzy_texts(spark, sf, distance)))
+    return match.fuzzy_lookup(the_index(spark, sf), terms).select("query_id", "ord", "term", "df")
 
 
 _FUZZY = "SELECT query_id, CAST(ord AS INT) AS ord, term, df FROM expanded WHERE fuzzy"
@@ -166,6 +192,14 @@ def _(spark, sf):
     return _fuzzy_join(spark, sf, 2)
 
 
+@query("fuzzy_term_pieces", f"WITH {COMPOSITE}, {QUERY_TERMS}, {_expanded(1)} {_FUZZY}")
+def _(spark, sf):
+    """The same without an index on disk: words meet on pieces that edits leave whole."""
+    terms = analysis.query_terms(_fuzzy_texts(spark, sf, 1))
+    vocabulary = the_index(spark, sf).vocabulary.where("field = 'composite_text'").select("term", "df")
+    return match.fuzzy_term_join(terms, vocabulary).select("query_id", "ord", "term", "df")
+
+
 @query(
     "postings_join",
     f"""WITH {COMPOSITE}, {QUERY_TERMS} SELECT query_id, CAST(ord AS INT) AS ord, q.term, key, tf, CAST(dl AS INT) AS dl FROM qterms q JOIN postings p USING (term)""",
@@ -225,6 +259,13 @@ _TEXT_SCORED = f"""tscored AS (SELECT query_id, key, round(sum({_BM25}), 6) AS s
   GROUP BY query_id, key, n_terms HAVING count(*) = n_terms)"""
 
 
+@query("bm25_score_grown", f"WITH {COMPOSITE}, {WORD_QUERIES}, {SCORED} SELECT query_id, key, score FROM scored")
+def _(spark, sf):
+    """Scores from an index that grew by segments are those of one built at once."""
+    idx = grown_index(spark, sf)
+    return rank.bm25_score(match.matches(idx, analysis.query_terms(word_queries(spark, sf))), idx)
+
+
 @query("bm25_score_texts", f"WITH {COMPOSITE}, {QUERY_TERMS}, {_TEXT_SCORED} SELECT query_id, key, score FROM tscored")
 def _(spark, sf):
     idx = the_index(spark, sf)
@@ -276,16 +317,16 @@ def _(spark, sf):
     return rank.search_page(scored, pagination, shallow_rows=0)
 
 
-# Boolean: a page's clauses come from a benchmark text's first, second and last word; the texts are read whole.
+# Boolean: the first word of a benchmark text must be there, the last must not, those between may.
 _BOOLEAN = f"""clauses AS (SELECT item_id AS query_id, {_tokens("text")} AS toks FROM benchmark),
-bool AS (SELECT query_id, toks[1] AS must, toks[2] || ' ' || toks[3] AS should, toks[-1] AS must_not FROM clauses)"""
+bool AS (SELECT query_id, toks[1] AS must, toks[2:len(toks) - 1] AS should, toks[-1] AS must_not FROM clauses)"""
 
 
 @query(
     "search_boolean",
     f"""WITH {COMPOSITE}, {_BOOLEAN},
     role_terms AS (SELECT query_id, 'must' AS role, 0 AS ord, must AS term FROM bool WHERE length(must) > 3
-      UNION ALL SELECT query_id, 'should', unnest([0, 1]), unnest(string_split(should, ' ')) FROM bool
+      UNION ALL SELECT query_id, 'should', generate_subscripts(should, 1), unnest(should) FROM bool
       UNION ALL SELECT query_id, 'must_not', 0, must_not FROM bool),
     hits AS (SELECT query_id, role, ord, key, {_BM25} AS part FROM role_terms q JOIN postings p USING (term)
       JOIN vocabulary v ON v.term = p.term AND v.field = p.field JOIN corpus c ON c.field = p.field),
@@ -299,7 +340,7 @@ def _(spark, sf):
     first = F.get(toks, F.lit(0))
     clauses = benchmark_queries(spark, sf).withColumn("_t", analysis.tokens(F.col("text"))).select(
         "query_id", F.when(F.length(first) > 3, first).alias("must"),
-        F.concat(F.get(toks, F.lit(1)), F.lit(" "), F.get(toks, F.lit(2))).alias("should"),
+        F.array_join(F.slice("_t", F.lit(2), F.greatest(F.size("_t") - 2, F.lit(0))), " ").alias("should"),
         F.element_at(toks, -1).alias("must_not"),
     )
     return modes.search_boolean(the_index(spark, sf), clauses)
@@ -322,6 +363,46 @@ def _(spark, sf):
     return modes.search_phrase(the_index(spark, sf), named)
 
 
+# Query strings with operators, made of the words w1, w2 ... of a benchmark text: two of the first three, or a phrase of the next two and a word of
+# the title; not the last but one; and a wildcard or any word of the rest.
+_ASKED_STRINGS = f"""strings AS (SELECT item_id AS query_id, {_tokens("text")} AS w FROM benchmark),
+asked AS (SELECT * FROM strings WHERE len(w) >= 8),
+leaves AS (SELECT query_id, 'word' AS kind, i AS leaf, 'composite_text' AS field, w[i] AS term FROM asked, unnest([1, 2, 3]) AS t(i)
+  UNION ALL SELECT query_id, 'word', 6, 'title', 'page' FROM asked
+  UNION ALL SELECT query_id, 'word', 7, 'composite_text', w[-2] FROM asked
+  UNION ALL SELECT query_id, 'word', 10 + i, 'composite_text', w[i] FROM asked, unnest(range(6, len(w) - 1)) AS t(i)),
+word_hits AS (SELECT query_id, leaf, key, ANY_VALUE({{BM25}}) AS part FROM leaves q JOIN postings p ON p.term = q.term AND p.field = q.field
+  JOIN vocabulary v ON v.term = p.term AND v.field = p.field JOIN corpus c ON c.field = p.field GROUP BY ALL),
+phrase_hits AS (SELECT a.query_id, 4 AS leaf, a.key, x.part + y.part AS part FROM
+    (SELECT DISTINCT query_id, f.key FROM asked JOIN spots f ON f.term = w[4] AND f.field = 'composite_text'
+      JOIN spots g ON g.term = w[5] AND g.field = 'composite_text' AND g.key = f.key AND g.position = f.position + 1) a
+    JOIN (SELECT query_id, key, {{BM25}} AS part FROM asked q JOIN postings p ON p.term = w[4] AND p.field = 'composite_text'
+      JOIN vocabulary v ON v.term = p.term AND v.field = p.field JOIN corpus c ON c.field = p.field) x ON x.query_id = a.query_id AND x.key = a.key
+    JOIN (SELECT query_id, key, {{BM25}} AS part FROM asked q JOIN postings p ON p.term = w[5] AND p.field = 'composite_text'
+      JOIN vocabulary v ON v.term = p.term AND v.field = p.field JOIN corpus c ON c.field = p.field) y ON y.query_id = a.query_id AND y.key = a.key),
+wild_hits AS (SELECT DISTINCT query_id, 8 AS leaf, key, 1.0 AS part FROM asked JOIN postings p ON p.field = 'composite_text' AND p.term LIKE left(w[-1], 2) || '%'),
+all_hits AS (SELECT * FROM word_hits UNION ALL SELECT * FROM phrase_hits UNION ALL SELECT * FROM wild_hits),
+met AS (SELECT query_id, key, bool_or(leaf = 1) AS a, bool_or(leaf = 2) AS b, bool_or(leaf = 3) AS c, bool_or(leaf = 4) AS d, bool_or(leaf = 6) AS e,
+  bool_or(leaf = 7) AS f, bool_or(leaf = 8) AS g, bool_or(leaf > 10) AS h, round(sum(part) FILTER (leaf <> 7), 6) AS score FROM all_hits GROUP BY query_id, key)"""
+
+
+@query(
+    "search_query",
+    f"""WITH {POSTINGS}, {_ASKED_STRINGS.replace("{BM25}", _BM25)} SELECT query_id, key, score FROM met
+    WHERE ((a AND (b OR c)) OR (b AND c) OR (d AND e)) AND NOT f AND (g OR h)""",
+)
+def _(spark, sf):
+    w = F.col("_w")
+    at = lambda i: F.element_at(w, i)
+    rest = F.array_join(F.slice(w, F.lit(6), F.size(w) - 7), " OR ")
+    text = F.concat(
+        F.lit("("), at(1), F.lit(" ("), at(2), F.lit(" OR "), at(3), F.lit(") OR "), at(2), F.lit(" AND "), at(3), F.lit(' OR "'), at(4), F.lit(" "), at(5), F.lit('" title:page) NOT '),
+        at(-2), F.lit(" ("), F.left(at(-1), F.lit(2)), F.lit("*"), F.when(rest != "", F.concat(F.lit(" OR "), rest)).otherwise(""), F.lit(")"),
+    )
+    asked = benchmark_queries(spark, sf).withColumn("_w", analysis.tokens(F.col("text"))).where(F.size("_w") >= 8)
+    return grammar.search_query(the_index(spark, sf), asked.select("query_id", text.alias("text")))
+
+
 # Prefixes and wildcards made of the benchmark words, by the length of the word.
 _PATTERNS = """patterns AS (SELECT query_id, CASE length(term) % 4 WHEN 0 THEN left(term, 3) || '%' WHEN 1 THEN '%' || right(term, 3)
   WHEN 2 THEN left(term, 1) || '_' || substring(term, 3) ELSE '%' || substring(term, 2, 4) || '%' END AS pattern FROM wqueries)"""
@@ -334,6 +415,10 @@ _PATTERNS = """patterns AS (SELECT query_id, CASE length(term) % 4 WHEN 0 THEN l
     SELECT DISTINCT query_id, key FROM hit_terms JOIN postings USING (term)""",
 )
 def _(spark, sf):
+    return modes.search_prefix(the_index(spark, sf), _pattern_texts(spark, sf))
+
+
+def _pattern_texts(spark, sf):
     t, n = F.col("text"), F.length("text") % 4
     pattern = (
         F.when(n == 0, F.concat(F.left(t, F.lit(3)), F.lit("*")))
@@ -341,7 +426,18 @@ def _(spark, sf):
         .when(n == 2, F.concat(F.left(t, F.lit(1)), F.lit("?"), F.substring(t, 3, 1000)))
         .otherwise(F.concat(F.lit("*"), F.substring(t, 2, 4), F.lit("*")))
     )
-    return modes.search_prefix(the_index(spark, sf), word_queries(spark, sf).withColumn("text", pattern))
+    return word_queries(spark, sf).withColumn("text", pattern)
+
+
+@query(
+    "wildcard_terms",
+    f"""WITH {COMPOSITE}, {WORD_QUERIES}, {_PATTERNS} SELECT query_id, term, df FROM patterns
+    JOIN (SELECT term, df FROM vocabulary WHERE field = 'composite_text') t ON term LIKE pattern""",
+)
+def _(spark, sf):
+    """Words of an index by patterns, without the filed grams."""
+    patterns = match.with_field(_pattern_texts(spark, sf).select("query_id", F.col("text").alias("pattern")))
+    return modes.wildcard_terms(patterns, the_index(spark, sf).vocabulary.where("field = 'composite_text'")).select("query_id", "term", "df")
 
 
 @query(

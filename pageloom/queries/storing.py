@@ -86,17 +86,45 @@ _BATCH = """batch0 AS (SELECT event_id AS pos, CASE event_type WHEN 'error' THEN
       b.url, b.name, b.content FROM batch b LEFT JOIN stored s ON s.url = b.url)"""
 
 
-@query(
-    "store_upsert",
-    f"""WITH {STORED}, {_BATCH} SELECT key, url, name, coalesce(content, 'none') AS content, coalesce(guid, 'none') AS guid FROM (
+_UPSERTED = f"""WITH {STORED}, {_BATCH} SELECT key, url, name, coalesce(content, 'none') AS content, coalesce(guid, 'none') AS guid FROM (
       SELECT key, url, name, content, guid FROM stored WHERE url NOT IN (SELECT url FROM batch)
-      UNION ALL SELECT key, url, name, content, NULL FROM keyed)""",
-)
-def _(spark, sf):
-    after = upsert.store_upsert(store(spark, sf), _batch(spark, sf))
+      UNION ALL SELECT key, url, name, content, NULL FROM keyed)"""
+
+
+def _upserted(after):
     return after.select("key", "url", "name", F.coalesce("content", F.lit("none")).alias("content"), F.coalesce("guid", F.lit("none")).alias("guid"))
 
 
+@query("store_upsert", _UPSERTED)
+def _(spark, sf):
+    return _upserted(upsert.store_upsert(store(spark, sf), _batch(spark, sf)))
+
+
+def _with_deltas(spark, sf):
+    """A copy of the store with the batch over it, in two deltas and the first of them once more."""
+    path = scratch_path(spark, "deltas")
+    store_source.store_replace(stored(spark, sf), path)
+    batch = _batch(spark, sf)
+    # URLs keep the order of first coming, so keys are those of one upsert.
+    upsert.upsert_into(batch, path)
+    changed = batch.withColumn("name", F.concat(F.lit("not yet "), "name"))
+    upsert.upsert_into(changed, path)
+    upsert.upsert_into(batch, path)
+    return path
+
+
+@query("store_upsert_delta", _UPSERTED)
+def _(spark, sf):
+    return _upserted(store_source.store_scan(spark, _with_deltas(spark, sf)))
+
+
+@query("store_fold", _UPSERTED)
+def _(spark, sf):
+    path = _with_deltas(spark, sf)
+    store_source.store_fold(spark, path, buckets=16)
+    return _upserted(store_source.store_scan(spark, path))
+
+
 # Summaries
 
 _BACKLOG = "content IS NOT NULL AND error IS NULL AND trim(coalesce(summary, '')) = ''"

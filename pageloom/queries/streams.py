@@ -122,7 +122,7 @@ def _(spark, sf):
     target, side, checkpoint = (scratch_path(spark, n) for n in ("store", "summaries", "checkpoint"))
     store_replace(stored(spark, sf), target)
     running = streaming.stream_summary_backlog(
-        streaming.store_stream(spark, target), stand_in(), "stub", side, checkpoint, streaming.AVAILABLE_NOW, _crawled()
+        spark, target, stand_in(), "stub", side, checkpoint, streaming.AVAILABLE_NOW, _crawled()
     )
     running.awaitTermination()
     merged = with_summaries(store(spark, sf), summary_scan(spark, side))

@@ -11,12 +11,11 @@ from pageloom.functions.urls import search_key
 from pageloom.operators.joins import index_update_antijoin
 from pageloom.operators.numbering import first_per
 from pageloom.search.analysis import MIN_LENGTH, STOP_WORDS, tokens
-from pageloom.session import staged
+from pageloom.search.grouping import grouped
 
 FIELDS = ("title", "url", "content", "summary", "composite_text")
 COMPOSED = ("title", "content", "summary")
 TERM_BUCKETS = 32
-DOC_GROUP_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -27,6 +26,10 @@ class Index:
 
     ``dl`` is the length of the document's field. Having it in the postings
     saves the ranking a join with a table of lengths.
+
+    An index on disk (``pageloom.search.segments``) has more: postings know their ``seg`` and ``block`` of documents,
+    ``impacts(field, bucket, term, seg, block, tf, n, min_dl, max_dl)`` say what a block can score, and ``deletions(bucket, cut, d, term)``
+    and ``grams(bucket, gram, term)`` lead from parts of words to words.
     """
 
     docs: DataFrame
@@ -34,6 +37,9 @@ class Index:
     vocabulary: DataFrame
     corpus: DataFrame
     buckets: int = TERM_BUCKETS
+    impacts: DataFrame | None = None
+    deletions: DataFrame | None = None
+    grams: DataFrame | None = None
 
 
 def term_bucket(term, buckets: int):
@@ -60,56 +66,17 @@ def search_doc_prepare(store: DataFrame, max_chars: int | None = None) -> DataFr
 def postings_of(
     docs: DataFrame, fields=FIELDS, stop_words=STOP_WORDS, min_len: int = MIN_LENGTH, buckets: int = TERM_BUCKETS
 ) -> DataFrame:
-    """Postings of documents with unique keys.
+    """Postings of documents with unique keys; a ``block`` of the documents goes along.
 
-    A document's tokens are grouped where the document is: its (term, position)
-    pairs are sorted, the places where the term changes are found, and the runs
-    between them become rows. No row is shuffled for that.
+    Tokens are made by column functions and grouped where the document is.
     """
-    needed = dict.fromkeys(f for f in (*fields, *COMPOSED) if f in COMPOSED or f != "composite_text")
-    analysed = docs.select("key", *[tokens(F.col(f), stop_words, min_len).alias(f) for f in needed])
-    # The composite text is made of three fields, and so are its terms: nothing is analysed twice.
-    composed = F.concat(*[F.col(f) for f in COMPOSED])
-    of_field = {f: composed if f == "composite_text" else F.col(f) for f in fields}
-    per_field = analysed.select(
-        "key",
-        F.explode(
-            F.array(*[F.struct(F.lit(f).alias("field"), terms.alias("tokens")) for f, terms in of_field.items()])
-        ).alias("_f"),
-    ).select("key", "_f.field", F.col("_f.tokens").alias("_tokens"))
-    pairs = per_field.where(F.size("_tokens") > 0).select(
-        "key",
-        "field",
-        F.size("_tokens").alias("dl"),
-        F.sort_array(F.transform("_tokens", lambda t, i: F.struct(t.alias("term"), i.alias("position")))).alias("_pairs"),
-    )
-    starts = F.filter(
-        F.sequence(F.lit(0), F.col("dl") - 1),
-        lambda i: (i == 0) | (F.get("_pairs", i)["term"] != F.get("_pairs", i - 1)["term"]),
-    )
-    runs = F.transform(
-        "_starts",
-        lambda start, i: F.struct(
-            F.get("_pairs", start)["term"].alias("term"),
-            F.transform(
-                F.slice("_pairs", start + 1, F.coalesce(F.get("_starts", i + 1), F.col("dl")) - start),
-                lambda p: p["position"],
-            ).alias("positions"),
-        ),
-    )
-    return (
-        pairs.withColumn("_starts", starts)
-        .select("field", "key", "dl", F.explode(runs).alias("_run"))
-        .select(
-            "field",
-            term_bucket(F.col("_run.term"), buckets).alias("bucket"),
-            F.col("_run.term").alias("term"),
-            "key",
-            F.size("_run.positions").alias("tf"),
-            "dl",
-            F.col("_run.positions").alias("positions"),
-        )
-    )
+    needed = dict.fromkeys(f for f in (*fields, *COMPOSED) if f in COMPOSED and "composite_text" in fields or f in fields and f != "composite_text")
+    block = F.col("block") if "block" in docs.columns else F.lit(0)
+    analysed = docs.select("key", block.cast("bigint").alias("block"), *[tokens(F.col(f), stop_words, min_len).alias(f) for f in needed])
+    found = grouped(analysed, tuple(fields), COMPOSED)
+    bucket = term_bucket(F.col("term"), buckets).alias("bucket")
+    kept = ["field", bucket, "term", "key", "tf", "dl", "positions"]
+    return found.select(*kept, "block") if "block" in docs.columns else found.select(*kept)
 
 
 def vocabulary_of(postings: DataFrame) -> DataFrame:
@@ -142,66 +109,8 @@ def postings_build(
     return Index(unique, postings, *corpus_stats(postings, unique), buckets)
 
 
-def _write_filed(df: DataFrame, path: str) -> None:
-    """Write by field and bucket, terms in order, so a search skips what its terms do not touch.
-
-    Rebalancing brings a bucket together and at run time splits one that is too
-    big for a task, so a term that is in every document makes several files.
-    """
-    filed = ("field", "bucket")
-    df.hint("rebalance", *filed).sortWithinPartitions(*filed, "term").write.mode("overwrite").partitionBy(
-        *filed
-    ).parquet(path)
-
-
-def _write_docs(docs: DataFrame, path: str) -> None:
-    """Write in the order of keys and in small row groups, so a page of results reads little beside its documents."""
-    docs.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").option(
-        "parquet.block.size", DOC_GROUP_BYTES
-    ).parquet(path)
-
-
-def write_index(index: Index, path: str) -> None:
-    """Write an index. Vocabulary and sizes come from the postings as written."""
-    spark = index.docs.sparkSession
-    _write_docs(index.docs, f"{path}/docs")
-    _write_filed(index.postings, f"{path}/postings")
-    docs = spark.read.schema(DOCS_DDL).parquet(f"{path}/docs")
-    postings = spark.read.schema(POSTINGS_DDL).parquet(f"{path}/postings")
-    _write_filed(vocabulary_of(postings), f"{path}/vocabulary")
-    sizes = corpus_of(docs, postings).withColumn("buckets", F.lit(index.buckets))
-    sizes.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
-
-
-def build_index(docs: DataFrame, path: str, **options) -> Index:
-    """Build an index on disk. Documents are staged, so the postings do not run what made them again."""
-    spark = docs.sparkSession
-    unique = staged(first_per(docs, "key", F.col("pos")).select(*DOC_COLUMNS), "docs")
-    write_index(postings_build(unique, **options), path)
-    return read_index(spark, path)
-
-
-POSTINGS_DDL = "field STRING, bucket INT, term STRING, key STRING, tf INT, dl INT, positions ARRAY<INT>"
-VOCABULARY_DDL = "field STRING, bucket INT, term STRING, df BIGINT"
-DOCS_DDL = ", ".join(f"{c} STRING" for c in DOC_COLUMNS)
-CORPUS_DDL = "field STRING, n_docs BIGINT, avg_len DOUBLE, buckets INT"
-
-
-def read_index(spark: SparkSession, path: str) -> Index:
-    """Open a written index."""
-    corpus = spark.read.schema(CORPUS_DDL).parquet(f"{path}/corpus")
-    row = corpus.select("buckets").first()
-    return Index(
-        spark.read.schema(DOCS_DDL).parquet(f"{path}/docs"),
-        spark.read.schema(POSTINGS_DDL).parquet(f"{path}/postings"),
-        spark.read.schema(VOCABULARY_DDL).parquet(f"{path}/vocabulary"),
-        corpus.drop("buckets"),
-        row["buckets"] if row else TERM_BUCKETS,
-    )
-
-
 def index_update(index: Index, docs: DataFrame) -> Index:
-    """The index with the documents whose key it does not have yet.
+    """The index with the documents whose key it does not have yet, as a plan; ``segments.index_append`` adds them on disk.
 
     Only new documents are analysed. Document frequencies add up; the corpus
     sizes follow from both parts.
@@ -209,8 +118,8 @@ def index_update(index: Index, docs: DataFrame) -> Index:
     unique = first_per(docs, "key", F.col("pos")) if "pos" in docs.columns else docs
     fresh = index_update_antijoin(unique, index.docs).select(*DOC_COLUMNS)
     added = postings_of(fresh, buckets=index.buckets)
-    all_docs = index.docs.unionByName(fresh)
-    postings = index.postings.unionByName(added)
+    all_docs = index.docs.select(*DOC_COLUMNS).unionByName(fresh)
+    postings = index.postings.select(*added.columns).unionByName(added)
     vocabulary = (
         index.vocabulary.unionByName(vocabulary_of(added))
         .groupBy("field", "bucket", "term")
@@ -219,6 +128,27 @@ def index_update(index: Index, docs: DataFrame) -> Index:
     return Index(all_docs, postings, vocabulary, corpus_of(all_docs, postings), index.buckets)
 
 
+def write_index(index: Index, path: str) -> None:
+    """Write an index as one segment."""
+    from pageloom.search import segments
+
+    segments.build_index(index.docs, path, buckets=index.buckets)
+
+
+def build_index(docs: DataFrame, path: str, **options) -> Index:
+    """Build an index on disk, anew."""
+    from pageloom.search import segments
+
+    return segments.build_index(docs, path, **options)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    """Open a written index."""
+    from pageloom.search import segments
+
+    return segments.read_index(spark, path)
+
+
 def index_scan_count(index: Index) -> DataFrame:
     """Documents in the index."""
     return index.docs.agg(F.count(F.lit(1)).alias("n_docs"))

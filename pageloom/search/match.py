@@ -18,6 +18,8 @@ HOT_POSTINGS = 100_000
 # Terms up to this number are looked up in the files instead of scanned for.
 PUSHED_TERMS = 1000
 SALTS = 64
+# Edits up to which an index on disk has its words filed by what is left of them.
+FILED_EDITS = 2
 
 
 def _start(length: Column, pieces: Column, i: Column) -> Column:
@@ -107,7 +109,7 @@ def surveyed(terms: DataFrame, buckets: int, name: str | None = None) -> tuple[D
     return local.drop("_bucket"), Footprint(len(rows), distances, held("field"), held("_bucket"), held("term"), lengths)
 
 
-def _within(filed: DataFrame, touched: Footprint, by_term: bool = True) -> DataFrame:
+def within(filed: DataFrame, touched: Footprint, by_term: bool = True) -> DataFrame:
     """Rows of the fields and buckets that are touched; Spark prunes the other folders.
 
     Few terms go down to the files too, where terms are in order.
@@ -162,6 +164,37 @@ def fuzzy_term_join(
     return near.join(pairs, keys).select(*carried, F.col("word").alias("term"), "df")
 
 
+def picked(filed: DataFrame, keys: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Rows of a table filed by ``column`` that meet ``keys``: few keys go down to the files, others prune folders, and a counted few are broadcast."""
+    wanted = keys.select(column).distinct()
+    few = pinned(wanted, PUSHED_TERMS)
+    if few is None:
+        return filed.join(small_side(keys), column)
+    local, rows = few
+    if not rows:
+        return filed.where(F.lit(False)).join(F.broadcast(keys), column)
+    touched = local.select(F.sort_array(F.collect_set(term_bucket(F.col(column), buckets)))).first()[0]
+    return filed.where(F.col("bucket").isin(touched) & F.col(column).isin([r[column] for r in rows])).join(small_side(keys), column)
+
+
+def fuzzy_lookup(index: Index, terms: DataFrame) -> DataFrame:
+    """``fuzzy_term_join`` through the deletions filed with an index, for distances up to the number of letters left out there.
+
+    Only the query side is cut up: its heads with letters left out are looked up, and ``levenshtein`` decides on the words found.
+    The vocabulary then gives fields and frequencies of those words alone.
+    """
+    from pageloom.search.segments import deletion_cuts
+
+    near = terms.where("maxdist > 0")
+    asked = near.select(F.col("term").alias("asked"), "maxdist").distinct()
+    cuts = asked.select("*", F.explode(deletion_cuts(F.col("asked"))).alias("_c")).where("_c.d <= maxdist").select("asked", "maxdist", "_c.cut").distinct()
+    met = picked(index.deletions, cuts, "cut", index.buckets).where("d <= maxdist").select("asked", "maxdist", "term").distinct()
+    pairs = met.where("levenshtein(asked, term, CAST(maxdist AS INT)) >= 0")
+    words = near.withColumnRenamed("term", "asked").join(small_side(pairs), ["asked", "maxdist"]).drop("asked", "maxdist")
+    local, touched = surveyed(words.distinct(), index.buckets)
+    return within(index.vocabulary, touched).select("field", "term", "df").join(small_side(local, small=touched.small), ["field", "term"])
+
+
 def with_field(terms: DataFrame) -> DataFrame:
     """Terms without a field of their own look into the composite text."""
     return terms if "field" in terms.columns else terms.withColumn("field", F.lit(FIELD))
@@ -172,14 +205,17 @@ def expand_terms(index: Index, terms: DataFrame) -> DataFrame:
     terms, touched = surveyed(with_field(terms), index.buckets)
     plain = small_side(terms.where("maxdist = 0").drop("maxdist"), small=touched.small)
     exact = (
-        _within(index.vocabulary, touched)
+        within(index.vocabulary, touched)
         .select("field", "term", "df")
         .join(plain, ["field", "term"])
         .withColumn("fuzzy", F.lit(False))
     )
     if not touched.distances:
         return exact
-    words = _within(index.vocabulary, touched, by_term=False)
+    if index.deletions is not None and max(touched.distances) <= FILED_EDITS:
+        found = fuzzy_lookup(index, terms)
+        return exact.unionByName(found.select(*[c for c in exact.columns if c != "fuzzy"]).withColumn("fuzzy", F.lit(True)))
+    words = within(index.vocabulary, touched, by_term=False)
     return exact.unionByName(fuzzy_term_join(terms, words, touched.distances, touched.lengths).withColumn("fuzzy", F.lit(True)))
 
 
@@ -197,7 +233,7 @@ def postings_join(
     keys = ["field", "term"]
     if touched is None:
         expanded, touched = surveyed(expanded, buckets)
-    filed = _within(postings, touched)
+    filed = within(postings, touched)
     if touched.rows <= broadcast_rows:
         return filed.join(F.broadcast(expanded), keys)
     hot = small_side(expanded.where(F.col("df") > HOT_POSTINGS).select(*keys, F.lit(True).alias("_hot")).distinct())

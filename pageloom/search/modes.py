@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pageloom.operators.sizing import small_side
 from pageloom.search.analysis import MIN_LENGTH, STOP_WORDS, TOKEN, is_kept, query_terms
 from pageloom.search.index import Index
-from pageloom.search.match import FIELD, complete, matches, postings_join, surveyed, with_field
+from pageloom.search.match import FIELD, picked, within, complete, expand_terms, matches, postings_join, surveyed, with_field
 from pageloom.search.rank import SCORE_DIGITS, scored_hits
+from pageloom.search.segments import GRAM, HEAD, TAIL
 from pageloom.session import staged
 
 # Signs for any characters and for one character.
@@ -52,25 +53,34 @@ def search_boolean(index: Index, queries: DataFrame) -> DataFrame:
     )
 
 
-def search_phrase(index: Index, queries: DataFrame) -> DataFrame:
-    """Documents that hold the terms of a query in a row: ``(query_id, key)``.
+def phrase_hits(index: Index, terms: DataFrame) -> DataFrame:
+    """``(query_id, key)`` of documents that hold the terms ``(query_id, ord, term, n_terms)`` of a query in a row.
 
-    Each position votes for the place where the phrase would begin; a place with
-    a vote of every term is a hit.
+    The rarest term of a query names the documents that can match; the postings of its other terms are picked by term and document, by broadcast
+    where the documents are counted as few. So what is moved follows from the rarest term. Places are compared inside the row: an
+    array per term, shifted by its place in the phrase, and their intersection. A query with a term that the index lacks finds nothing.
     """
-    terms = query_terms(queries).withColumn("maxdist", F.lit(0))
-    return (
-        matches(index, terms)
-        .select("query_id", "key", "n_terms", "ord", F.explode("positions").alias("position"))
-        .withColumn("begin", F.col("position") - F.col("ord"))
-        .repartition("query_id", "key")
-        .groupBy("query_id", "key", "n_terms", "begin")
-        .agg(F.count(F.lit(1)).alias("found"))
-        .where("found = n_terms")
-        .groupBy("query_id", "key")
-        .agg(F.lit(1).alias("one"))
-        .select("query_id", "key")
-    )
+    expanded, touched = surveyed(expand_terms(index, terms.withColumn("maxdist", F.lit(0))), index.buckets, "expanded")
+    whole = expanded.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("df", "ord")).alias("_rare"))
+    known = expanded.join(small_side(whole), "query_id").where("_n = n_terms")
+    rare = known.where("ord = _rare.ord").drop("_n", "_rare")
+    others = known.where("ord <> _rare.ord").select("query_id", "field", "term", "ord")
+    first = postings_join(rare, index.postings, index.buckets)
+    begins = F.transform("positions", lambda p: p - F.col("ord"))
+    first = staged(first.select("query_id", "n_terms", "key", begins.alias("_begins")), "rarest")
+    # The shift is subtracted on both sides; a phrase cannot begin before the text does, nor can its first term stand there.
+    wanted = first.where("n_terms > 1").select("query_id", "key").join(small_side(others), "query_id").select("query_id", "key", "field", "term", "ord")
+    met = within(index.postings, touched).select("field", "term", "key", "positions").join(small_side(wanted), ["field", "term", "key"])
+    more = met.select("query_id", "key", F.transform("positions", lambda p: p - F.col("ord")).alias("_begins"))
+    both = first.select("query_id", "key", "_begins", "n_terms").unionByName(more.withColumn("n_terms", F.lit(0)))
+    rows = both.groupBy("query_id", "key").agg(F.collect_list("_begins").alias("_all"), F.max("n_terms").alias("n_terms"))
+    shared = F.aggregate(F.slice("_all", 2, F.greatest(F.size("_all") - 1, F.lit(0))), F.get("_all", F.lit(0)), lambda acc, x: F.array_intersect(acc, x))
+    return rows.where((F.size("_all") == F.col("n_terms")) & (F.size(shared) > 0)).select("query_id", "key")
+
+
+def search_phrase(index: Index, queries: DataFrame) -> DataFrame:
+    """Documents that hold the terms of a query in a row: ``(query_id, key)``."""
+    return phrase_hits(index, query_terms(queries))
 
 
 def _pattern_keys(pattern: Column) -> Column:
@@ -139,6 +149,38 @@ def wildcard_terms(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
+def _wanted_grams(pattern: Column) -> Column:
+    """The grams every match of a pattern has: those of its fixed runs, with the signs of head and tail; the empty one if it has no letter."""
+    framed = F.concat(F.lit(HEAD * (GRAM - 1)), pattern, F.lit(TAIL * (GRAM - 1)))
+    runs = F.filter(F.regexp_extract_all(framed, F.lit(r"[^*?]+"), F.lit(0)), lambda r: ~r.isin(HEAD * (GRAM - 1), TAIL * (GRAM - 1)))
+    cut = F.transform(
+        runs,
+        lambda r: F.when(F.length(r) < GRAM, F.array(r)).otherwise(
+            F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - (GRAM - 1), F.lit(1))), lambda i: F.substring(r, i, GRAM))
+        ),
+    )
+    found = F.array_distinct(F.flatten(cut))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+
+
+def wildcard_lookup(index: Index, patterns: DataFrame) -> DataFrame:
+    """``wildcard_terms`` through the grams filed with an index: words that have all grams of a pattern, then the pattern itself decides.
+
+    Of the grams only the buckets of those wanted are read. Patterns without letters meet all words, which are spread over all buckets.
+    """
+    asked = patterns.select("pattern").distinct().withColumn("_grams", _wanted_grams(F.col("pattern")))
+    wanted = asked.select("pattern", F.size("_grams").alias("_n"), F.explode("_grams").alias("gram"))
+    lettered = picked(index.grams, wanted.where("gram <> ''"), "gram", index.buckets)
+    full = lettered.groupBy("pattern", "term", "_n").agg(F.count(F.lit(1)).alias("_found")).where("_found = _n").select("pattern", "term")
+    # The bucket of a word without letters in common is its own: the join is spread by it.
+    spread = wanted.where("gram = ''").select("pattern", F.explode(F.sequence(F.lit(0), F.lit(index.buckets - 1))).alias("bucket"))
+    anything = index.grams.where("gram = ''").select("bucket", "term").join(small_side(spread), "bucket").select("pattern", "term")
+    met = full.unionByName(anything).where(_matches(F.col("term"), F.col("pattern"))).distinct()
+    words = patterns.join(small_side(met), "pattern")
+    local, touched = surveyed(words, index.buckets, "wildcard-terms")
+    return within(index.vocabulary, touched).select("field", "term", "df").join(small_side(local, small=touched.small), ["field", "term"])
+
+
 def search_prefix(index: Index, queries: DataFrame) -> DataFrame:
     """``queries(query_id, text)`` whose words may hold ``*`` and ``?``: ``(query_id, key)``.
 
@@ -150,7 +192,10 @@ def search_prefix(index: Index, queries: DataFrame) -> DataFrame:
         queries.select("query_id", words.alias("_words"))
         .select("query_id", F.size("_words").alias("n_terms"), F.posexplode("_words").alias("ord", "pattern"))
     )
-    expanded = wildcard_terms(patterns, index.vocabulary.where(F.col("field") == FIELD)).drop("pattern")
+    if index.grams is None:
+        expanded = wildcard_terms(patterns, index.vocabulary.where(F.col("field") == FIELD)).drop("pattern")
+    else:
+        expanded = wildcard_lookup(index, patterns).drop("pattern")
     expanded, touched = surveyed(expanded.withColumn("fuzzy", F.lit(False)), index.buckets, "expanded")
     return complete(postings_join(expanded, index.postings, index.buckets, touched=touched))
 

@@ -19,9 +19,10 @@ SCORE_DIGITS = 6
 SHALLOW_ROWS = 1000
 
 
-def _term_score(k1: float, b: float) -> Column:
+def term_score(k1: float, b: float, dl: Column | None = None) -> Column:
+    """BM25 of a term, from ``tf, df, n_docs, avg_len`` and a field of length ``dl``. It falls with the length and grows with ``tf``."""
     idf = F.log(F.col("n_docs") / (F.col("df") + 1)) + 1
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_len"))
+    norm = F.col("tf") + k1 * (1 - b + b * (F.col("dl") if dl is None else dl) / F.col("avg_len"))
     return idf * F.col("tf") * (k1 + 1) / norm
 
 
@@ -32,7 +33,7 @@ def scored_hits(hits: DataFrame, index: Index, k1: float = K1, b: float = B, fuz
     The corpus table has a row per field, so it is always small.
     """
     by_term = hits.join(F.broadcast(index.corpus), "field")
-    part = _term_score(k1, b)
+    part = term_score(k1, b)
     if fuzzy_score is not None:
         part = F.when(F.col("fuzzy"), F.lit(fuzzy_score)).otherwise(part)
     return by_term.withColumn("part", part)
@@ -84,7 +85,7 @@ def _best_first() -> tuple[Column, Column]:
     return F.col("score").desc(), F.col("key").asc()
 
 
-def _wanted_rows(pagination: DataFrame) -> DataFrame:
+def wanted_rows(pagination: DataFrame) -> DataFrame:
     """First and last rank of each page; a page past the end is the last one."""
     page = F.least(F.col("page"), F.greatest(F.col("total_pages"), F.lit(1)))
     first = (page - 1) * F.col("page_size") + 1
@@ -128,7 +129,7 @@ def search_page(
     of all documents sends few. Deep pages are found by a global sort instead. ``deepest`` is a rank that no page passes, where the
     caller knows one.
     """
-    wanted = _wanted_rows(pagination)
+    wanted = wanted_rows(pagination)
     if deepest is None:
         deepest = wanted.agg(F.max("_last")).first()[0] or 0
     if deepest <= shallow_rows:

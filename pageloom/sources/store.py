@@ -1,57 +1,69 @@
-"""The bookmark store: Parquet segments under numbered versions.
+"""The bookmark store: Parquet segments, deltas over them, and a manifest that says which count.
 
-``<store>/v=<n>/seg=<name>`` holds rows of version n. Ingest appends segments
-to the newest version, so a run costs what it adds. An upsert or a rebuild
-writes the next version and leaves the old one alone. A version counts once its
-``_READY`` marker is there, a segment once Spark has committed it, so a reader
-never sees half a write, and writing a segment again replaces it.
+Ingest appends segments, so a run costs what it adds. An upsert writes a delta: its rows alone, which replace those of the same URL when the store is
+read; of several deltas the last one with a URL counts. ``store_fold`` brings deltas into the segments: these are filed by a hash of the URL, and
+only buckets that a delta touches are written again. A rebuild or a compaction writes all rows as the next version and leaves the files of
+earlier ones alone. Every write ends with a manifest (``pageloom.sources.manifest``), so a reader never sees half of one, and writing a segment again
+under its name replaces it.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import logging
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pageloom.operators.numbering import first_per
+from pageloom.operators.sizing import BROADCAST_ROWS, small_side
 from pageloom.schema import STORE
-from pageloom.sources import fs
+from pageloom.sources import fs, manifest
 
 log = logging.getLogger(__name__)
 
-READY = "_READY"
+#: Buckets of URL hashes that folded segments are filed under, unless the store says otherwise.
+BUCKETS = 64
+_EMPTY = {"version": 0, "segments": [], "deltas": [], "names": [], "max_key": 0}
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    found = [f for f in fs.subfolders(spark, path) if f.startswith("v=")]
-    return sorted(int(f[2:]) for f in found if fs.exists(spark, f"{path}/{f}/{READY}"))
+def _state(spark: SparkSession, path: str) -> tuple[int, dict]:
+    number, content = manifest.newest(spark, path)
+    return number, {**_EMPTY, **content}
 
 
-def _version_path(path: str, version: int) -> str:
-    return f"{path}/v={version:06d}"
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """Number of the newest version; appended segments belong to the version they extend."""
+    return _state(spark, path)[1]["version"] or None
 
 
-def current_version(spark: SparkSession, path: str) -> int | None:
-    """Number of the newest complete version."""
-    versions = _versions(spark, path)
-    return versions[-1] if versions else None
+def _rows(spark: SparkSession, path: str, segments: list[dict]) -> DataFrame:
+    if not segments:
+        return spark.createDataFrame([], STORE)
+    return spark.read.schema(STORE).parquet(*[f"{path}/{s['path']}" for s in segments])
+
+
+def _latest(spark: SparkSession, path: str, deltas: list[dict]) -> DataFrame:
+    """The last row of each URL in the deltas; within one delta a URL stands once."""
+    if len(deltas) == 1:
+        return _rows(spark, path, deltas)
+    found = spark.read.schema(f"{_ddl()}, seq BIGINT").option("basePath", f"{path}/delta").parquet(*[f"{path}/{d['path']}" for d in deltas])
+    return first_per(found, "url_hash", F.col("seq").desc()).drop("seq")
 
 
-def _segments(spark: SparkSession, path: str) -> list[str]:
-    version = current_version(spark, path)
-    if version is None:
-        return []
-    base = _version_path(path, version)
-    names = [s for s in fs.subfolders(spark, base) if s.startswith("seg=")]
-    return [f"{base}/{s}" for s in names if fs.exists(spark, f"{base}/{s}/_SUCCESS")]
+def _merged(rows: DataFrame, latest: DataFrame, n: int) -> DataFrame:
+    """Rows whose URL has no newer one, and the newer ones. A counted few are broadcast, so the rows stay where they are."""
+    kept = rows.join(small_side(latest.select("url_hash"), small=n <= BROADCAST_ROWS), "url_hash", "left_anti")
+    return kept.select(*STORE.names).unionByName(latest.select(*STORE.names))
 
 
 def store_scan(spark: SparkSession, path: str) -> DataFrame:
     """All stored rows; an empty table when there is no store yet."""
-    segments = _segments(spark, path)
-    if not segments:
-        return spark.createDataFrame([], STORE)
-    return spark.read.schema(STORE).parquet(*segments)
+    _, state = _state(spark, path)
+    rows = _rows(spark, path, state["segments"])
+    if not state["deltas"]:
+        return rows
+    return _merged(rows, _latest(spark, path, state["deltas"]), sum(d["rows"] for d in state["deltas"]))
 
 
 def store_scan_permissive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -72,34 +84,60 @@ def _ddl() -> str:
 
 
 def segment_committed(spark: SparkSession, path: str, segment: str) -> bool:
-    """Whether some version of the store got this segment."""
-    return any(
-        fs.exists(spark, f"{_version_path(path, v)}/seg={segment}/_SUCCESS") for v in _versions(spark, path)
-    )
+    """Whether the store ever got this segment."""
+    return segment in _state(spark, path)[1]["names"]
 
 
-def store_append(rows: DataFrame, path: str, segment: str) -> None:
-    """Add rows as one segment of the newest version. The same segment name replaces the segment.
+def last_key(spark: SparkSession, path: str) -> int:
+    """The highest key ever given in the store, 0 without any."""
+    return _state(spark, path)[1]["max_key"]
 
-    Keys grow with time and are in order within a file, so reading by key skips
-    most of the store.
-    """
+
+def _written(rows: DataFrame, path: str, folder: str) -> tuple[int, int]:
+    """Write rows in the order of keys; their number and highest key. Reading by key then skips most of the store."""
     spark = rows.sparkSession
-    version = current_version(spark, path)
-    base = _version_path(path, 1 if version is None else version)
-    ordered = rows.select(*STORE.names).sortWithinPartitions("key")
-    ordered.write.mode("overwrite").parquet(f"{base}/seg={segment}")
-    if version is None:
-        fs.touch(spark, f"{base}/{READY}")
+    rows.select(*STORE.names).sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/{folder}")
+    done = spark.read.schema(STORE).parquet(f"{path}/{folder}")
+    n, last = done.agg(F.count(F.lit(1)), F.max("key")).first()
+    return n, last or 0
+
+
+def store_append(rows: DataFrame, path: str, segment: str) -> None:
+    """Add rows as one segment. The same segment name replaces the segment."""
+    spark = rows.sparkSession
+    number, state = _state(spark, path)
+    folder = f"added/seg={segment}-{uuid.uuid4().hex[:12]}"
+    _, last = _written(rows, path, folder)
+    others = [s for s in state["segments"] if s.get("name") != segment]
+    names = state["names"] if segment in state["names"] else [*state["names"], segment]
+    manifest.commit(spark, path, number + 1, {
+        **state, "version": state["version"] or 1, "segments": [*others, {"name": segment, "path": folder}], "names": names,
+        "max_key": max(state["max_key"], last),
+    })
+
+
+def store_delta(rows: DataFrame, path: str) -> int:
+    """Add rows with keys and unique URLs that replace those of the same URL; the new version. Only they are written."""
+    spark = rows.sparkSession
+    number, state = _state(spark, path)
+    folder = f"delta/seq={number + 1}"
+    n, last = _written(rows, path, folder)
+    version = state["version"] + 1
+    deltas = [*state["deltas"], {"path": folder, "rows": n}] if n else state["deltas"]
+    manifest.commit(spark, path, number + 1, {**state, "version": version, "deltas": deltas, "max_key": max(state["max_key"], last)})
+    return version
 
 
 def store_replace(rows: DataFrame, path: str) -> int:
     """Write ``rows`` as the next version; ``rows`` may read the current one."""
     spark = rows.sparkSession
-    version = (current_version(spark, path) or 0) + 1
-    base = _version_path(path, version)
-    rows.select(*STORE.names).sortWithinPartitions("key").write.mode("overwrite").parquet(f"{base}/seg=0")
-    fs.touch(spark, f"{base}/{READY}")
+    number, state = _state(spark, path)
+    version = state["version"] + 1
+    folder = f"v={version:06d}/{uuid.uuid4().hex[:12]}"
+    _, last = _written(rows, path, folder)
+    manifest.commit(spark, path, number + 1, {
+        **state, "version": version, "segments": [{"path": folder}], "deltas": [], "max_key": max(state["max_key"], last),
+    })
     return version
 
 
@@ -109,15 +147,43 @@ def store_rebuild(df: DataFrame, path: str) -> None:
 
 
 def store_compact(spark: SparkSession, path: str, segments: int = 1) -> int | None:
-    """Bring more than ``segments`` segments together as the next version, in key order; its number, or None when there is nothing to do.
+    """Bring more than ``segments`` segments and deltas together as the next version, in key order; its number, or None when there is nothing to do.
 
     Segments of earlier versions still count as committed, so a stream that runs a batch again adds nothing twice.
     """
-    if len(_segments(spark, path)) <= segments:
+    _, state = _state(spark, path)
+    if len(state["segments"]) + len(state["deltas"]) <= segments:
         return None
     return store_replace(store_scan(spark, path).repartitionByRange("key"), path)
 
 
+def store_fold(spark: SparkSession, path: str, buckets: int = BUCKETS) -> int | None:
+    """Bring the deltas into the segments as the next version; its number, or None without deltas.
+
+    Segments are filed by a hash of the URL. Buckets that no delta and no appended segment touches keep their files, so what is written
+    follows from what has changed; the first fold files all. The number of buckets is settled by it.
+    """
+    number, state = _state(spark, path)
+    if not state["deltas"]:
+        return None
+    buckets = state.get("buckets", buckets)
+    bucket = F.pmod(F.xxhash64("url_hash"), F.lit(buckets)).cast("int")
+    latest = _latest(spark, path, state["deltas"])
+    loose = [s for s in state["segments"] if "bucket" not in s]
+    changed = latest.select("url_hash").unionByName(_rows(spark, path, loose).select("url_hash"))
+    touched = {r[0] for r in changed.select(bucket).distinct().collect()}
+    old = [s for s in state["segments"] if s.get("bucket") in touched or "bucket" not in s]
+    rows = _merged(_rows(spark, path, old), latest, sum(d["rows"] for d in state["deltas"])).withColumn("bucket", bucket)
+    version = state["version"] + 1
+    folder = f"v={version:06d}/{uuid.uuid4().hex[:12]}"
+    filed = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "key")
+    filed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{folder}")
+    new = [{"path": f"{folder}/{name}", "bucket": int(name.split("=")[1])} for name in fs.subfolders(spark, f"{path}/{folder}")]
+    untouched = [s for s in state["segments"] if "bucket" in s and s["bucket"] not in touched]
+    manifest.commit(spark, path, number + 1, {**state, "version": version, "segments": [*untouched, *new], "deltas": [], "buckets": buckets})
+    return version
+
+
 def _fingerprint(df: DataFrame) -> tuple:
     row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
     return tuple(row)

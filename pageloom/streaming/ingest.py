@@ -15,8 +15,8 @@ from pageloom.operators.sizing import BROADCAST_ROWS, holds_at_most
 from pageloom.operators.summaries import prompt_build, stored_summaries, summary_apply, summary_backlog
 from pageloom.plans.ingest import ingest
 from pageloom.plans.summarise import summary_scan
-from pageloom.schema import FAILURE, STORE, SUMMARY
-from pageloom.sources import fs
+from pageloom.schema import FAILURE, SUMMARY
+from pageloom.sources import fs, manifest
 from pageloom.sources.store import segment_committed, store_append, store_scan
 
 FLUSH_INTERVAL = "60 seconds"
@@ -87,35 +87,37 @@ def stream_failures(spark: SparkSession, store_path: str) -> DataFrame:
     return spark.read.schema(FAILURE).parquet(*done) if done else spark.createDataFrame([], FAILURE)
 
 
-def store_stream(spark: SparkSession, store_path: str) -> DataFrame:
-    """Rows of the store as they are added."""
-    return spark.readStream.schema(STORE).parquet(f"{store_path}/v=*/seg=*")
+def store_commits(spark: SparkSession, store_path: str) -> DataFrame:
+    """A row for each commit of a store, as they are made: the sign that there may be work. Rows of the store do not go through the stream."""
+    return spark.readStream.schema("value STRING").option("wholetext", True).text(f"{store_path}/{manifest.FOLDER}")
 
 
 def stream_summary_backlog(
-    store_rows: DataFrame,
+    spark: SparkSession,
+    store_path: str,
     fn: Callable[[pd.Series], pd.Series],
     model: str,
     summaries_path: str,
     checkpoint: str,
     trigger: str = FLUSH_INTERVAL,
     summary_time: Column | None = None,
-    store_path: str | None = None,
 ) -> StreamingQuery:
-    """Summaries for newly stored rows, kept in a narrow table beside the store.
+    """Summaries for stored rows, kept in a narrow table beside the store.
 
-    The wide store is not rewritten; ``with_summaries`` brings both together. With ``store_path`` each batch is only the
-    sign that there is work: all rows of the store without a summary are taken, so a prompt that failed comes again.
+    A commit of the store starts a batch. It takes all rows that have no summary yet, in the store or beside it, so a prompt that failed comes
+    again with the next commit, and rewriting the store costs no second prompt. The wide store is not rewritten; ``with_summaries`` brings both
+    together.
     """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = f"{summaries_path}/seg={_segment(spark, checkpoint, batch_id)}"
-        if fs.exists(spark, f"{target}/_SUCCESS"):
+        session = batch.sparkSession
+        target = f"{summaries_path}/seg={_segment(session, checkpoint, batch_id)}"
+        if fs.exists(session, f"{target}/_SUCCESS"):
             return
-        rows = batch if store_path is None else store_scan(spark, store_path)
-        todo = summary_backlog(incremental_url_antijoin(rows, summary_scan(spark, summaries_path)))
+        rows = store_scan(session, store_path)
+        todo = summary_backlog(incremental_url_antijoin(rows, summary_scan(session, summaries_path)))
         made = stored_summaries(summary_apply(prompt_build(todo), fn, model, summary_time))
         made.select(*SUMMARY.names).write.mode("overwrite").parquet(target)
 
-    return _started(store_rows.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint), trigger)
+    commits = store_commits(spark, store_path)
+    return _started(commits.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint), trigger)

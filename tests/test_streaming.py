@@ -70,7 +70,7 @@ def test_stream_summaries(spark):
 
     def summarise():
         streaming.stream_summary_backlog(
-            streaming.store_stream(spark, store), model, "m", side, c2, streaming.AVAILABLE_NOW, now()
+            spark, store, model, "m", side, c2, streaming.AVAILABLE_NOW, now()
         ).awaitTermination()
 
     arrive(spark, folder, FIRST)
@@ -94,3 +94,31 @@ def test_a_second_folder_under_a_new_checkpoint_is_not_lost(spark):
     arrive(spark, two, FIRST[1:2])
     drain(spark, two, store, scratch_path(spark, "checkpoint"))
     assert rows(store_scan(spark, store), "url") == [("https://a.com",), ("https://b.com",)]
+
+
+def test_a_failed_prompt_comes_again_and_a_rewritten_store_costs_nothing(spark):
+    folder, store, side, c1, c2 = (scratch_path(spark, n) for n in ("in", "store", "side", "c1", "c2"))
+    calls, broken = spark.sparkContext.accumulator(0), [True]
+
+    def summarise():
+        fails = broken[0]
+
+        def model(prompts):
+            calls.add(len(prompts))
+            if fails and prompts.str.contains("b.com").any():
+                raise ValueError("not now")
+            return prompts.str.len().astype(str)
+
+        streaming.stream_summary_backlog(spark, store, model, "m", side, c2, streaming.AVAILABLE_NOW, now()).awaitTermination()
+        return rows(with_summaries(store_scan(spark, store), summary_scan(spark, side)).where("summary IS NOT NULL"), "url")
+
+    arrive(spark, folder, FIRST)
+    drain(spark, folder, store, c1)
+    assert summarise() == [("https://a.com",)]
+    broken[0] = False
+    assert summarise() == [("https://a.com",)]
+    store_replace(store_scan(spark, store), store)
+    before = calls.value
+    assert summarise() == [("https://a.com",), ("https://b.com",)] and calls.value == before + 1
+    store_replace(store_scan(spark, store), store)
+    assert summarise() == [("https://a.com",), ("https://b.com",)] and calls.value == before + 1
