@@ -50,11 +50,20 @@ def test_a_long_diagonal_is_jumped():
             Counted.looked += 1
             return list.__getitem__(self, k)
 
-    ends = Counted(range(1, 100_001))
-    assert t.groups(ends, Counted(ends)) == [(0, 100_000, 0, 100_000)]
+    ends, ids = Counted(range(1, 100_001)), [7] * 100_000
+    n, text, links = t.aligned(ids, ids, ends, Counted(ends))
+    assert n == 100_000 and text == ";".join(["7|7"] * n) and links == [7 << 16 | 7] * n
     assert Counted.looked < 100
 
 
+def test_both_engines_of_the_first_tokenizer_agree(both):
+    rng = random.Random(0)
+    made = ["".join(rng.choice("ab  \n\t.,1 é日\U0001f600\u0301\u180e\u200b\x85'sre") for _ in range(rng.randrange(60))) for _ in range(5000)]
+    made += [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}.{chr(c)} {chr(c)}" for c in range(1, 0x10000) if not 0xD800 <= c <= 0xDFFF]
+    for text, found in zip(made, both.a.encode_batch_fast(made, add_special_tokens=False)):
+        assert both.fast_a.encode_ordinary(text) == found.ids, text
+
+
 TEXTS = ["", None, " ", "a", "The cat.", "  two  blanks ", "▁ sign", "<|endoftext|> and </s> <0x41>", "é\U0001f600 ñandú 日本語\n\n\ttab", "\x00 null", " " * 3000, "word " * 30_000, "a" * 100_000, "The cat."]
 
 
