@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.operators.sizing import small_side
 from pageloom.session import staged
 
 #: What ends a unit.
@@ -30,8 +31,8 @@ ENDS = {
     "sentence": re.compile(r"[.!?]+(?=\s)|\n"),
     "paragraph": re.compile(r"\n[ \t]*\n"),
 }
-#: Units that go to Arrow at once.
-BATCH_UNITS = 100_000
+#: Units that a task compares with each other and sends to Arrow at once.
+BATCH_UNITS = 500_000
 #: Scripts without blanks between words: Thai, Lao, Myanmar, Khmer, kana, Han.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff65\U00020000-\U0003ffff"
 _MARKS = "".join(c for c in map(chr, (*range(0x0E00, 0x1100), *range(0x1780, 0x1800), 0x3099, 0x309A)) if unicodedata.category(c)[0] == "M")
@@ -127,12 +128,55 @@ def normalised(words: list[str]) -> str:
     return " ".join(words).casefold()
 
 
+_UNITS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("again", pa.bool_())])
+
+
+def _ranks(doc_id: pa.Array, start: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What orders occurrences: id (none of them last), place, hash of the text."""
+    none = np.asarray(doc_id.is_null())
+    return none, doc_id.fill_null(0).to_numpy(zero_copy_only=False), start, key
+
+
+def later_ones(h1: np.ndarray, h2: np.ndarray, ranks: tuple[np.ndarray, ...], before: tuple | None = None) -> tuple[np.ndarray, tuple]:
+    """Which rows, in order of (digest, rank), come after the first of their digest, and (digest, rank) of the last digest's first.
+
+    ``before`` is that of the rows that came earlier. Rows of one rank are one occurrence.
+    """
+    new = np.ones(len(h1), dtype=bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    goes_on = before is not None and (h1[0], h2[0]) == before[:2]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))
+    later = np.zeros(len(h1), dtype=bool)
+    for r in ranks:
+        later |= r != r[first]
+    if goes_on:
+        mine = first == 0
+        same = np.ones(len(h1), dtype=bool)
+        for r, value in zip(ranks, before[2]):
+            same &= r == value
+        later = np.where(mine, ~same, later)
+    k = first[-1]
+    last = before if goes_on and k == 0 else (h1[k], h2[k], tuple(r[k] for r in ranks))
+    return later, last
+
+
 def unit_digests(docs: DataFrame, unit: str = "sentence", min_words: int = 5) -> DataFrame:
-    """(doc_id, text_key, unit, start, stop, h1, h2) of the units of ``docs`` with at least ``min_words`` words, of all pieces.
+    """(doc_id, text_key, start, stop, h1, h2, again) of the units of ``docs`` with at least ``min_words`` words, of all pieces.
 
-    ``start`` and ``stop`` count code points of the original text and leave out white space around the unit.
+    ``start`` and ``stop`` count code points of the original text and leave out white space around the unit. ``again`` marks units that stand earlier among
+    those that the task had at hand: of a digest a task leaves one unmarked for each ``BATCH_UNITS``, however often it occurs.
     """
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows))
+        doc_id = pa.array(columns[0], pa.int64())
+        key, start, stop, h1, h2 = (np.array(c, dtype=t) for c, t in zip(columns[1:], ("i8", "i4", "i4", "i8", "i8")))
+        ranks = _ranks(doc_id, start, key)
+        order = np.lexsort((*reversed(ranks), h2, h1))
+        again = np.empty(len(rows), dtype=bool)
+        again[order], _ = later_ones(h1[order], h2[order], tuple(r[order] for r in ranks))
+        return pa.RecordBatch.from_arrays([doc_id, pa.array(key), pa.array(start), pa.array(stop), pa.array(h1), pa.array(h2), pa.array(again)], schema=_UNITS)
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -140,48 +184,81 @@ def unit_digests(docs: DataFrame, unit: str = "sentence", min_words: int = 5) ->
         cache: dict[str, int] = {}
         for batch in batches:
             for doc_id, key, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                for k, (start, stop, words) in enumerate(pieces(text, min_words, cache) if unit == "piece" else cut(text, unit)):
+                for start, stop, words in pieces(text, min_words, cache) if unit == "piece" else cut(text, unit):
                     if unit == "piece" or len(words) >= min_words:
-                        rows.append((doc_id, key, k, start, stop, *struct.unpack(">qq", xxhash.xxh3_128_digest(normalised(words).encode("utf-8", "surrogatepass")))))
+                        rows.append((doc_id, key, start, stop, *struct.unpack(">qq", xxhash.xxh3_128_digest(normalised(words).encode("utf-8", "surrogatepass")))))
                         if len(rows) >= BATCH_UNITS:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                            yield batch_of(rows)
                             rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+            yield batch_of(rows)
 
-    long, int_ = pa.int64(), pa.int32()
-    schema = pa.schema([("doc_id", long), ("text_key", long), ("unit", int_), ("start", int_), ("stop", int_), ("h1", long), ("h2", long)])
     named = docs.where("text IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    return named.mapInArrow(digest, "doc_id long, text_key long, unit int, start int, stop int, h1 long, h2 long")
+    return named.mapInArrow(digest, "doc_id long, text_key long, start int, stop int, h1 long, h2 long, again boolean")
 
 
-def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = 5) -> DataFrame:
-    """(doc_id, text_key, removed): the spans to remove from each text that has any, in order.
+def later_units(units: DataFrame) -> DataFrame:
+    """(doc_id, text_key, start, stop) of the units that are not the earliest of their digest.
 
-    The earliest occurrence is the one of the smallest (doc_id, unit number), a NULL doc_id last, ties by the text's hash. Rows
-    that have doc_id and text in common are one document: they lose the same spans.
+    Those a task has marked are not moved. The others meet by digest in one shuffle, in order, and stream past; a task compares each with the first of
+    its digest and holds one batch.
     """
-    # Cut once: the table serves the grouping and the join.
-    units = staged(unit_digests(docs, unit, min_words).drop("unit"), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start", "text_key")
-    first = units.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
-    again = units.join(first, ["h1", "h2"]).where(rank > F.col("first"))
-    return again.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("removed"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            if batch.num_rows:
+                doc_id = batch.column("doc_id")
+                start, key, h1, h2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("start", "text_key", "h1", "h2"))
+                later, before = later_ones(h1, h2, _ranks(doc_id, start, key), before)
+                yield batch.select(["doc_id", "text_key", "start", "stop"]).filter(pa.array(later))
+
+    order = ["h1", "h2", F.col("doc_id").asc_nulls_last(), "start", "text_key"]
+    open_units = units.where("NOT again").select("doc_id", "text_key", "start", "stop", "h1", "h2").repartition("h1", "h2").sortWithinPartitions(*order)
+    met = open_units.mapInArrow(compare, "doc_id long, text_key long, start int, stop int")
+    return units.where("again").select("doc_id", "text_key", "start", "stop").unionByName(met)
+
+
+def _spans(units: DataFrame, name: str) -> DataFrame:
+    grouped = units.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias(name))
+    return grouped.withColumnsRenamed({"doc_id": f"{name}_doc", "text_key": f"{name}_key"})
+
+
+def _of(rows: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    """``rows(doc_id, text, ...)`` with the spans of their (doc_id, text), an empty array without any."""
+    same = rows["doc_id"].eqNullSafe(spans[f"{name}_doc"]) & (F.xxhash64(rows["text"]) == spans[f"{name}_key"])
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    return rows.join(spans, same, "left").select(*rows.columns, F.coalesce(name, none).alias(name))
 
 
 def dedup_units(docs: DataFrame, unit: str = "sentence", min_words: int = 5) -> DataFrame:
     """Each row of ``docs(doc_id, text)`` with ``removed`` (array of start, stop) and ``kept_text``.
 
-    NULL stays NULL, an empty text stays empty, a text without repeats is unchanged with an empty ``removed``. Units of fewer than
-    ``min_words`` words always stay, but for the unit ``piece``, which leaves none out. Of the columns of ``docs`` only doc_id and text are returned.
+    The earliest occurrence is the one of the smallest (doc_id, start), a NULL doc_id last, ties by the text's hash. Of rows equal in doc_id and text (NULL
+    ids are equal) one is the first and the others come after it: they lose every unit. NULL stays NULL, an empty text stays empty, a text without
+    repeats is unchanged with an empty ``removed``. Units of fewer than ``min_words`` words always stay, but for the unit ``piece``, which leaves none out. Of
+    the columns of ``docs`` only doc_id and text are returned.
     """
-    spans = repeated_spans(docs, unit, min_words).withColumnRenamed("doc_id", "span_doc").withColumnRenamed("text_key", "span_key")
-    named = docs.select("doc_id", "text")
-    joined = named.join(spans, named["doc_id"].eqNullSafe(spans["span_doc"]) & (F.xxhash64(named["text"]) == spans["span_key"]), "left")
-    removed = F.coalesce("removed", F.array().cast("array<struct<start:int,stop:int>>"))
-    rows = joined.select("doc_id", "text", removed.alias("removed"))
+    # Cut once: the table serves the comparison, and the rows that repeat.
+    units = staged(unit_digests(docs, unit, min_words), "units")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Rows that repeat, told by id and hash; their texts meet before the shuffle.
+    counted = named.where("text <> ''").groupBy("doc_id", F.xxhash64("text").alias("text_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = staged(counted.select(F.col("doc_id").alias("r_doc"), F.col("text_key").alias("r_key"), "n"), "repeated-rows")
+    spans = _spans(later_units(units), "removed")
+    if repeated.take(1):
+        same = F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.xxhash64("text") == F.col("r_key"))
+        first = named.join(small_side(repeated), same).groupBy("doc_id", "text", "n").agg(F.lit(1).alias("one"))
+        whole = units.join(small_side(repeated), F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("text_key") == F.col("r_key")), "left_semi")
+        copies = first.select("doc_id", "text", F.explode(F.expr("sequence(2L, n)")).alias("k")).drop("k")
+        others = named.join(small_side(repeated), same, "left_anti")
+        rows = _of(others.unionByName(first.select("doc_id", "text")), spans, "removed")
+        again = _of(copies, _spans(whole, "all_units"), "all_units").withColumnRenamed("all_units", "removed")
+        rows = rows.unionByName(again)
+    else:
+        rows = _of(named, spans, "removed")
     # What stands between the end of one removed span and the start of the next one.
     keep_from = F.concat(F.array(F.lit(0)), F.col("removed.stop"))
     keep_to = F.concat(F.col("removed.start"), F.array(F.length("text")))
-    pieces = F.zip_with(keep_from, keep_to, lambda a, b: F.substring(F.col("text"), a + 1, b - a))
-    return rows.withColumn("kept_text", F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(pieces, "")))
+    parts = F.zip_with(keep_from, keep_to, lambda a, b: F.substring(F.col("text"), a + 1, b - a))
+    return rows.withColumn("kept_text", F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(parts, "")))
