@@ -364,10 +364,11 @@ def _(spark, sf):
 
 
 # Query strings with operators, made of the words w1, w2 ... of a benchmark text: two of the first three, or a phrase of the next two and a word of
-# the title; not the last but one; and a wildcard or any word of the rest.
+# the title (the second and third stand there twice, and count twice); not the last but one; and a wildcard or any word of the rest.
 _ASKED_STRINGS = f"""strings AS (SELECT item_id AS query_id, {_tokens("text")} AS w FROM benchmark),
 asked AS (SELECT * FROM strings WHERE len(w) >= 8),
 leaves AS (SELECT query_id, 'word' AS kind, i AS leaf, 'composite_text' AS field, w[i] AS term FROM asked, unnest([1, 2, 3]) AS t(i)
+  UNION ALL SELECT query_id, 'word', 3 * i - 1 + i % 2, 'composite_text', w[i] FROM asked, unnest([2, 3]) AS t(i)
   UNION ALL SELECT query_id, 'word', 6, 'title', 'page' FROM asked
   UNION ALL SELECT query_id, 'word', 7, 'composite_text', w[-2] FROM asked
   UNION ALL SELECT query_id, 'word', 10 + i, 'composite_text', w[i] FROM asked, unnest(range(6, len(w) - 1)) AS t(i)),

@@ -68,7 +68,6 @@ def phrase_hits(index: Index, terms: DataFrame) -> DataFrame:
     first = postings_join(rare, index.postings, index.buckets)
     begins = F.transform("positions", lambda p: p - F.col("ord"))
     first = staged(first.select("query_id", "n_terms", "key", begins.alias("_begins")), "rarest")
-    # The shift is subtracted on both sides; a phrase cannot begin before the text does, nor can its first term stand there.
     wanted = first.where("n_terms > 1").select("query_id", "key").join(small_side(others), "query_id").select("query_id", "key", "field", "term", "ord")
     met = within(index.postings, touched).select("field", "term", "key", "positions").join(small_side(wanted), ["field", "term", "key"])
     more = met.select("query_id", "key", F.transform("positions", lambda p: p - F.col("ord")).alias("_begins"))
@@ -141,7 +140,7 @@ def wildcard_terms(patterns: DataFrame, vocabulary: DataFrame) -> DataFrame:
     shown = [_tagged(kind, _shown(kind, size)) for kind, size in sorted(shapes)]
     if not shown:
         return patterns.join(vocabulary.select("field", "term", "df"), "field").where("false")
-    keys = words.select("*", F.explode(F.concat(*shown)).alias("_s")).select(*words.columns, "_s.*")
+    keys = words.select("*", F.explode(F.array_distinct(F.concat(*shown))).alias("_s")).select(*words.columns, "_s.*")
     return (
         keys.join(small_side(keyed), ["field", "kind", "letters"])
         .where(_matches(F.col("word"), F.col("pattern")))
