@@ -19,6 +19,8 @@ from pageloom.llm.common import id_fold
 
 DIMENSIONS = 1 << 15
 MAX_PER_LABEL = 1500
+#: Texts that the fitting task gets in all.
+MAX_ROWS = 24_000
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
 _CHUNK = 1 << 20
@@ -156,19 +158,21 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return frequency, rows
 
 
-def fit_languages(docs: DataFrame, max_per_label: int = MAX_PER_LABEL, held_out: bool = True) -> LanguageModel:
+def fit_languages(docs: DataFrame, max_per_label: int = MAX_PER_LABEL, held_out: bool = True, max_rows: int = MAX_ROWS) -> LanguageModel:
     """Fit on the rows of ``docs(doc_id, text, lang)`` that have a text with a letter and a lang, the held-out fold left out.
 
-    Whole texts, and document frequencies of all such rows. The sample is a broadcast of at most ``max_per_label`` ids per language. A document
-    that repeats may be sampled twice. Without any such row the model knows no language.
+    Whole texts, and document frequencies of all such rows. The sample is a broadcast of at most ``max_per_label`` ids per language and ``max_rows`` in all; of
+    several texts with one id and language the least counts. Without any such row the model knows no language.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if held_out:
         usable = usable.where(id_fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     frequency, total = document_frequencies(usable)
     idf = np.log((1.0 + total) / (1.0 + frequency)) + 1.0
+    # The task that fits gets at most ``max_rows`` texts, or one per language where there are more of these.
+    per_label = min(max_per_label, max(1, max_rows // max(1, usable.select("lang").distinct().count())))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = usable.select("doc_id", "lang").withColumn("nth", nth).where(F.col("nth") <= max_per_label).select("doc_id", "lang").distinct()
+    sample = usable.select("doc_id", "lang").withColumn("nth", nth).where(F.col("nth") <= per_label).select("doc_id", "lang").distinct()
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -182,7 +186,7 @@ def fit_languages(docs: DataFrame, max_per_label: int = MAX_PER_LABEL, held_out:
         model = train(data, rows["lang"].tolist(), idf)
         yield pd.DataFrame({"languages": [list(model.languages)], "weights": [model.weights.astype(np.float32).tobytes()], "bias": [model.bias.tolist()], "temperature": [model.temperature]})
 
-    chosen = docs.select("doc_id", "text", "lang").where("text IS NOT NULL").join(F.broadcast(sample), ["doc_id", "lang"])
+    chosen = docs.select("doc_id", "text", "lang").where("text IS NOT NULL").join(F.broadcast(sample), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     placed = chosen.mapInPandas(vectors, "doc_id long, lang string, places array<int>, values array<float>")
     got = placed.repartition(1).mapInPandas(fit, "languages array<string>, weights binary, bias array<double>, temperature double").first()
     if got is None:

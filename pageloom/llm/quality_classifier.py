@@ -138,7 +138,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 30, cost: fl
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, held_out: bool = True) -> NBSVM:
     """Fit on ``docs(doc_id, text)`` with ``labels(doc_id, quality)``, rows of the held-out fold left out.
 
-    At most ``max_rows`` labelled ids are taken, which are a broadcast of that bound. Labels that are NULL or neither 0 nor 1 are not used, of a
+    At most ``max_rows`` labelled ids are taken, which are a broadcast of that bound; of several texts with one id the least counts. Labels that are NULL or neither 0 nor 1 are not used, of a
     label that repeats the smaller one counts, labels without a document are idle.
     """
     usable = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -156,7 +156,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, he
         model = train([np.asarray(p, dtype=np.int64) for p in rows["places"]], rows["quality"].to_numpy(dtype=int))
         yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias], "slope": [model.slope], "offset": [model.offset]})
 
-    placed = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(featurise, "doc_id long, quality int, places array<int>")
+    # One text for an id, however many rows have it: the fit gets no more rows than ids.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    placed = chosen.mapInPandas(featurise, "doc_id long, quality int, places array<int>")
     got = placed.repartition(1).mapInPandas(fit, "weights binary, bias double, slope double, offset double").first()
     if got is None:
         return train([], np.empty(0, dtype=int))

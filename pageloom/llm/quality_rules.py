@@ -63,6 +63,10 @@ def _hit() -> Column:
     return F.array_sort(F.array_compact(F.transform(F.sequence(F.lit(0), last - 1), lambda k: F.when(twin(k), at(k)["i"]))))
 
 
+#: A word of letters with their marks, joined by inner apostrophes and hyphens, and a sign behind it.
+PLAIN_WORD = r"(?<!\S)\p{L}[\p{L}\p{M}]*+(?:['’‐-]\p{L}[\p{L}\p{M}]*+)*+[.,;:?।؟،]?(?!\S)"
+
+
 def base_figures(docs: DataFrame) -> DataFrame:
     """(doc_id, text figures) of ``docs(doc_id, text)``; a NULL or empty text has zeros.
 
@@ -79,7 +83,7 @@ def base_figures(docs: DataFrame) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.regexp_count("_text", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count("_text", F.lit(r"!")).cast("long").alias("n_exclaims"),
-        F.regexp_count("_text", F.lit(r"(?<!\S)\p{L}++[.,;:?]?(?!\S)")).cast("long").alias("n_plain"),
+        F.regexp_count("_text", F.lit(PLAIN_WORD)).cast("long").alias("n_plain"),
         F.regexp_count("_text", F.lit(r"(?<!\S)(\S++)(?=\s++\1(?!\S))")).cast("long").alias("n_stutters"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
     )

@@ -44,8 +44,9 @@ LONG_RUN = 2000
 _LONG_BLANK = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
-#: Ids as text; both vocabularies have fewer than 2 ** 16.
+#: Ids as text, and as the high half of a link; both vocabularies have fewer than 2 ** 16.
 _DIGITS = list(map(str, range(1 << 16))).__getitem__
+_HIGH = [k << 16 for k in range(1 << 16)].__getitem__
 
 
 def aligned(ids_a: list[int], ids_b: list[int], a: list[int], b: list[int]) -> tuple[int, str, list[int]]:
@@ -55,7 +56,7 @@ def aligned(ids_a: list[int], ids_b: list[int], a: list[int], b: list[int]) -> t
     """
     n, parts, links = 0, [], []
     text_a, text_b = list(map(_DIGITS, ids_a)), list(map(_DIGITS, ids_b))
-    high, link = [x << 16 for x in ids_a], links.append
+    high, link = list(map(_HIGH, ids_a)), links.append
     i, j, last = 0, 0, len(a)
     while i < last:
         if a[i] == b[j]:
@@ -117,18 +118,20 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         value = _byte_values()
         special = {token.content for token in self.a.get_added_tokens_decoder().values()}
-        self.bytes_a = [b""] * self.a.get_vocab_size()
+        bytes_a = [b""] * self.a.get_vocab_size()
         for token, k in self.a.get_vocab(with_added_tokens=False).items():
             if token not in special:
-                self.bytes_a[k] = bytes(map(value.__getitem__, token))
+                bytes_a[k] = bytes(map(value.__getitem__, token))
         # The same vocabulary in an engine that is four times as fast: ids are the ranks of its merges.
-        ranks = {token: k for k, token in enumerate(self.bytes_a) if token}
+        ranks = {token: k for k, token in enumerate(bytes_a) if token}
         self.fast_a = tiktoken.Encoding("byte-level", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_b = []
+        bytes_b = []
         for k in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(k)
-            self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace("▁", " ").encode())
-        self.size_a, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+            bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace("▁", " ").encode())
+        # Looked up by id: the bytes of B's pieces, the sizes of both.
+        self.bytes_b = bytes_b.__getitem__
+        self.size_a, self.size_b = list(map(len, bytes_a)).__getitem__, list(map(len, bytes_b)).__getitem__
 
     def ids_a(self, text: str) -> list[int]:
         """A's ids. Runs that the fast engine needs too long or too much stack for go through the other one."""
@@ -141,10 +144,12 @@ class Tokenizers:
         for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
             spaced = " " + text
             data, a = spaced.encode("utf-8"), self.ids_a(spaced)
-            if self.fast_a.decode_bytes(a) != data or b"".join(map(self.bytes_b.__getitem__, b)) != data:
+            # A merges the very bytes of the text, so its tokens are these bytes if none is missing; B may normalise.
+            ends = list(accumulate(map(self.size_a, a)))
+            if ends[-1] != len(data) or b"".join(map(self.bytes_b, b)) != data:
                 yield None
             else:
-                yield a, b, list(accumulate(map(self.size_a.__getitem__, a))), list(accumulate(map(self.size_b.__getitem__, b)))
+                yield a, b, ends, list(accumulate(map(self.size_b, b)))
 
 
 @cache
@@ -281,9 +286,8 @@ def count_links(aligned_docs: DataFrame, counts: DataFrame, part_pairs: int = PA
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(rows: pa.RecordBatch) -> pa.RecordBatch:
             cells = [np.frombuffer(c.as_buffer(), dtype="<u4") for c in rows.column("links")]
-            owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+            ends = np.cumsum([0, *(len(c) for c in cells)])
             links = np.concatenate(cells) if cells else np.empty(0, dtype="<u4")
-            n_best, total = np.zeros(len(cells), dtype=np.int64), np.zeros(len(cells), dtype=np.int64)
             distinct, back = np.unique(links, return_inverse=True)
             value, best = np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=bool)
             for part in shared:
@@ -292,8 +296,7 @@ def count_links(aligned_docs: DataFrame, counts: DataFrame, part_pairs: int = PA
                     at = np.minimum(np.searchsorted(pairs, distinct), len(pairs) - 1)
                     hit = pairs[at] == distinct
                     value[hit], best[hit] = n[at[hit]], is_best[at[hit]]
-            np.add.at(total, owner, value[back])
-            np.add.at(n_best, owner, best[back])
+            n_best, total = (np.diff(np.concatenate(([0], np.cumsum(found[back], dtype=np.int64)))[ends]) for found in (best, value))
             arrays = [rows.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
             return pa.RecordBatch.from_arrays([*arrays, pa.array(n_best), pa.array(total), rows.column("groups")], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
 

@@ -10,6 +10,7 @@ that cross blocks with a prefix scan over the blocks' summaries.
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -32,6 +33,28 @@ BLOCK_TOKENS = 1 << 20
 SCAN_BLOCKS = 4096
 
 
+#: Runs of white space from this length on go past the splitter, which keeps a place on the stack for every sign of a run.
+LONG_BLANK = 50_000
+_BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def encode_text(encoding, text: str, long_blank: int = LONG_BLANK) -> list[int]:
+    """The ids of a text, also where white space runs on very long.
+
+    The splitter takes such a run as one piece, but for its last sign when something follows, which begins the next one. So the run is
+    merged as the piece it is, and the rest is encoded by itself.
+    """
+    if len(text) < long_blank:
+        return encoding.encode_ordinary(text)
+    ids, at = [], 0
+    for run in re.finditer(rf"{_BLANK}{{{long_blank},}}", text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at : run.start()])
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def _open_fs(path: str):
     """The file system of a URI or local path, and the path inside it."""
     from pyarrow import fs
@@ -60,7 +83,7 @@ def write_token_files(
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_text.splitlines())}
-        encode = tiktoken.Encoding("ranks", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("ranks", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
         system, root = _open_fs(path)
         system.create_dir(root, recursive=True)
         out, name, ids, size = None, "", [], 0
@@ -74,7 +97,7 @@ def write_token_files(
                 if out is None:
                     name, ids, size = f"{uuid.uuid4().hex}.bin", [], 0
                     out = system.open_output_stream(f"{root}/{name}")
-                tokens = np.array([*(encode(text) if text else ()), end_id], dtype="<u2").tobytes()
+                tokens = np.array([*(encode_text(encoding, text) if text else ()), end_id], dtype="<u2").tobytes()
                 out.write(tokens)
                 ids.append(doc_id)
                 size += len(tokens)
