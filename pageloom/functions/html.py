@@ -34,6 +34,10 @@ def _subtrees(tags: tuple[str, ...]) -> str:
 # Comments and raw elements go in one pass: whichever opens first hides the other.
 _HIDDEN = rf"(?is)<(?:!--.*?-->|{_subtrees(RAW)})"
 _BLOCKS = rf"(?is)<(?:{_subtrees(DROPPED)})"
+# Their tags alone; the name has to end there.
+_BLOCK_TAG_OPEN = rf"(?i)<(?:{'|'.join(DROPPED)})(?=[\s/>])"
+_BLOCK_TAG_CLOSE = rf"(?i)</(?:{'|'.join(DROPPED)})(?=[\s/>])"
+_BLOCK_TAG = rf"(?i)</?(?:{'|'.join(DROPPED)})(?=[\s/>])"
 # A tag, with quoted attribute values that may hold '>'; a tag with a stray quote ends at the first '>'.
 _TAG = r"""<[A-Za-z/!?](?:(?:[^'">]++|"[^"]*+"|'[^']*+')*+>|[^>]*>)"""
 _TITLE = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"
@@ -75,10 +79,49 @@ def html_title_extract(html: Column) -> Column:
     return F.when(F.coalesce(title, F.lit("")) == "", F.lit(NO_TITLE)).otherwise(title)
 
 
+def _depth_after(depth: Column, closes: Column) -> Column:
+    """A closing tag without an open element closes nothing."""
+    return F.when(closes, F.greatest(depth - F.lit(1), F.lit(0))).otherwise(depth + F.lit(1))
+
+
+def _is_plain(html: Column) -> Column:
+    """Whether dropped elements all close and none lies in another; looks at their tags only."""
+    tags = F.regexp_extract_all(html, F.lit(_BLOCK_TAG), F.lit(0))
+
+    def step(acc: Column, tag: Column) -> Column:
+        closes = tag.startswith("</")
+        depth = _depth_after(acc["depth"], closes)
+        odd = acc["odd"] | (depth > 1) | (closes & (acc["depth"] == 0)) | (closes & (F.lower(F.substring(tag, 3, 10)) != acc["open"]))
+        now = F.when(closes, F.lit("")).otherwise(F.lower(F.substring(tag, 2, 10)))
+        return F.struct(depth.cast("int").alias("depth"), odd.alias("odd"), now.alias("open"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("odd"), F.lit("").alias("open"))
+    return F.aggregate(tags, start, step, lambda acc: ~acc["odd"] & (acc["depth"] == 0))
+
+
+def _outside_blocks(html: Column) -> Column:
+    """What lies outside dropped elements, by one run over their tags with a depth; an element that never closes ends with the page."""
+    pieces = F.split(html, rf"(?={_BLOCK_TAG})")
+
+    def step(acc: Column, piece: Column) -> Column:
+        closes, opens = piece.rlike(rf"^{_BLOCK_TAG_CLOSE}"), piece.rlike(rf"^{_BLOCK_TAG_OPEN}")
+        tag = closes | opens
+        depth = F.when(tag, _depth_after(acc["depth"], closes)).otherwise(acc["depth"])
+        rest = F.when(closes, F.regexp_replace(piece, r"^[^>]*>?", "\n")).otherwise(piece)
+        kept = F.when(depth > 0, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(rest)))
+        return F.struct(depth.cast("int").alias("depth"), kept.alias("kept"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+    return F.aggregate(pieces, start, step, lambda acc: F.array_join(acc["kept"], ""))
+
+
 def html_text_extract(html: Column) -> Column:
-    """All text outside the dropped elements, one line break between text nodes."""
+    """All text outside the dropped elements, one line break between text nodes.
+
+    Elements that stand alone and close are taken out by a pattern. Where they are nested, crossed or never closed, a run over their tags keeps the depth.
+    """
     text = F.regexp_replace(html, _HIDDEN, "\n")
-    text = F.regexp_replace(text, _BLOCKS, "\n")
+    text = F.when(_is_plain(text), F.regexp_replace(text, _BLOCKS, "\n")).otherwise(_outside_blocks(text))
     return decode_entities(F.regexp_replace(text, _TAG, "\n"))
 
 

@@ -24,16 +24,18 @@ from pageloom.operators.upsert import key_assign, ok_error_union, to_store_rows
 from pageloom.schema import REASON_EMPTY, REASON_RENDERED_SITE, REASON_REQUEST
 from pageloom.session import staged
 from pageloom.sources.failures import failed_append
+from pageloom.sources.seen import seen_append, seen_scan
 from pageloom.sources.store import store_append, store_scan
 
 
 @dataclass(frozen=True)
 class Ingested:
-    """``rows`` for the store with keys, ``failures``, and the one-row ``counts``."""
+    """``rows`` for the store with keys, ``failures``, the one-row ``counts``, and ``tried``, the hashes of all URLs that were looked at."""
 
     rows: DataFrame
     failures: DataFrame
     counts: DataFrame
+    tried: DataFrame
 
 
 def new_bookmarks(
@@ -118,10 +120,11 @@ def ingest(
     skip_unreachable: bool = False,
     limit: int | None = None,
     charset: str | None = None,
+    seen: DataFrame | None = None,
 ) -> Ingested:
     """One run: filter, parse, skip known URLs, extract, skip known content, give keys.
 
-    With a ``charset``, titles and texts that look wrongly decoded are repaired on the way.
+    Known are URLs of the store and, where it is given, those of ``seen(url_hash)``. With a ``charset``, titles and texts that look wrongly decoded are repaired on the way.
     The outcome of every bookmark is staged once; rows, failures and counts are
     then read from it, and the long plan is not run again for each of them. One
     count of the bookmarks tells all joins with the store whether the run is
@@ -129,6 +132,8 @@ def ingest(
     """
     small = holds_at_most(bookmarks.select("url"), BROADCAST_ROWS)
     eligible, fresh = new_bookmarks(bookmarks, store, parsers, small)
+    if seen is not None:
+        fresh = incremental_url_antijoin(fresh, seen, small)
     outcome = staged(attempt(fresh, pages, rendered, small, charset), "outcome")
     if limit:
         # The run ends with the row that fills the limit: what comes later was never tried.
@@ -152,15 +157,21 @@ def ingest(
     counts = run_summary(eligible, rows.where("error IS NULL"), outcome.limit(0), failures)
     attempted = outcome.agg(F.count(F.lit(1)).alias("n")).scalar()
     counts = counts.withColumn("skipped", F.col("valid") - attempted)
-    return Ingested(rows, failures, counts)
+    return Ingested(rows, failures, counts, outcome.select("url_hash"))
 
 
 def ingest_into(
-    bookmarks: DataFrame, pages: DataFrame, store_path: str, failures_path: str, segment: str, crawl_time: Column, **options
+    bookmarks: DataFrame, pages: DataFrame, store_path: str, failures_path: str, segment: str, crawl_time: Column, remember: bool = False, **options
 ) -> Ingested:
-    """Run an ingest and add its rows to a store, its failures to their table. Both go by the segment's name, so a run that starts again records nothing twice."""
-    spark = bookmarks.sparkSession
-    done = ingest(bookmarks, pages, store_scan(spark, store_path), crawl_time, **options)
+    """Run an ingest and add its rows to a store, its failures to their table. Both go by the segment's name, so a run that starts again records nothing twice.
+
+    With ``remember`` URLs that were tried before are not tried again, also where no row of theirs was stored.
+    """
+    spark, memory = bookmarks.sparkSession, f"{store_path}/seen"
+    seen = seen_scan(spark, memory, without=segment) if remember else None
+    done = ingest(bookmarks, pages, store_scan(spark, store_path), crawl_time, seen=seen, **options)
     failed_append(done.failures, failures_path, segment)
+    if remember:
+        seen_append(done.tried, memory, segment)
     store_append(done.rows, store_path, segment)
     return done

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import functions as F
 
-from pageloom.functions import dates, encoding, html, text, urls
+from pageloom.functions import charsets, dates, encoding, html, text, urls
 from pageloom.operators import content, filters, summaries
 from pageloom.queries import query
 from pageloom.queries.inputs import (
@@ -181,6 +184,29 @@ def _(spark, sf):
     return rows.select("doc_id", encoding.encoding_repair(F.col("t"), "utf-8").alias("text"))
 
 
+_SPOILING = ("latin-1", "utf-8", "cp850", "hp-roman8")
+
+
+def _spoilt(doc_id: int, text: str | None) -> str | None:
+    """A long text decoded as Latin-1 from the charset of its number, where that leaves a text that looks wrong."""
+    try:
+        bad = text.encode(_SPOILING[doc_id % 4]).decode("latin-1") if text and len(text) >= 200 else text
+    except UnicodeEncodeError:
+        return text
+    foreign = sum(c > "\x7f" for c in bad or "")
+    return bad if bad and foreign >= len(bad) * 0.1 and re.search(r"[^\x00-\x7f]{10}", bad) else text
+
+
+@query("encoding_repair_any", f"SELECT doc_id, t AS text FROM (SELECT doc_id, {_ACCENTED} AS t FROM documents)")
+def _(spark, sf):
+    """Long texts in accented letters, wrongly decoded from three charsets by turns or left as they are: each comes back."""
+    rows = _accented(spark, sf)
+    model = charsets.fit_charsets(rows, "t", _SPOILING)
+    spoil = F.pandas_udf(lambda ids, texts: pd.Series([_spoilt(i, t) for i, t in zip(ids, texts)]), "string", F.PandasUDFType.SCALAR)
+    bad = rows.select("doc_id", spoil("doc_id", "t").alias("bad"))
+    return bad.select("doc_id", charsets.encoding_repair_any(F.col("bad"), model, bad).alias("text"))
+
+
 _TEXTS = f"""texts AS (SELECT page_id, url, content_type, CASE WHEN content_type = 'text/plain' THEN 'No Title' ELSE {SQL_TITLE} END AS html_title,
   CASE WHEN contains(content_type, 'image') OR content_type = 'text/plain' AND status = 500 THEN '' ELSE {sql_clean(SQL_HTML_TEXT)} END AS text FROM responses)"""
 

@@ -12,6 +12,7 @@ from pageloom.queries.inputs import (
 )
 from pageloom.queries.storing import stand_in
 from pageloom.session import scratch_path
+from pageloom.sources.seen import seen_scan
 from pageloom.sources.store import store_replace, store_scan
 from pageloom.streaming import ingest as streaming
 
@@ -44,7 +45,7 @@ _OUTCOME = f"""{RESPONSES}, tried AS (SELECT page_id, url, CASE WHEN status >= 4
     SELECT page_id, url, error, 'none' FROM tried WHERE error IS NOT NULL)"""
 
 
-def _run(spark, sf, times=1):
+def _run(spark, sf, times=1, **options):
     """Ingest the arriving files to the end.
 
     With ``times=2`` every bookmark comes once more before a second run, which
@@ -56,7 +57,7 @@ def _run(spark, sf, times=1):
         if turn:
             again.write.mode("append").parquet(folder)
         running = streaming.stream_page_ingest(
-            _stream(spark, schema, folder), target, checkpoint, streaming.AVAILABLE_NOW, _crawled()
+            _stream(spark, schema, folder), target, checkpoint, streaming.AVAILABLE_NOW, _crawled(), **options
         )
         running.awaitTermination()
     return target
@@ -84,6 +85,17 @@ def _(spark, sf):
     return streaming.stream_failures(spark, _run(spark, sf, times=2)).select("url", "reason")
 
 
+@query("stream_seen_failures", f"WITH {_OUTCOME} SELECT url, error AS reason FROM tried WHERE error IS NOT NULL")
+def _(spark, sf):
+    """Failed pages are not stored and come again: they were seen, so they fail once."""
+    return streaming.stream_failures(spark, _run(spark, sf, times=2, skip_unreachable=True)).select("url", "reason")
+
+
+@query("stream_seen_urls", "SELECT DISTINCT sha256(url) AS url_hash FROM pages JOIN events ON event_id = page_id")
+def _(spark, sf):
+    return seen_scan(spark, f"{_run(spark, sf, times=2, skip_unreachable=True)}/seen")
+
+
 @query(
     "stream_url_dedup",
     f"""WITH s AS (SELECT page_id + 1 AS key, url FROM pages JOIN labels ON doc_id = page_id)

@@ -17,6 +17,7 @@ from pageloom.plans.ingest import ingest
 from pageloom.plans.summarise import summary_scan
 from pageloom.schema import FAILURE, SUMMARY
 from pageloom.sources import fs, manifest
+from pageloom.sources.seen import seen_append, seen_scan
 from pageloom.sources.store import segment_committed, store_append, store_scan
 
 FLUSH_INTERVAL = "60 seconds"
@@ -54,6 +55,7 @@ def stream_page_ingest(
     trigger: str = FLUSH_INTERVAL,
     crawl_time: Column | None = None,
     name: str = "pages",
+    remember: bool = True,
     **options,
 ) -> StreamingQuery:
     """Ingest fetched pages as they arrive; each micro-batch adds one segment to the store.
@@ -62,7 +64,9 @@ def stream_page_ingest(
     date_added``) and of its response (``html, content_type, status``). A batch
     that runs again after a failure finds its segment and does nothing, or none
     and computes the same rows, so a restart with the same checkpoint resumes
-    where the store ends. Failures go first, the segment is the commit.
+    where the store ends. Failures go first, the segment is the commit. Unless
+    ``remember`` is off, a URL is tried once, whether or not a row of it was
+    stored; hashes of what was tried lie beside the store.
     """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
@@ -73,7 +77,11 @@ def stream_page_ingest(
         bookmarks = batch.drop("html", "content_type", "status")
         pages = batch.withColumn("page_id", F.col("pos"))
         when = F.current_timestamp() if crawl_time is None else crawl_time
-        done = ingest(bookmarks, pages, store_scan(spark, store_path), when, **options)
+        memory = f"{store_path}/seen"
+        seen = seen_scan(spark, memory, without=segment) if remember else None
+        done = ingest(bookmarks, pages, store_scan(spark, store_path), when, seen=seen, **options)
+        if remember:
+            seen_append(done.tried, memory, segment)
         done.failures.write.mode("overwrite").parquet(f"{store_path}/failed/seg={segment}")
         store_append(done.rows, store_path, segment)
 

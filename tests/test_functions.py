@@ -143,3 +143,47 @@ def test_search_key(spark):
 def test_tokens(column):
     cases = ["The Quick, quick fox's v1.2.3 a_b .x. I Ünïcode 中文 to", None, "", "..a..b.."]
     assert column(tokens, cases) == [["quick", "quick", "fox", "v1.2.3", "a_b", "ünïcode", "中文"], [], [], []]
+
+
+def test_dropped_elements_nested_and_unclosed(column):
+    cases = {
+        "a<nav>x<nav>y</nav>z</nav>b": "a\nb",
+        "a<header>x<nav>y</header>z</nav>b": "a\nb",
+        "a<nav>x": "a",
+        "a</nav>b<footer>c</footer>d": "a\nb\nd",
+        "a<NAV class='n'>x<p>y</p></NAV >b<navy>c</navy>": "a\nb\nc",
+        "<header><header><header>x</header></header></header>a": "a",
+        "a<nav>x</nav>b<nav>y</nav>c": "a\nb\nc",
+        "no tags": "no tags",
+    }
+    got = column(lambda c: text.clean_text(html.html_text_extract(c)), list(cases))
+    assert got == list(cases.values())
+
+
+def test_many_unclosed_elements_take_linear_time(column):
+    import time
+
+    page = "a" + "<nav>x" * 50_000
+    start = time.time()
+    assert column(lambda c: text.clean_text(html.html_text_extract(c)), [page, "<nav>" * 20_000 + "</nav>" * 20_000 + "b"]) == ["a", "b"]
+    assert time.time() - start < 60
+
+
+def test_charsets_are_found_row_by_row(spark):
+    from pageloom.functions import charsets
+
+    russian = "Съешь же ещё этих мягких французских булок, да выпей чаю. Широкая электрификация южных губерний даст мощный толчок подъёму сельского хозяйства. "
+    polish = "Zażółć gęślą jaźń, pchnąć w tę łódź jeża lub ośm skrzyń fig. Ćśżźńłóęą ąęółńśćżź ŚĆŻŹŃŁÓĘĄĄĘÓŁŃŚĆŻŹ. "
+    japanese = "いろはにほへとちりぬるを、わかよたれそつねならむ。うゐのおくやまけふこえて、あさきゆめみしゑひもせす。"
+    chinese = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳云腾致雨露结为霜。"
+    french = "Voilà où ça éèêëàâäáéèêëàâäá mène: les élèves déçus répétaient naïvement leurs leçons à Noël. "
+    learned = [(t * 3,) for t in (russian, polish, japanese, chinese, french)] + [(t[5:60],) for t in (russian, polish, japanese, chinese, french)]
+    model = charsets.fit_charsets(spark.createDataFrame(learned, "text string"))
+    own = {"utf-8": (russian, polish, japanese, chinese, french), "cp1251": (russian,), "koi8-r": (russian,), "cp1250": (polish,), "shift-jis": (japanese,), "gb18030": (chinese,), "latin-1": (french,)}
+    cases = [(charset, t, t.encode(charset).decode("latin-1")) for charset, texts in own.items() for t in texts]
+    cases += [("ascii", "plain text only, nothing else in it at all", "plain text only, nothing else in it at all"), ("none", None, None)]
+    df = spark.createDataFrame(cases, "charset string, good string, bad string")
+    got = df.select("charset", "good", charsets.encoding_repair_any(F.col("bad"), model, df).alias("now"), charsets.charset_find(F.col("bad"), model, df).alias("found")).collect()
+    wrong = [(r["charset"], r["found"], r["now"]) for r in got if r["now"] != r["good"]]
+    assert not wrong, wrong
+    assert all(r["found"] is None or 0 <= r["found"]["confidence"] <= 1 for r in got)

@@ -20,9 +20,9 @@ def arrive(spark, folder, entries):
     df.coalesce(1).write.mode("append").parquet(folder)
 
 
-def drain(spark, folder, store, checkpoint):
+def drain(spark, folder, store, checkpoint, **options):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
-    streaming.stream_page_ingest(stream, store, checkpoint, streaming.AVAILABLE_NOW, now()).awaitTermination()
+    streaming.stream_page_ingest(stream, store, checkpoint, streaming.AVAILABLE_NOW, now(), **options).awaitTermination()
 
 
 FIRST = [(1, "https://a.com", "A", "text/html"), (2, "https://b.com", "B", "text/html"), (3, "https://a.com", "A again", "text/html"), (4, "https://p.com", "P", "application/pdf")]
@@ -122,3 +122,24 @@ def test_a_failed_prompt_comes_again_and_a_rewritten_store_costs_nothing(spark):
     assert summarise() == [("https://a.com",), ("https://b.com",)] and calls.value == before + 1
     store_replace(store_scan(spark, store), store)
     assert summarise() == [("https://a.com",), ("https://b.com",)] and calls.value == before + 1
+
+
+def test_what_was_tried_is_not_tried_again(spark):
+    """Three batches and a restart: failures that are not stored, and copies of stored content, are looked at once."""
+    from pageloom.sources.seen import seen_scan
+
+    folder, store, checkpoint = (scratch_path(spark, n) for n in ("in", "store", "checkpoint"))
+    for k, entries in enumerate((FIRST, SECOND, [(21, "https://p.com", "P", "application/pdf"), (22, "https://d.com", "now new", "text/html"), (23, "https://e.com", "E", "text/html")])):
+        arrive(spark, folder, entries)
+        drain(spark, folder, store, checkpoint, skip_unreachable=True)
+        failed = rows(streaming.stream_failures(spark, store), "pos", "url")
+        assert failed == [(4, "https://p.com")]
+    # p.com became readable and d.com got other content after they were tried.
+    stored = [("https://a.com",), ("https://b.com",), ("https://c.com",), ("https://e.com",)]
+    assert rows(store_scan(spark, store), "url") == stored
+    drain(spark, folder, store, scratch_path(spark, "checkpoint"), skip_unreachable=True)
+    assert rows(store_scan(spark, store), "url") == stored and rows(streaming.stream_failures(spark, store), "pos", "url") == [(4, "https://p.com")]
+    assert seen_scan(spark, f"{store}/seen").distinct().count() == 6
+    forgetful = scratch_path(spark, "store")
+    drain(spark, folder, forgetful, scratch_path(spark, "checkpoint"), skip_unreachable=True, remember=False)
+    assert ("https://d.com",) in rows(store_scan(spark, forgetful), "url")
