@@ -18,8 +18,9 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.operators.sizing import small_side
@@ -257,8 +258,17 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", min_words: int = 5) ->
         rows = rows.unionByName(again)
     else:
         rows = _of(named, spans, "removed")
-    # What stands between the end of one removed span and the start of the next one.
-    keep_from = F.concat(F.array(F.lit(0)), F.col("removed.stop"))
-    keep_to = F.concat(F.col("removed.start"), F.array(F.length("text")))
-    parts = F.zip_with(keep_from, keep_to, lambda a, b: F.substring(F.col("text"), a + 1, b - a))
-    return rows.withColumn("kept_text", F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(parts, "")))
+    some = F.size("removed") > 0
+    kept = _without(F.when(some, F.col("text")), F.col("removed.start"), F.col("removed.stop"))
+    return rows.withColumn("kept_text", F.when(some, kept).otherwise(F.col("text")))
+
+
+def _without(text: Column, starts: Column, stops: Column) -> Column:
+    """What stands between the end of one span and the start of the next one; NULL texts are passed over."""
+
+    @F.pandas_udf("string")
+    def cut_out(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+        # A text of many spans is gone through once; the substring function would count its signs from the start for each.
+        return pd.Series([None if t is None else "".join(t[a:b] for a, b in zip([0, *z], [*x, len(t)])) for t, x, z in zip(texts, starts, stops)], dtype=object)
+
+    return cut_out(text, starts, stops)

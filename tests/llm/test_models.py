@@ -76,3 +76,13 @@ def test_document_frequencies_count_all(documents):
     texts = [r["text"] for r in documents.collect()]
     expected = sum((l.gram_counts(t) > 0).astype(int) for t in texts)
     assert n == len(texts) and (frequency == expected).all()
+
+
+def test_an_id_in_many_rows_is_one_row_of_the_fit(documents, labels):
+    """Rows that repeat change no model, and the number of languages bounds each one's share."""
+    twice = documents.unionByName(documents.where("doc_id % 3 = 0")).unionByName(documents.where("doc_id % 3 = 0"))
+    a, b = q.fit_quality(documents, labels, 200), q.fit_quality(twice, labels, 200)
+    assert (a.weights == b.weights).all() and (a.bias, a.slope, a.offset) == (b.bias, b.slope, b.offset)
+    few = l.fit_languages(documents, max_per_label=50, max_rows=40)
+    same = l.fit_languages(documents, max_per_label=10)
+    assert few.languages == same.languages and (few.weights == same.weights).all()

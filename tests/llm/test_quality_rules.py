@@ -65,3 +65,13 @@ def test_votes_agree_with_labels_that_they_never_saw(spark, documents):
 def test_main_path_is_native(documents):
     plan = q.base_figures(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_words_with_marks_and_inner_signs_are_plain(spark):
+    cases = {
+        "यह एक साफ पाठ है।": 5, "ภาษาไทย สวัสดี": 2, "don't stop, well-known l’eau": 4, "e\u0301te\u0301 cafe\u0301.": 2, "நான் தமிழ் பேசுகிறேன்": 3,
+        "a1 b2 --- 'x' -y z-": 0, "plain words, only; here: yes?": 5, "": 0, "-": 0,
+    }
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_plain"] for r in q.base_figures(docs).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())

@@ -58,3 +58,20 @@ def test_a_lost_attempt_leaves_only_files_without_a_name(spark, edge_docs):
     manifest = staged(t.write_token_files(edge_docs, path), "manifest")
     got = t.count_tokens(spark, path, manifest.select("file", "bytes").distinct())
     assert got.count() == edge_docs.count()
+
+
+def test_very_long_runs_of_blanks(spark):
+    """One run of two million blanks; short runs give what the splitter gives; bounded by the encoder where it can take them."""
+    import random
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(t.RANKS_FILE, "rb"))}
+    encoding = tiktoken.Encoding("x", pat_str=t.SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rng.choice(["a", "  ", " ", "\n", "\t", "é", "1", ".", "\u3000", "\x85", "\x1c"]) for _ in range(rng.randrange(30)))
+        assert t.encode_text(encoding, text, 3) == encoding.encode_ordinary(text), repr(text)
+    texts = [" " * 2_000_000, "a" + " " * 2_000_000 + "b", "x " + "\n" * 1_000_000, " " * 60_000 + "\t" * 60_000 + "end", "word" * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(map(tuple, t.corpus_token_counts(docs).collect()))
+    assert got == {k: len(t.encode_text(encoding, x)) for k, x in enumerate(texts)}
+    assert b"".join(map(encoding.decode_single_token_bytes, t.encode_text(encoding, texts[1]))) == texts[1].encode()
