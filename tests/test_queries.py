@@ -1,5 +1,7 @@
 """Every registered query against its SQL, and what its plan must not hold."""
 
+import time
+
 import pytest
 
 import __spark_entry__ as driver
@@ -30,3 +32,11 @@ def test_query(spark, db, name):
     assert differences(df, db, SQL[name]) == []
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql_under_a_limit(db, name):
+    """A planner may fold a limit into the statement: it has to end all the same."""
+    start = time.time()
+    db.execute(f"SELECT count(*) FROM (SELECT * FROM ({SQL[name]}) LIMIT 200000)").fetchone()
+    assert time.time() - start < 20
