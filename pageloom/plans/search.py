@@ -17,7 +17,7 @@ from pageloom.search.rank import (
     search_total_hits,
     wanted_rows,
 )
-from pageloom.search.results import search_result_record, search_snippet
+from pageloom.search.results import search_fragments, search_result_record, search_snippet
 from pageloom.session import staged
 
 
@@ -25,12 +25,13 @@ from pageloom.session import staged
 PUSHED_KEYS = 1000
 
 
-def search_batch(index: Index, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+def search_batch(index: Index, requests: DataFrame, fragments: int = 0) -> tuple[DataFrame, DataFrame]:
     """Answer ``requests(query_id, text, page, page_size)``.
 
     Expansion, scores, pagination and page rows are made once each: scores are staged, the others too unless they are so few that
     they become local tables. Few page rows fetch their documents by key, so only these are read. With an index on disk only
-    blocks of documents are read that a page can need.
+    blocks of documents are read that a page can need. With ``fragments`` a snippet shows that many of the best places of the
+    text, else the surroundings of the first hit.
     """
     valid = request_validate(requests, "clamp")
     expanded, touched = surveyed(expand_terms(index, query_terms(valid)), index.buckets, "expanded")
@@ -46,7 +47,11 @@ def search_batch(index: Index, requests: DataFrame) -> tuple[DataFrame, DataFram
     page_rows, shown = _settled(search_page(scored, pagination, small=small, deepest=deepest), "page")
     keys = None if shown is None else sorted({r["key"] for r in shown})
     records = search_result_record(page_rows, index.docs, shown is not None or None, keys)
-    results = search_snippet(records, expanded.select("query_id", "term"), small=touched.terms is not None or None)
+    marked, small_terms = expanded.select("query_id", "term"), touched.terms is not None or None
+    if fragments:
+        results = search_fragments(records, marked, fragments, small=small_terms)
+    else:
+        results = search_snippet(records, marked, small=small_terms)
     return results.drop("composite_text"), pagination
 
 
@@ -69,12 +74,12 @@ def _settled(df: DataFrame, name: str) -> tuple[DataFrame, list[dict] | None]:
     return (staged(df, name), None) if few is None else few
 
 
-def search_one(index: Index, text: str, page: int = 1, page_size: int = 20) -> tuple[DataFrame, DataFrame]:
+def search_one(index: Index, text: str, page: int = 1, page_size: int = 20, fragments: int = 0) -> tuple[DataFrame, DataFrame]:
     """Answer a single request; results come best first."""
     spark = index.docs.sparkSession
     requests = spark.range(1).select(
         F.col("id").alias("query_id"), F.lit(text).alias("text"), F.lit(page).alias("page"),
         F.lit(page_size).alias("page_size"),
     )
-    results, pagination = search_batch(index, requests)
+    results, pagination = search_batch(index, requests, fragments)
     return results.orderBy("rank"), pagination

@@ -520,6 +520,40 @@ def _(spark, sf):
     return results.search_snippet(rows, terms).select("query_id", "rank", "snippet")
 
 
+# Words that begin alike are marked together; then three rounds, each takes the best place that meets none taken before.
+_FREE = "NOT EXISTS (FROM {taken} t WHERE t.query_id = p.query_id AND t.rank = p.rank AND t.begin <= p.last AND p.begin <= t.last)"
+_BEST = "SELECT * FROM places p WHERE {free} QUALIFY row_number() OVER (PARTITION BY query_id, rank ORDER BY terms DESC, hits DESC, spot) = 1"
+_FRAGMENTS = rf"""alike AS MATERIALIZED (SELECT a.term AS query_id, b.term FROM words a JOIN words b ON left(a.term, 1) = left(b.term, 1)),
+cut AS MATERIALIZED (SELECT *, regexp_extract_all(composite_text, '{_TOKEN}|[^\p{{L}}\p{{N}}_]+') AS pieces FROM shown),
+pieced AS MATERIALIZED (SELECT query_id, rank, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS spot FROM cut),
+hits AS MATERIALIZED (SELECT query_id, rank, spot, term FROM pieced JOIN alike USING (query_id) WHERE term = lower(piece)),
+places AS MATERIALIZED (SELECT h.query_id, h.rank, h.spot, greatest(h.spot - 8, 1) AS begin, h.spot + 23 AS last, count(DISTINCT g.term) AS terms, count(*) AS hits
+  FROM hits h JOIN hits g ON g.query_id = h.query_id AND g.rank = h.rank AND g.spot >= h.spot AND g.spot < h.spot + 24 GROUP BY ALL),
+first_taken AS MATERIALIZED ({_BEST.format(free="true")}),
+second_taken AS MATERIALIZED (FROM first_taken UNION ALL {_BEST.format(free=_FREE.format(taken="first_taken"))}),
+taken AS MATERIALIZED (FROM second_taken UNION ALL {_BEST.format(free=_FREE.format(taken="second_taken"))}),
+spans AS (SELECT t.query_id, t.rank, t.begin, string_agg(CASE WHEN h.term IS NULL THEN p.piece ELSE '<b>' || p.piece || '</b>' END, '' ORDER BY p.spot) AS span
+  FROM taken t JOIN pieced p ON p.query_id = t.query_id AND p.rank = t.rank AND p.spot BETWEEN t.begin AND t.last
+  LEFT JOIN hits h ON h.query_id = p.query_id AND h.rank = p.rank AND h.spot = p.spot GROUP BY ALL),
+joined AS (SELECT query_id, rank, string_agg(span, '...' ORDER BY begin) AS spans FROM spans GROUP BY ALL)"""
+
+
+@query(
+    "search_fragments",
+    f"""WITH {COMPOSITE}, {WORD_QUERIES}, {SCORED}, {_ASKED}, {_PAGED},
+    shown AS (SELECT query_id, rank, composite_text FROM paged JOIN unique_docs USING (key)), {_FRAGMENTS}
+    SELECT query_id, rank, coalesce(spans, left(composite_text, 200) || '...') AS snippet FROM shown LEFT JOIN joined USING (query_id, rank)""",
+)
+def _(spark, sf):
+    idx = the_index(spark, sf)
+    scored = staged(word_scores(spark, sf), "scored")
+    page = rank.search_page(scored, rank.pagination_meta(rank.search_total_hits(scored), _requests(spark, sf)))
+    rows = page.join(idx.docs.select("key", "composite_text"), "key")
+    words = word_queries(spark, sf).select(F.left("text", F.lit(1)).alias("initial"), "query_id")
+    terms = words.join(words.withColumnRenamed("query_id", "term"), "initial").select("query_id", "term")
+    return results.search_fragments(rows, terms).select("query_id", "rank", "snippet")
+
+
 @query(
     "search_result_record",
     f"""WITH {COMPOSITE}, {WORD_QUERIES}, {SCORED}, {_ASKED}, {_PAGED}

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+import regex
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -267,6 +268,47 @@ def test_snippets_of_widely_expanded_queries(spark):
     assert few == many == [(0, 1, "one <b>Two</b> three"), (0, 2, "nothing..."), (1, 1, "two...")]
 
 
+def by_hand(text, terms, fragments, width, lead):
+    """Places tried one after the other on plain lists."""
+    pieces = [m.group() for m in regex.finditer(r"[\p{L}\p{N}_]+(?:\.[\p{L}\p{N}_]+)*|[^\p{L}\p{N}_]+", text)]
+    hits = [i for i, p in enumerate(pieces) if p.lower() in terms]
+    places = []
+    for i in hits:
+        held = [pieces[j].lower() for j in hits if i <= j < i + width]
+        places.append((-len(set(held)), -len(held), i))
+    taken = []
+    for _, _, i in sorted(places):
+        span = (max(i - lead, 0), i + width)
+        if len(taken) < fragments and all(span[1] <= b or e <= span[0] for b, e in taken):
+            taken.append(span)
+    if not taken:
+        return text[:200] + "..."
+    return "...".join("".join(f"<b>{p}</b>" if p.lower() in terms else p for p in pieces[b:e]) for b, e in sorted(taken))
+
+
+@pytest.mark.parametrize("fragments, width, lead", [(1, 5, 0), (3, 7, 2), (9, 24, 8)])
+def test_fragments(spark, fragments, width, lead):
+    rng = random.Random(7)
+    words = ["data", "Data", "park", "x", "y.z", "deep", "und", "été", "-", "..", "\n"]
+    texts = [" ".join(rng.choices(words, k=rng.choice([0, 1, 5, 60, 300]))) for _ in range(60)]
+    texts += ["", "park", "data " * 2_000, "none of it " * 50, "data" + " x" * 30_000 + " park deep"]
+    asked = {0: {"data", "park", "deep"}, 1: {"été"}, 2: set()}
+    page = spark.createDataFrame([(q, i, t) for q in asked for i, t in enumerate(texts)] + [(0, 999, None)], "query_id long, rank long, composite_text string")
+    terms = spark.createDataFrame([(q, t) for q, found in asked.items() for t in sorted(found)] * 2, "query_id long, term string")
+    for small in (True, False):
+        found = {(r[0], r[1]): r[2] for r in results.search_fragments(page, terms, fragments, width, lead, small).select("query_id", "rank", "snippet").collect()}
+        assert found.pop((0, 999)) is None and len(found) == len(asked) * len(texts)
+        assert all(found[q, i] == by_hand(texts[i], asked[q], fragments, width, lead) for q, i in found)
+
+
+def test_search_with_fragments(spark, corpus):
+    _, idx = corpus
+    found, _ = search_one(idx, "python data~1", fragments=2)
+    plain, _ = search_one(idx, "python data~1")
+    assert rows(found, "key", "rank") == rows(plain, "key", "rank")
+    assert all(r[0].count("<b>") for r in found.select("snippet").collect())
+
+
 def test_few_and_many_terms_agree(spark, corpus, monkeypatch):
     _, idx = corpus
     asked = queries(spark, ["data~2 a~3", "the python~", "ab~9", "programming~0 data"])
