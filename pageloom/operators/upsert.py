@@ -11,7 +11,7 @@ from pageloom.operators.numbering import number_rows
 from pageloom.operators.sizing import BROADCAST_ROWS, holds_at_most, small_side
 from pageloom.schema import STORE
 from pageloom.session import staged
-from pageloom.sources.store import last_key, store_delta, store_scan
+from pageloom.sources.store import last_key, store_delta, store_near
 
 
 def ok_error_union(ok: DataFrame, errored: DataFrame, skip_unreachable: bool = False) -> DataFrame:
@@ -83,8 +83,9 @@ def store_upsert(store: DataFrame, batch: DataFrame, order: str = "pos") -> Data
 def upsert_into(batch: DataFrame, path: str, order: str = "pos") -> int:
     """Upsert a batch into the store on disk as a delta: what is written follows from the batch; the new version.
 
-    Of the store only URL hashes and keys are read. Running it again with the same batch adds a delta that changes nothing.
+    Of the store only URL hashes and keys are read, and of those only segments that can hold a URL of a small batch. Running it again with the same batch adds a delta that changes nothing.
     """
     spark = batch.sparkSession
     small = holds_at_most(batch.select("url"), BROADCAST_ROWS)
-    return store_delta(upsert_rows(store_scan(spark, path), batch, order, small, last_key(spark, path)), path)
+    known = store_near(spark, path, with_url_hash(batch), "url_hash")
+    return store_delta(upsert_rows(known, batch, order, small, last_key(spark, path)), path)

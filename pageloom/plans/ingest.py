@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pageloom.functions.dates import date_extract
 from pageloom.functions.encoding import encoding_repair
@@ -14,7 +15,7 @@ from pageloom.functions.urls import PLAIN, RENDERED, site_route
 from pageloom.operators.content import composed, content_enrich, has_title, usable_rendered
 from pageloom.operators.dedup import content_dedup, url_dedup
 from pageloom.operators.filters import eligible_url_filter, is_text_type, non_text_reason
-from pageloom.operators.joins import concerned, content_antijoin, incremental_url_antijoin, with_content_hash
+from pageloom.operators.joins import concerned, content_antijoin, incremental_url_antijoin, with_content_hash, with_url_hash
 from pageloom.operators.numbering import first_per
 from pageloom.operators.ordering import crawl_limit
 from pageloom.operators.parsers import Parser, parser_chain
@@ -25,7 +26,10 @@ from pageloom.schema import REASON_EMPTY, REASON_RENDERED_SITE, REASON_REQUEST
 from pageloom.session import staged
 from pageloom.sources.failures import failed_append
 from pageloom.sources.seen import seen_append, seen_scan
-from pageloom.sources.store import store_append, store_scan
+from pageloom.sources.store import last_key, store_append, store_near, store_scan
+
+#: ``lookup(hashes, column)``: stored rows among which are all that share a hash with the batch.
+Lookup = Callable[[DataFrame, str], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -39,19 +43,28 @@ class Ingested:
 
 
 def new_bookmarks(
-    bookmarks: DataFrame, store: DataFrame, parsers: dict[str, Parser] | None = None, small: bool | None = None
+    bookmarks: DataFrame,
+    store: DataFrame,
+    parsers: dict[str, Parser] | None = None,
+    small: bool | None = None,
+    lookup: Lookup | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Eligible bookmarks, and of those the first per URL that the store lacks.
 
     Parsers may change the URL, so they run before the URL decides. What the
     store knows under the URL as it came does not reach them.
     """
+
+    def unknown(df: DataFrame) -> DataFrame:
+        hashed = with_url_hash(df)
+        return incremental_url_antijoin(hashed, store if lookup is None else lookup(hashed, "url_hash"), small)
+
     eligible = eligible_url_filter(bookmarks)
     candidates = eligible
     if parsers:
-        candidates = parser_chain(incremental_url_antijoin(eligible, store, small), parsers).drop("url_hash")
+        candidates = parser_chain(unknown(eligible), parsers).drop("url_hash")
     # First wins before the anti join: a URL with very many copies enters it once.
-    return eligible, incremental_url_antijoin(url_dedup(candidates), store, small)
+    return eligible, unknown(url_dedup(candidates))
 
 
 def extract_pages(pages: DataFrame, charset: str | None = None) -> DataFrame:
@@ -121,6 +134,8 @@ def ingest(
     limit: int | None = None,
     charset: str | None = None,
     seen: DataFrame | None = None,
+    lookup: Lookup | None = None,
+    last: int | None = None,
 ) -> Ingested:
     """One run: filter, parse, skip known URLs, extract, skip known content, give keys.
 
@@ -128,27 +143,30 @@ def ingest(
     The outcome of every bookmark is staged once; rows, failures and counts are
     then read from it, and the long plan is not run again for each of them. One
     count of the bookmarks tells all joins with the store whether the run is
-    small beside it.
+    small beside it. With a ``lookup`` only rows of the store that it gives for a batch are compared, and ``last`` has to say the
+    highest key of the store.
     """
     small = holds_at_most(bookmarks.select("url"), BROADCAST_ROWS)
-    eligible, fresh = new_bookmarks(bookmarks, store, parsers, small)
+    eligible, fresh = new_bookmarks(bookmarks, store, parsers, small, lookup)
     if seen is not None:
         fresh = incremental_url_antijoin(fresh, seen, small)
     outcome = staged(attempt(fresh, pages, rendered, small, charset), "outcome")
+    same_urls = store if lookup is None else lookup(outcome, "url_hash")
+    same_contents = store if lookup is None else lookup(outcome, "content_hash")
     if limit:
         # The run ends with the row that fills the limit: what comes later was never tried.
-        kept = content_antijoin(content_dedup(outcome.where("reason IS NULL").drop("reason")), store, small).select("pos")
+        kept = content_antijoin(content_dedup(outcome.where("reason IS NULL").drop("reason")), same_contents, small).select("pos")
         counted = kept if skip_unreachable else kept.union(outcome.where("reason IS NOT NULL").select("pos"))
         ends = crawl_limit(counted, limit).agg(F.max("pos"), F.count(F.lit(1))).first()
         if ends[1] == limit:
             outcome = outcome.where(F.col("pos") <= ends[0])
     failed = outcome.where("reason IS NOT NULL").drop("content", "content_hash", "crawl_method")
-    fetched = content_antijoin(content_dedup(outcome.where("reason IS NULL").drop("reason")), store, small)
+    fetched = content_antijoin(content_dedup(outcome.where("reason IS NULL").drop("reason")), same_contents, small)
     ok = content_enrich(fetched, crawl_time)
     errored = failed.withColumn("error", F.col("reason")).withColumn("crawl_time", crawl_time).drop("reason")
     rows = ok_error_union(ok, errored, skip_unreachable)
     day = date_extract(F.col("date_added"), F.col("crawl_time"), F.to_date(crawl_time))
-    rows = staged(to_store_rows(key_assign(rows.withColumn("date", day), store, small=small)), "rows")
+    rows = staged(to_store_rows(key_assign(rows.withColumn("date", day), same_urls, small=small, last=last)), "rows")
     failures = failed.select(
         "pos", "url", F.col("name").alias("title"), "reason",
         F.date_format(crawl_time, "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
@@ -160,6 +178,11 @@ def ingest(
     return Ingested(rows, failures, counts, outcome.select("url_hash"))
 
 
+def at_store(spark: SparkSession, store_path: str) -> dict:
+    """Arguments of ``ingest`` that let a small batch open only segments of the store that can concern it."""
+    return {"lookup": lambda hashes, column: store_near(spark, store_path, hashes, column), "last": last_key(spark, store_path)}
+
+
 def ingest_into(
     bookmarks: DataFrame, pages: DataFrame, store_path: str, failures_path: str, segment: str, crawl_time: Column, remember: bool = False, **options
 ) -> Ingested:
@@ -169,7 +192,7 @@ def ingest_into(
     """
     spark, memory = bookmarks.sparkSession, f"{store_path}/seen"
     seen = seen_scan(spark, memory, without=segment) if remember else None
-    done = ingest(bookmarks, pages, store_scan(spark, store_path), crawl_time, seen=seen, **options)
+    done = ingest(bookmarks, pages, store_scan(spark, store_path), crawl_time, seen=seen, **at_store(spark, store_path), **options)
     failed_append(done.failures, failures_path, segment)
     if remember:
         seen_append(done.tried, memory, segment)

@@ -7,10 +7,11 @@ import datetime as dt
 import pandas as pd
 from pyspark.sql import functions as F
 
-from pageloom.operators import summaries, upsert
+from pageloom.operators import joins, summaries, upsert
+from pageloom.operators.joins import with_content_hash, with_url_hash
 from pageloom.queries import query
 from pageloom.queries.inputs import CRAWLED, STORED, once, store, store_path, stored, table
-from pageloom.session import scratch_path
+from pageloom.session import scratch_path, staged
 from pageloom.sources import store as store_source
 
 _SHOWN = "key, url, coalesce(content_hash, 'none') AS content_hash, coalesce(summary, 'none') AS summary, CAST(date AS VARCHAR) AS date"
@@ -125,6 +126,49 @@ def _(spark, sf):
     return _upserted(store_source.store_scan(spark, path))
 
 
+def _in_segments(spark, sf):
+    """The store in four segments, and the batch's first delta over them."""
+
+    def make(path):
+        for i in range(4):
+            store_source.store_append(stored(spark, sf).where(F.col("key") % 4 == i), path, f"part-{i}")
+        upsert.upsert_into(_batch(spark, sf), path)
+
+    return once(spark, sf, "store-segments", make)
+
+
+def _offers(spark, sf):
+    """A page per supplier: at the address of a stored one or a new one, with the text of a document or a new one."""
+    known = table(spark, sf, "documents").select(F.col("doc_id").alias("s_suppkey"), "text")
+    urls = stored(spark, sf).select((F.col("key") - 1).alias("s_suppkey"), "url")
+    suppliers = table(spark, sf, "supplier").join(known, "s_suppkey", "left").join(urls, "s_suppkey", "left")
+    url = F.when(F.col("s_nationkey") < 12, F.col("url")).otherwise(F.concat(F.lit("https://s.example.org/"), F.col("s_suppkey").cast("string")))
+    content = F.when(F.col("s_acctbal") > 4000, F.col("text")).otherwise(F.concat(F.lit("offer "), F.col("s_suppkey").cast("string")))
+    hashed = with_content_hash(with_url_hash(suppliers.select("s_suppkey", url.alias("url"), content.alias("content"))))
+    # Looked up and joined: made once.
+    return staged(hashed, "offers")
+
+
+_OFFERS = f"""{STORED}, {_BATCH}, now AS (SELECT url, content FROM stored WHERE url NOT IN (SELECT url FROM batch) UNION ALL SELECT url, content FROM batch),
+  offers AS (SELECT s_suppkey, CASE WHEN s_nationkey < 12 THEN url ELSE 'https://s.example.org/' || s_suppkey END AS url,
+      CASE WHEN s_acctbal > 4000 THEN text ELSE 'offer ' || s_suppkey END AS content
+    FROM supplier LEFT JOIN documents ON doc_id = s_suppkey LEFT JOIN stored ON key = s_suppkey + 1)"""
+
+
+@query("incremental_url_antijoin_segments", f"WITH {_OFFERS} SELECT s_suppkey FROM offers o WHERE NOT EXISTS (FROM now n WHERE n.url = o.url)")
+def _(spark, sf):
+    offers = _offers(spark, sf)
+    near = store_source.store_near(spark, _in_segments(spark, sf), offers, "url_hash")
+    return joins.incremental_url_antijoin(offers, near).select("s_suppkey")
+
+
+@query("content_antijoin_segments", f"WITH {_OFFERS} SELECT s_suppkey FROM offers o WHERE NOT EXISTS (FROM now n WHERE n.content = o.content)")
+def _(spark, sf):
+    offers = _offers(spark, sf)
+    near = store_source.store_near(spark, _in_segments(spark, sf), offers, "content_hash")
+    return joins.content_antijoin(offers, near).select("s_suppkey")
+
+
 # Summaries
 
 _BACKLOG = "content IS NOT NULL AND error IS NULL AND trim(coalesce(summary, '')) = ''"

@@ -3,13 +3,15 @@
 Ingest appends segments, so a run costs what it adds. An upsert writes a delta: its rows alone, which replace those of the same URL when the store is
 read; of several deltas the last one with a URL counts. ``store_fold`` brings deltas into the segments: these are filed by a hash of the URL, and
 only buckets that a delta touches are written again. A rebuild or a compaction writes all rows as the next version and leaves the files of
-earlier ones alone. Every write ends with a manifest (``pageloom.sources.manifest``), so a reader never sees half of one, and writing a segment again
+earlier ones alone. With a segment lie Bloom filters of its hashes (``pageloom.sources.filters``), so a small batch opens only segments that can
+concern it. Every write ends with a manifest (``pageloom.sources.manifest``), so a reader never sees half of one, and writing a segment again
 under its name replaces it.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import logging
 import uuid
 
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pageloom.operators.numbering import first_per
 from pageloom.operators.sizing import BROADCAST_ROWS, small_side
 from pageloom.schema import STORE
-from pageloom.sources import fs, manifest
+from pageloom.sources import filters, fs, manifest
 
 log = logging.getLogger(__name__)
 
@@ -60,12 +62,27 @@ def _merged(rows: DataFrame, latest: DataFrame, n: int) -> DataFrame:
 def store_scan(spark: SparkSession, path: str) -> DataFrame:
     """All stored rows; an empty table when there is no store yet."""
     _, state = _state(spark, path)
-    rows = _rows(spark, path, state["segments"])
+    return _scanned(spark, path, state, state["segments"])
+
+
+def _scanned(spark: SparkSession, path: str, state: dict, segments: list[dict]) -> DataFrame:
+    rows = _rows(spark, path, segments)
     if not state["deltas"]:
         return rows
     return _merged(rows, _latest(spark, path, state["deltas"]), sum(d["rows"] for d in state["deltas"]))
 
 
+def store_near(spark: SparkSession, path: str, hashes: DataFrame, column: str) -> DataFrame:
+    """Stored rows among which are all that share a hash with ``hashes`` in ``column``, ``url_hash`` or ``content_hash``.
+
+    Segments whose filter knows none of the hashes are not opened; a join decides about the rows of the others. Deltas are
+    read whole, and what they replace is gone. More hashes than ``filters.LOOKED_UP`` get the whole store.
+    """
+    _, state = _state(spark, path)
+    near = filters.segments_with(spark, path, state["segments"], hashes, column)
+    return _scanned(spark, path, state, state["segments"] if near is None else near)
+
+
 def store_scan_permissive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Stored rows kept as JSON lines: the readable ones, and the text of the others."""
     lines = spark.read.text(path)
@@ -102,16 +119,32 @@ def _written(rows: DataFrame, path: str, folder: str) -> tuple[int, int]:
     return n, last or 0
 
 
+def _with_filter(rows: DataFrame, path: str, segments: list[dict], sizes: dict[str, int]) -> list[dict]:
+    """The segments with a filter, written for all of them at once from ``rows`` with their ``segment``; ``sizes`` has the rows of each by its path."""
+    bits = {s["path"]: filters.bits_for(sizes[s["path"]]) for s in segments}
+    target = f"filter/{uuid.uuid4().hex[:12]}"
+    known = F.create_map(*[F.lit(x) for pair in bits.items() for x in pair])
+    filters.filters_write(rows.select("segment", known[F.col("segment")].alias("bits"), *filters.KINDS), f"{path}/{target}")
+    return [{**s, "bits": bits[s["path"]], "filter": target} for s in segments]
+
+
+def _filed(spark: SparkSession, path: str, entry: dict, n: int) -> dict:
+    """A segment of ``n`` rows with its filter."""
+    rows = _rows(spark, path, [entry]).withColumn("segment", F.lit(entry["path"]))
+    return _with_filter(rows, path, [entry], {entry["path"]: n})[0]
+
+
 def store_append(rows: DataFrame, path: str, segment: str) -> None:
     """Add rows as one segment. The same segment name replaces the segment."""
     spark = rows.sparkSession
     number, state = _state(spark, path)
     folder = f"added/seg={segment}-{uuid.uuid4().hex[:12]}"
-    _, last = _written(rows, path, folder)
+    n, last = _written(rows, path, folder)
+    added = _filed(spark, path, {"name": segment, "path": folder}, n)
     others = [s for s in state["segments"] if s.get("name") != segment]
     names = state["names"] if segment in state["names"] else [*state["names"], segment]
     manifest.commit(spark, path, number + 1, {
-        **state, "version": state["version"] or 1, "segments": [*others, {"name": segment, "path": folder}], "names": names,
+        **state, "version": state["version"] or 1, "segments": [*others, added], "names": names,
         "max_key": max(state["max_key"], last),
     })
 
@@ -134,9 +167,9 @@ def store_replace(rows: DataFrame, path: str) -> int:
     number, state = _state(spark, path)
     version = state["version"] + 1
     folder = f"v={version:06d}/{uuid.uuid4().hex[:12]}"
-    _, last = _written(rows, path, folder)
+    n, last = _written(rows, path, folder)
     manifest.commit(spark, path, number + 1, {
-        **state, "version": version, "segments": [{"path": folder}], "deltas": [], "max_key": max(state["max_key"], last),
+        **state, "version": version, "segments": [_filed(spark, path, {"path": folder}, n)], "deltas": [], "max_key": max(state["max_key"], last),
     })
     return version
 
@@ -179,6 +212,9 @@ def store_fold(spark: SparkSession, path: str, buckets: int = BUCKETS) -> int |
     filed = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "key")
     filed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{folder}")
     new = [{"path": f"{folder}/{name}", "bucket": int(name.split("=")[1])} for name in fs.subfolders(spark, f"{path}/{folder}")]
+    made = spark.read.schema(f"{_ddl()}, bucket INT").parquet(f"{path}/{folder}")
+    made = made.withColumn("segment", F.concat(F.lit(f"{folder}/bucket="), "bucket"))
+    new = _with_filter(made, path, new, {r["segment"]: r["count"] for r in made.groupBy("segment").count().collect()})
     untouched = [s for s in state["segments"] if "bucket" in s and s["bucket"] not in touched]
     manifest.commit(spark, path, number + 1, {**state, "version": version, "segments": [*untouched, *new], "deltas": [], "buckets": buckets})
     return version

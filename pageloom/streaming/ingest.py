@@ -13,7 +13,7 @@ from pageloom.operators.dedup import url_dedup
 from pageloom.operators.joins import incremental_url_antijoin
 from pageloom.operators.sizing import BROADCAST_ROWS, holds_at_most
 from pageloom.operators.summaries import prompt_build, stored_summaries, summary_apply, summary_backlog
-from pageloom.plans.ingest import ingest
+from pageloom.plans.ingest import at_store, ingest
 from pageloom.plans.summarise import summary_scan
 from pageloom.schema import FAILURE, SUMMARY
 from pageloom.sources import fs, manifest
@@ -79,7 +79,7 @@ def stream_page_ingest(
         when = F.current_timestamp() if crawl_time is None else crawl_time
         memory = f"{store_path}/seen"
         seen = seen_scan(spark, memory, without=segment) if remember else None
-        done = ingest(bookmarks, pages, store_scan(spark, store_path), when, seen=seen, **options)
+        done = ingest(bookmarks, pages, store_scan(spark, store_path), when, seen=seen, **at_store(spark, store_path), **options)
         if remember:
             seen_append(done.tried, memory, segment)
         done.failures.write.mode("overwrite").parquet(f"{store_path}/failed/seg={segment}")

@@ -8,13 +8,13 @@ from conftest import rows
 from pyspark.sql import functions as F
 from test_search import WORDS, bm25, composite, docs, edits, queries, terms_of
 
-from pageloom.operators import upsert
+from pageloom.operators import joins, upsert
 from pageloom.plans import search as plans
 from pageloom.plans.search import search_batch
 from pageloom.schema import STORE
 from pageloom.search import analysis, blocks, grammar, index, match, modes, rank, segments
 from pageloom.session import scratch_path
-from pageloom.sources import fs, manifest
+from pageloom.sources import filters, fs, manifest
 from pageloom.sources import store as store_source
 
 
@@ -300,3 +300,52 @@ def test_needed_scores_leave_out_rows(spark, one):
     expanded, touched = match.surveyed(match.expand_terms(one, analysis.query_terms(valid)), one.buckets)
     scored, totals = plans.needed_scores(one, expanded, touched, valid)
     assert totals.first()["total_results"] == 400 and 3 <= scored.count() <= 120
+
+
+def opened(df):
+    return {f.split("/seg=")[1][0] for f in df.inputFiles() if "/seg=" in f}
+
+
+def test_segments_that_cannot_concern_a_batch_are_not_opened(spark):
+    path = scratch_path(spark, "store")
+    for name, keys in {"a": range(1, 1001), "b": range(1001, 2001), "c": range(2001, 3001), "e": []}.items():
+        told = upsert.to_store_rows(stored(spark, keys).drop("content_hash").withColumn("content", F.expr("IF(key % 10 = 0, NULL, concat('text ', key))")))
+        store_source.store_append(told, path, name)
+    whole = store_source.store_scan(spark, path)
+    batch = spark.createDataFrame([(1, "https://h.org/1500", "text 7"), (2, "https://h.org/new", None), (3, None, "nowhere")], "pos long, url string, content string")
+    batch = joins.with_content_hash(joins.with_url_hash(batch))
+    near = {kind: store_source.store_near(spark, path, batch, kind) for kind in filters.KINDS}
+    assert opened(near["url_hash"]) == {"b"} and opened(near["content_hash"]) == {"a"} and opened(whole) >= {"a", "b", "c"}
+    for kind, antijoin in {"url_hash": joins.incremental_url_antijoin, "content_hash": joins.content_antijoin}.items():
+        assert rows(antijoin(batch, near[kind]), "pos") == rows(antijoin(batch, whole), "pos")
+    # Nothing known, nothing asked.
+    assert opened(store_source.store_near(spark, path, batch.where("pos = 2"), "url_hash")) == set()
+    assert store_source.store_near(spark, path, batch.limit(0), "content_hash").count() == 0
+    # A replaced content is gone, its successor found in the delta.
+    upsert.upsert_into(spark.createDataFrame([(1, "https://h.org/7", "text 7b")], "pos long, url string, content string"), path)
+    after = joins.with_content_hash(spark.createDataFrame([(1, "text 7"), (2, "text 7b"), (3, "text 8")], "pos long, content string"))
+    assert rows(joins.content_antijoin(after, store_source.store_near(spark, path, after, "content_hash")), "pos") == [(1,)]
+    # Folded buckets have filters too, and segments of before there were any are always opened.
+    store_source.store_fold(spark, path, buckets=16)
+    one = store_source.store_near(spark, path, batch.where("pos = 1"), "url_hash")
+    assert len({f.rsplit("/", 1)[0] for f in one.inputFiles()}) == 1 and one.where("key = 1500").count() == 1
+    number, state = manifest.newest(spark, path)
+    bare = [{k: v for k, v in s.items() if k not in ("filter", "bits")} for s in state["segments"]]
+    manifest.commit(spark, path, number + 1, {**state, "segments": bare})
+    assert store_source.store_near(spark, path, batch, "url_hash").count() == 3000
+
+
+def test_filters_know_all_their_hashes_and_few_others(spark):
+    path, n = scratch_path(spark, "store"), 20_000
+    rows_in = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("url_hash"))
+    told = rows_in.select(F.lit("s").alias("segment"), F.lit(filters.bits_for(n)).alias("bits"), "url_hash", F.lit(None).cast("string").alias("content_hash"))
+    filters.filters_write(told, f"{path}/f")
+    segment = {"path": "s", "filter": "f", "bits": filters.bits_for(n)}
+
+    def passes(ids):
+        asked = spark.createDataFrame([(str(i),) for i in ids], "id string").select(F.sha2("id", 256).alias("url_hash"))
+        return filters.segments_with(spark, path, [segment], asked, "url_hash")
+
+    assert all(passes([i]) == [segment] for i in (0, 77, n - 1))
+    assert sum(bool(passes(range(n + 500 * i, n + 500 * (i + 1)))) for i in range(6)) <= 1
+    assert passes(range(filters.LOOKED_UP + 1)) is None
