@@ -236,5 +236,6 @@ def _(spark, sf):
     backlog = summaries.prompt_build(summaries.summary_backlog(store_source.store_scan(spark, path)), _TEMPLATE)
     made = summaries.summary_apply(backlog, stand_in(), "stub", F.lit(CRAWLED).cast("timestamp"))
     fit = summaries.stored_summaries(made)
-    store_source.store_replace(upsert.store_upsert(store_source.store_scan(spark, path), fit, "key"), path)
+    # A prompt is sent once: what the store knows of the rows is looked up by those that need a summary.
+    upsert.upsert_into(fit, path, "key", asked=backlog)
     return store_source.store_scan(spark, path).select("key", "url", F.coalesce("summary", F.lit("none")).alias("summary"))
