@@ -7,8 +7,9 @@ import datetime as dt
 import pandas as pd
 from pyspark.sql import functions as F
 
+from pageloom.functions.text import content_hash
 from pageloom.operators import joins, summaries, upsert
-from pageloom.operators.joins import with_content_hash, with_url_hash
+from pageloom.operators.joins import with_url_hash
 from pageloom.queries import query
 from pageloom.queries.inputs import CRAWLED, STORED, once, store, store_path, stored, table
 from pageloom.session import scratch_path, staged
@@ -69,7 +70,7 @@ def _(spark, sf):
 
 def _batch(spark, sf):
     """Events as a batch: known URLs again with another name, new ones, blank ones, and the same one several times."""
-    known = store(spark, sf).select(F.col("key").alias("n"), "url")
+    known = stored(spark, sf).select(F.col("key").alias("n"), "url")
     events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
     fresh = F.concat(F.lit("https://new.example.org/"), F.col("user_id").cast("string"))
     url = F.when(F.col("event_type") == "error", " ").when(F.col("event_type") == "click", F.col("url")).otherwise(fresh)
@@ -139,12 +140,14 @@ def _in_segments(spark, sf):
 
 def _offers(spark, sf):
     """A page per supplier: at the address of a stored one or a new one, with the text of a document or a new one."""
-    known = table(spark, sf, "documents").select(F.col("doc_id").alias("s_suppkey"), "text")
+    # Texts are hashed where they lie: only hashes move.
+    known = table(spark, sf, "documents").select(F.col("doc_id").alias("s_suppkey"), content_hash(F.col("text")).alias("text_hash"))
     urls = stored(spark, sf).select((F.col("key") - 1).alias("s_suppkey"), "url")
     suppliers = table(spark, sf, "supplier").join(known, "s_suppkey", "left").join(urls, "s_suppkey", "left")
     url = F.when(F.col("s_nationkey") < 12, F.col("url")).otherwise(F.concat(F.lit("https://s.example.org/"), F.col("s_suppkey").cast("string")))
-    content = F.when(F.col("s_acctbal") > 4000, F.col("text")).otherwise(F.concat(F.lit("offer "), F.col("s_suppkey").cast("string")))
-    hashed = with_content_hash(with_url_hash(suppliers.select("s_suppkey", url.alias("url"), content.alias("content"))))
+    offered = content_hash(F.concat(F.lit("offer "), F.col("s_suppkey").cast("string")))
+    hashes = F.when(F.col("s_acctbal") > 4000, F.col("text_hash")).otherwise(offered)
+    hashed = with_url_hash(suppliers.select("s_suppkey", url.alias("url"), hashes.alias("content_hash")))
     # Looked up and joined: made once.
     return staged(hashed, "offers")
 

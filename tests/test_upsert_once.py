@@ -1,4 +1,4 @@
-"""What an upsert brings is written once, and a prompt is sent once."""
+"""What an upsert brings is written once, a prompt is sent once, and no text moves where its hash is enough."""
 
 import datetime as dt
 
@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from pageloom.operators import summaries, upsert
+from pageloom.queries import inputs, storing
 from pageloom.session import scratch_path
 from pageloom.sources import store as store_source
 
@@ -37,3 +38,26 @@ def test_a_prompt_is_sent_once(spark):
     upsert.upsert_into(made, path, "key", asked=backlog)
     assert store_source.store_scan(spark, path).where("summary IS NOT NULL").count() == 5
     assert sent.value == 5
+
+
+def _tables(spark, path):
+    def put(name, given, schema):
+        spark.createDataFrame(given, schema).write.parquet(f"{path}/{name}.parquet")
+
+    ts = dt.datetime(2024, 3, 1)
+    put("documents", [(i, f"text {i}", "en", "web", 6) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars int")
+    put("labels", [(0, 1, 0)], "doc_id long, quality int, toxic int")
+    put("events", [(0, 1, "click", 5.0, ts), (1, 2, "view", 5.0, ts)], "event_id long, user_id long, event_type string, value double, ts timestamp")
+    put("supplier", [(0, 1, 5000.0), (1, 20, 10.0), (2, 2, 10.0), (9, 1, 5000.0)], "s_suppkey long, s_nationkey int, s_acctbal double")
+
+
+def test_offers_carry_hashes_and_the_store_is_written_once(spark):
+    path = scratch_path(spark, "tables")
+    _tables(spark, path)
+    offers = storing._offers(spark, path)
+    assert "content" not in offers.columns
+    want = spark.createDataFrame([(0, "text 0"), (1, "offer 1"), (2, "offer 2"), (9, None)], "s_suppkey long, content string")
+    assert rows(offers, "s_suppkey", "content_hash") == rows(want.select("s_suppkey", F.sha2("content", 256)))
+    near = store_source.store_near(spark, storing._in_segments(spark, path), offers, "url_hash")
+    assert {r["url"] for r in near.where("name LIKE 'event%'").collect()} == {"https://www.web.example.com/en/1", "https://new.example.org/2"}
+    assert [name for _, sf, name in inputs._folders if sf == path] == ["store-segments"]
