@@ -17,11 +17,12 @@ from pageloom.plans.ingest import at_store, ingest
 from pageloom.plans.summarise import summary_scan
 from pageloom.schema import FAILURE, SUMMARY
 from pageloom.sources import fs, manifest
-from pageloom.sources.seen import seen_append, seen_scan
-from pageloom.sources.store import segment_committed, store_append, store_scan
+from pageloom.sources.seen import seen_append, seen_merge, seen_names, seen_scan
+from pageloom.sources.store import segment_committed, store_append, store_pass, store_scan
 
 FLUSH_INTERVAL = "60 seconds"
 AVAILABLE_NOW = "available_now"
+BATCH_DIGITS = 12
 
 
 def _started(writer, trigger: str) -> StreamingQuery:
@@ -35,8 +36,8 @@ def _segment(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
 
     Numbers start again with every new checkpoint; the id keeps two streams from taking each other's batches for done.
     """
-    stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
-    return f"{stream}-{batch_id:012d}"
+    stream = json.loads(fs.read_text(spark, f"{checkpoint}/metadata"))["id"]
+    return f"{stream}-{batch_id:0{BATCH_DIGITS}d}"
 
 
 def stream_url_dedup(batch: DataFrame, store: DataFrame, order: str = "pos") -> DataFrame:
@@ -66,7 +67,7 @@ def stream_page_ingest(
     and computes the same rows, so a restart with the same checkpoint resumes
     where the store ends. Failures go first, the segment is the commit. Unless
     ``remember`` is off, a URL is tried once, whether or not a row of it was
-    stored; hashes of what was tried lie beside the store.
+    stored; hashes of what was tried lie beside the store. A batch in which all URLs are known commits its name and no more.
     """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
@@ -77,9 +78,19 @@ def stream_page_ingest(
         bookmarks = batch.drop("html", "content_type", "status")
         pages = batch.withColumn("page_id", F.col("pos"))
         when = F.current_timestamp() if crawl_time is None else crawl_time
-        memory = f"{store_path}/seen"
-        seen = seen_scan(spark, memory, without=segment) if remember else None
-        done = ingest(bookmarks, pages, store_scan(spark, store_path), when, seen=seen, **at_store(spark, store_path), **options)
+        memory, seen, tried = f"{store_path}/seen", None, []
+
+        def over(other: str) -> bool:
+            """Earlier batches of this stream are committed and never run again."""
+            return other.startswith(segment[:-BATCH_DIGITS]) and other < segment
+
+        if remember:
+            seen_merge(spark, memory, over)
+            seen, tried = seen_scan(spark, memory, without=segment), [s for s in seen_names(spark, memory) if over(s)]
+        done = ingest(bookmarks, pages, None, when, seen=seen, **at_store(spark, store_path, tried), **options)
+        if done.nothing:
+            store_pass(spark, store_path, segment)
+            return
         if remember:
             seen_append(done.tried, memory, segment)
         done.failures.write.mode("overwrite").parquet(f"{store_path}/failed/seg={segment}")
